@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from sondage.llm import best_fit, language_id, line_dedup, quality_rules, token_counts, token_output
+from sondage.llm import best_fit, decontaminate, html_extract, language_id, line_dedup, quality_rules, token_counts, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
     "op3_best_fit_packing": best_fit.op3_best_fit_packing,
     "op4_language_id": language_id.op4_language_id,
+    "op5_decontamination": decontaminate.op5_decontamination,
+    "op6_html_extraction": html_extract.op6_html_extraction,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_quality_rules": quality_rules.op10_quality_rules,
