@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sondage.llm import best_fit, decontaminate, html_extract, language_id, line_dedup, quality_rules, token_counts, token_output
+from sondage.llm import best_fit, decontaminate, html_extract, language_id, line_dedup, ngram_join, quality_rules, token_counts, token_output
 
 QUERIES = {
     "op1_token_output": token_output.op1_token_output,
+    "op2_ngram_jaccard_join": ngram_join.op2_ngram_jaccard_join,
     "op3_best_fit_packing": best_fit.op3_best_fit_packing,
     "op4_language_id": language_id.op4_language_id,
     "op5_decontamination": decontaminate.op5_decontamination,
