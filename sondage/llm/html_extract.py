@@ -11,8 +11,8 @@ advert, cookie notice, menu or comments have importance 0 on any host, so hosts
 
 What is left is read in page order, one line per block: references decoded, white space to single spaces, trimmed.
 Pages are parsed map-side twice (once for the tree, once for the text). Only (host, path, digest) counts are
-shuffled, combined map-side; the cut paths are joined to pages by host, so Spark broadcasts them while they are small
-and splits hot hosts otherwise.
+shuffled, combined map-side. The cut paths are joined to pages by host: broadcast while their counted number is at most
+``BROADCAST_PATHS``, else by host and one of ``SALTS`` salts, so a hot host's pages never meet in one task.
 
 Null html: empty text. Null or odd urls share one host. Repeated rows are pages of their own. Unclosed elements end
 with their block or the page. An empty table gives an empty result; other columns are ignored.
@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.llm.common import small_batches
+from sondage.llm.common import small_batches, spool
 
 GAMMA = 0.9
 LEAST = 0.2
 MIN_PAGES = 10
+BROADCAST_PATHS = 50_000
+SALTS = 64
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|select|svg|iframe|title|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*>|\Z)"
@@ -200,15 +202,15 @@ def style_tree(pages: DataFrame) -> DataFrame:
     return tree.withColumn("importance", (1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content"))
 
 
-def extract(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES, broadcast_paths: int = BROADCAST_PATHS) -> DataFrame:
     """page_id, url, text, n_chars."""
     small_batches(pages.sparkSession)
     leaf = F.regexp_extract(F.element_at(F.split("path", "/"), -1), "^[^.]*", 0)
-    low = (
+    cut = spool(
         style_tree(pages).where((F.col("importance") < least) & (F.col("pages") >= min_pages))
-        .where(~leaf.isin(*sorted(_MAIN)))
-        .groupBy("host").agg(F.collect_list("path").alias("low"))
+        .where(~leaf.isin(*sorted(_MAIN))).select("host", "path")
     )
+    low = cut.groupBy("host").agg(F.collect_list("path").alias("low"))
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.col("html"), host_of(F.col("url")).alias("host"))
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +221,13 @@ def extract(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES)
                 [batch.column(0), batch.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"]
             )
 
-    return own.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    if cut.count() <= broadcast_paths:
+        joined = own.join(F.broadcast(low), "host", "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")
+        copies = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = own.withColumn("salt", salt).join(copies.hint("merge"), ["host", "salt"], "left")
+    return joined.select("page_id", "url", "html", "low").mapInArrow(texts, "page_id long, url string, text string, n_chars long")
 
 
 def _text(page: str | None, low: list[str] | None) -> str:

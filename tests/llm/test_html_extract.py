@@ -43,4 +43,6 @@ def test_tree_and_cut(spark):
     assert got["http://b.example/20"]["text"] == "Same words everywhere\nOwn words 20\nmore\nmore"  # too few pages to learn from
     assert (got["x"]["text"], got["x"]["n_chars"], got["x"]["page_id"]) == ("y", 1, None)
     assert sorted(r["text"] for r in hx.extract(df).collect() if r["page_id"] == 100) == ["", ""]
+    salted = sorted(map(str, hx.extract(df, broadcast_paths=0).collect()))
+    assert salted == sorted(map(str, hx.extract(df).collect()))
     assert hx.extract(df.limit(0)).count() == 0
