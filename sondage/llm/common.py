@@ -27,7 +27,7 @@ def spool(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts lineage, survives lost executors, has fixed row order in files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/spool-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

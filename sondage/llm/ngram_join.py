@@ -4,8 +4,9 @@ A document's set is its distinct word n-grams (64-bit hashes); equal sets are on
 Classes link when ``DEN * intersection >= NUM * union``.
 
 Prefix filter: under one global token order, sets of n tokens that link share a token among their first
-``p = n - ceil(t * n) + 1``. The order puts a bounded table of the most frequent tokens (``HOT_TOKENS``, found by
-per-task summaries over all texts) last. Rare tokens of a prefix are indexed alone. A prefix that reaches frequent
+``p = n - ceil(t * n) + 1``. The order puts frequent tokens last: those that ``HOT_COUNT`` or more sets have among their
+first tokens by hash, counted over all sets. They are broadcast, ``HOT_TOKENS`` (8 MB) at most: where more are
+frequent, the count that makes a token frequent doubles. Rare tokens of a prefix are indexed alone. A prefix that reaches frequent
 tokens is extended by ``e`` of them, and its frequent tokens are indexed as pairs: they are dealt into e groups, two
 linked sets that share no rare token share at least 1 + e frequent ones there, so two fall into one group and their
 combination is shared. ``e`` depends on a band of set sizes; a set is indexed for its own band and the next one, which
@@ -37,10 +38,10 @@ from sondage.llm.common import documents, shuffle_parts, small_batches, spool, t
 from sondage.llm.graph import components
 
 NGRAM, NUM, DEN = 5, 80, 100
-LIST = 16
-HOT_TOKENS = 65_536
-HOT_COUNT = 48
-SUMMARY_TOKENS = 32_768
+LIST = 32
+HOT_TOKENS = 1 << 20
+HOT_COUNT = 4
+EARLY = 1.5
 BLOCK_TOKENS = 400_000
 _C = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -56,7 +57,7 @@ class Shingler:
 
     def __init__(self, ngram: int, cache_words: int = 500_000):
         self.ngram, self.limit = ngram, cache_words
-        self.cache: dict[bytes, int] = {}
+        self.cache: dict[bytes, bytes] = {}
 
     def words(self, text: str) -> np.ndarray:
         import xxhash
@@ -64,13 +65,13 @@ class Shingler:
         words = text.encode("utf-8", "surrogatepass").lower().split()
         found = list(map(self.cache.get, words))
         if None in found:
-            fresh = {w: xxhash.xxh3_64_intdigest(w) for w, f in zip(words, found) if f is None}
+            fresh = {w: xxhash.xxh3_64_digest(w) for w, f in zip(words, found) if f is None}
             found = [fresh[w] if f is None else f for w, f in zip(words, found)]
             if len(self.cache) + len(fresh) > self.limit:
                 self.cache.clear()
             if len(fresh) <= self.limit:
                 self.cache.update(fresh)
-        return np.asarray(found, np.uint64)
+        return np.frombuffer(b"".join(found), ">u8").astype(np.uint64)
 
     def tokens(self, text: str | None) -> np.ndarray:
         w = self.words(text) if text else np.zeros(0, np.uint64)
@@ -155,49 +156,55 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("key", F.xxhash64("doc_id", "text", F.isnull("doc_id")))
 
 
-def classes(docs: DataFrame, ngram: int) -> DataFrame:
-    """Rows (0, key, doc_id, class, n) of documents, and rows (1, token, -, -, count) of the tasks' frequent tokens."""
+def classes(docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
+    """Rows (0, key, doc_id, class, n) of documents, and rows (1, token, -, -, count) of the tasks' early tokens.
+
+    Early are the first ``EARLY`` x p tokens of a set by hash; only they can be in a prefix, but for what frequent
+    tokens make room for.
+    """
+    prefixes = Prefixes(np.zeros(0, np.uint64), num, den)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, kinds = ["kind", "key", "doc_id", "class", "n"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         shingler, seen = Shingler(ngram), set()
         held, size = [], 0
-        tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def count() -> None:
-            nonlocal tokens, counts, held, size
-            new, many = np.unique(np.concatenate(held), return_counts=True) if held else (tokens[:0], counts[:0])
-            often = many > 1
-            flat = np.concatenate([tokens, new[often]])
-            tokens, at = np.unique(flat, return_inverse=True)
-            counts = np.bincount(at, np.concatenate([counts, many[often]]), len(tokens)).astype(np.int64)
-            if len(tokens) > SUMMARY_TOKENS:
-                top = np.sort(np.argpartition(-counts, SUMMARY_TOKENS)[:SUMMARY_TOKENS])
-                tokens, counts = tokens[top], counts[top]
-            held, size = [], 0
+
+        def counts() -> pa.RecordBatch:
+            tokens, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
+            none = pa.nulls(len(tokens), pa.int64())
+            return _table(names, [[1] * len(tokens), _signed(tokens), none, none, n], kinds)
 
         for batch in batches:
-            out: list[list] = [[], [], []]
+            out: list[list] = [[], []]
             for text in batch.column(1).to_pylist():
                 own = shingler.tokens(text)
                 c = class_of(own)
-                out[1].append(c)
-                out[2].append(len(own))
-                if c not in seen:
+                out[0].append(c)
+                out[1].append(len(own))
+                if len(own) and c not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(c)
-                    held.append(own)
-                    size += len(own)
-                    if size > 4_000_000:
-                        count()
-            yield _table(names, [[0] * len(out[1]), batch.column(2), batch.column(0), out[1], out[2]], kinds)
-        count()
-        yield _table(names, [[1] * len(tokens), _signed(tokens), [None] * len(tokens), [None] * len(tokens), counts], kinds)
+                    held.append(own[: int(EARLY * prefixes.prefix(len(own)))])
+                    size += len(held[-1])
+            yield _table(names, [[0] * len(out[0]), batch.column(2), batch.column(0), *out], kinds)
+            if size > 2_000_000:
+                yield counts()
+                held, size = [], 0
+        yield counts()
 
     return keyed(docs).select("doc_id", "text", "key").mapInArrow(scan, "kind int, key long, doc_id long, class long, n long")
 
 
+def frequent_tokens(early: DataFrame, least: int, most: int) -> np.ndarray:
+    """Sorted tokens that ``least`` or more sets have among their early ones; ``least`` doubles until ``most`` hold them."""
+    counts = spool(early.groupBy(F.col("key").alias("token")).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    while counts.where(F.col("n") >= least).count() > most:
+        least *= 2
+    found = counts.where(F.col("n") >= least).select("token").toArrow().column("token").to_numpy()
+    return np.sort(found.astype(np.int64).view(np.uint64))
+
+
 def candidates(docs: DataFrame, hot: np.ndarray, ngram: int, num: int, den: int) -> DataFrame:
     """a, b (classes), long: pairs of short index lists, and stars of long ones (long = 1)."""
     spark = docs.sparkSession
@@ -317,6 +324,13 @@ def verified(pairs: DataFrame, texts: DataFrame, ngram: int, num: int, den: int)
     return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
+def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components; a class without a label is its own."""
+    side = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias("c" + x))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+
 def cluster_links(long: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, ngram: int, num: int, den: int) -> DataFrame | None:
     """Links between components inside clusters of long lists; None if each cluster is one component."""
     cluster = components(long).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
@@ -332,13 +346,14 @@ def cluster_links(long: DataFrame, labels: DataFrame, sizes: DataFrame, texts: D
     ).where(F.col("q").isNotNull()).select("cluster", F.ceil(F.col("q") / BLOCK_TOKENS).cast("int").alias("q_blocks"), F.ceil(F.col("all") / BLOCK_TOKENS).cast("int").alias("m_blocks"))
     if not blocks.limit(1).count():
         return None
-    rows = member.join(blocks, "cluster").join(texts, "class")
     h = F.xxhash64("class", F.lit(1))
-    queries = rows.where("query").select(
-        "cluster", "class", "component", "text", F.lit(True).alias("is_query"), F.pmod(h, F.col("q_blocks")).cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)).alias("m")
-    )
-    against = rows.select(
-        "cluster", "class", "component", "text", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("q"), F.pmod(h, F.col("m_blocks")).cast("int").alias("m")
+    own_q, own_m = F.pmod(h, F.col("q_blocks")).cast("int"), F.pmod(h, F.col("m_blocks")).cast("int")
+    as_query = F.transform(F.sequence(F.lit(0), F.col("m_blocks") - 1), lambda m: F.struct(F.lit(True).alias("is_query"), own_q.alias("q"), m.alias("m")))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("q_blocks") - 1), lambda q: F.struct(F.lit(False).alias("is_query"), q.alias("q"), own_m.alias("m")))
+    rows = (
+        member.join(blocks, "cluster").withColumn("at", F.when(F.col("query"), F.concat(as_query, as_member)).otherwise(as_member))
+        .join(texts, "class").select("cluster", "class", "component", "text", F.explode("at").alias("at"))
+        .select("cluster", "class", "component", "text", "at.is_query", "at.q", "at.m")
     )
 
     def search(group: pa.Table) -> pa.Table:
@@ -375,21 +390,25 @@ def cluster_links(long: DataFrame, labels: DataFrame, sizes: DataFrame, texts: D
                         links[1].append(int(cls[rest[j]]))
         return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
 
-    return queries.unionByName(against).groupBy("cluster", "q", "m").applyInArrow(search, "a long, b long")
+    return rows.groupBy("cluster", "q", "m").applyInArrow(search, "a long, b long")
 
 
 def join_components(docs: DataFrame, ngram: int = NGRAM, num: int = NUM, den: int = DEN) -> DataFrame:
     """key, doc_id, n (set size), class, component_id (least doc_id reachable) of every row."""
     small_batches(docs.sparkSession)
-    scanned = spool(classes(docs, ngram))
+    scanned = spool(classes(docs, ngram, num, den))
     rows = scanned.where("kind = 0").select("key", "doc_id", "class", "n")
-    top = scanned.where("kind = 1").groupBy(F.col("key").alias("token")).agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "token").limit(HOT_TOKENS).collect()
-    hot = np.sort(np.asarray([r["token"] for r in top], np.int64).view(np.uint64))
+    hot = frequent_tokens(scanned.where("kind = 1"), HOT_COUNT, HOT_TOKENS)
     pairs = spool(candidates(docs, hot, ngram, num, den))
     needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
     stands = rows.join(needed, "class").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"))
     texts = spool(keyed(docs).select("key", "text").join(stands, "key").select("class", "n", "text").dropDuplicates(["class"]))
-    links = spool(verified(pairs.where("fits = 1"), texts, ngram, num, den))
+    fitting = pairs.where("fits = 1").select("a", "b")
+    # First one partner for each class; then only the pairs that these links leave in different components.
+    links = spool(verified(fitting.groupBy("b").agg(F.min("a").alias("a")), texts, ngram, num, den))
+    apart = spool(across(fitting, components(links)))
+    if apart.limit(1).count():
+        links = links.unionByName(spool(verified(apart, texts, ngram, num, den)))
     labels = components(links)
     more = cluster_links(pairs.where("long = 1"), labels.select(F.col("node").alias("class"), "component"), texts.select("class", "n"), texts.select("class", "text"), ngram, num, den)
     if more is not None:

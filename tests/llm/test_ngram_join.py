@@ -65,9 +65,10 @@ def corpus(seed, n=260):
     return [(i, t, "en", "s", 0, *EXTRA) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("k, num, hot", [(3, 90, 48), (5, 80, 48), (3, 90, 3), (2, 60, 2)])
+@pytest.mark.parametrize("k, num, hot", [(3, 90, 4), (5, 80, 4), (3, 90, 48), (2, 60, 2)])
 def test_against_brute_force(spark, monkeypatch, k, num, hot):
     monkeypatch.setattr(nj, "HOT_COUNT", hot)
+    monkeypatch.setattr(nj, "LIST", 8)
     data = corpus(k * num + hot)
     got = nj.join_components(frame(spark, data=data), k, num, 100)
     assert sorted(((r["doc_id"], r["n"], r["component_id"]) for r in got.collect()), key=str) == brute(data, k, num, 100)
