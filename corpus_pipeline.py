@@ -1,7 +1,60 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: language ID, line dedup, n-gram Jaccard join, benchmark decontamination, best-fit packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before kept; all but the last return the columns
+of documents. ``run`` writes every stage's result to the shared folder and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sondage.llm import best_fit, decontaminate, language_id, line_dedup, ngram_join
+from sondage.llm.common import documents, spool
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or whose best language has a score under 0.5, go."""
+    return language_id.keep_known(docs, language_id.train(docs))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts lose repeated three-line windows; a document that loses every line goes."""
+    done = line_dedup.line_dedup(docs).where((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_lines")))
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays: five words, similarity of 0.8 or more."""
+    return ngram_join.keep_one(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document with its sequence and place."""
+    return best_fit.pack_documents(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("ngram_jaccard_join", join_near_copies),
+    ("decontamination", decontaminate_benchmark),
+    ("best_fit_packing", pack_sequences),
+]
+
+#: SQL can't train the model, align or pack; tests hold each stage against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for _, stage in STAGES[:-1]:
+        docs = spool(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

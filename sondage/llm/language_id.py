@@ -36,6 +36,7 @@ CHAIN = 64
 DIMS = 1 << 15
 EPOCHS = 25
 CACHE_WORDS = 500_000
+LEAST_SCORE = 0.5
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -269,6 +270,23 @@ def _run(docs: DataFrame, model: Crf | None, words: bool) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), text_or_empty().alias("text")).mapInArrow(label, schema)
 
 
+def keep_known(docs: DataFrame, model: Crf | None, least_score: float = LEAST_SCORE) -> DataFrame:
+    """Rows of ``docs`` with a language of at least ``least_score``, their columns passed through. No model: no row goes."""
+    if model is None:
+        return docs
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labeller = Labeller(shared.value)
+        for batch in batches:
+            known = [bool(letter.any()) and m[letter].mean(axis=0).max() >= least_score for _, m, letter in labeller.marginals(batch.column(at).to_pylist())]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return predict(docs, train(docs))
