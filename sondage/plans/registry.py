@@ -1,4 +1,326 @@
-"""Every query of the retrieval engine with its DuckDB SQL."""
+"""Every query of the retrieval engine with its DuckDB SQL, over the provided tables.
+
+Documents stand for stored documents and one-chunk documents (uuid = doc_id), embeddings for their vectors
+(vec_id = doc_id), pages for fetched URLs, events for a change feed.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sondage.functions import text as T
+from sondage.functions import vectors as V
+from sondage.operators import chunking, embedding, search, store
+from sondage.session import table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+_PATH = "'/' || source || '/' || lang || '/' || doc_id || '.txt'"
+_DOCS = f"SELECT doc_id, CAST(doc_id AS VARCHAR) AS uuid, {_PATH} AS path, text AS content, sha256(text) AS hash, source, lang, n_chars FROM documents"
+_WORDS = r"(CASE WHEN trim(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g')) = '' THEN '' ELSE ' ' || replace(trim(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g')), ' ', '  ') || ' ' END)"
+QUERY = "licensed under"
+_COS = "list_sum(list_transform(range(1, 65), lambda i: CAST(CAST(a[i] * b[i] AS FLOAT) AS DOUBLE)))"
+_NORM = "sqrt(list_sum(list_transform(range(1, 65), lambda i: CAST(CAST({0}[i] * {0}[i] AS FLOAT) AS DOUBLE))))"
+_COSINE = f"{_COS} / ({_NORM.format('a')} * {_NORM.format('b')})"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    path = F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
+    return table(spark, d, "documents").select("doc_id", F.col("doc_id").cast("string").alias("uuid"), path.alias("path"), F.col("text").alias("content"), F.sha2("text", 256).alias("hash"), "source", "lang", "n_chars")
+
+
+def vectors(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "embeddings")
+    return e.select(F.col("vec_id").cast("string").alias("uuid"), F.concat(F.lit("/v/"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string")).alias("path"), "embedding", "vec_id", "label")
+
+
+def probe(spark: SparkSession, d: str, vec_id: int = 25) -> list[float]:
+    return [float(x) for x in table(spark, d, "embeddings").where(F.col("vec_id") == vec_id).select("embedding").first()[0]]
+
+
+@query(f"SELECT path, hash FROM ({_DOCS}) ORDER BY path")
+def s08_documents(s, d):
+    return docs(s, d).select("path", "hash").orderBy("path")
+
+
+@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+'(?i)<script[^>]*>[\s\S]*?</script>', '', 'g'), '(?i)<style[^>]*>[\s\S]*?</style>', '', 'g'), '(?i)<br\s*/?>', chr(10), 'g'),
+'(?i)<(?:hr|p|div|h[1-6]|li|tr)[^>]*>', chr(10), 'g'), '<[^>]+>', '', 'g'),
+'&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS text FROM pages""")
+def p02_html_text(s, d):
+    return table(s, d, "pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
+
+
+@query(r"SELECT doc_id, regexp_replace(replace(content, '. ', chr(10) || chr(10) || chr(10)), '\n{3,}', chr(10) || chr(10), 'g') AS text FROM (" + _DOCS + ")")
+def p10_newline_runs(s, d):
+    return docs(s, d).select("doc_id", T.collapse_newlines(F.replace("content", F.lit(". "), F.lit("\n\n\n"))).alias("text"))
+
+
+@query()
+def c02_chunks(s, d):
+    return chunking.chunk_documents(docs(s, d))
+
+
+@query(f"""SELECT path, CAST(st AS INTEGER) AS start, sha256(from_hex(substring(hex(encode(content)), 2 * CAST(st AS INTEGER) + 1, 2000))) AS hash
+FROM (SELECT path, content, unnest(range(0, greatest(1, strlen(content) - 200), 800)) AS st FROM ({_DOCS}))""")
+def c03_fixed_stride(s, d):
+    return chunking.fixed_stride(docs(s, d))
+
+
+@query(f"SELECT doc_id, hash FROM ({_DOCS})")
+def c04_sha256(s, d):
+    return docs(s, d).select("doc_id", "hash")
+
+
+@query(f"""SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uuid
+FROM (SELECT doc_id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(path || chr(0) || hash || chr(0) || '0')) AS h FROM ({_DOCS}))""")
+def c05_chunk_ids(s, d):
+    return docs(s, d).select("doc_id", T.chunk_id(F.col("path"), F.col("hash"), F.lit(0)).alias("uuid"))
+
+
+@query(r"""SELECT doc_id, lower(regexp_extract(regexp_extract(t, '(?s)^---\s*\n(.*?)\n---\s*(\n|$)', 1), '(?m)^sha256:\s*"?([0-9a-fA-F]{64})"?\s*$', 1)) AS sha
+FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE '---' || chr(10) || 'title: x' || chr(10) || 'sha256: "' || upper(hash) || '"' || chr(10) || '---' || chr(10) END || content AS t FROM (""" + _DOCS + "))")
+def c07_frontmatter(s, d):
+    head = F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit('---\ntitle: x\nsha256: "'), F.upper("hash"), F.lit('"\n---\n')))
+    return docs(s, d).select("doc_id", T.frontmatter_sha256(F.concat(head, "content")).alias("sha"))
+
+
+@query()
+def e01_hash_embedding(s, d):
+    return embedding.embed(docs(s, d).select("doc_id", "content"), config=embedding.EmbedderConfig(dims=64)).drop("content")
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word IN ('" + "','".join(T.STOP_WORDS) + "') GROUP BY word")
+def e02_stop_words(s, d):
+    words = table(s, d, "documents").select(F.explode(F.split(F.lower("text"), " ")).alias("word"))
+    return words.where(F.col("word").isin(*T.STOP_WORDS)).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT e.vec_id, round({_COSINE}, 6) AS score FROM (SELECT x.vec_id, x.embedding AS a, q.embedding AS b FROM embeddings x, embeddings q WHERE q.vec_id = 25) e")
+def v01_cosine(s, d):
+    return vectors(s, d).select("vec_id", F.round(V.cosine(V.literal(probe(s, d)), F.col("embedding")), 6).alias("score"))
+
+
+@query(f"SELECT vec_id, round({_NORM.format('embedding')}, 6) AS norm FROM embeddings")
+def v03_norm(s, d):
+    return vectors(s, d).select("vec_id", F.round(V.norm(F.col("embedding")), 6).alias("norm"))
+
+
+@query(f"""SELECT uuid, CAST(row_number() OVER (ORDER BY cosine_score DESC, uuid) AS INTEGER) AS vector_rank, cosine_score FROM (
+SELECT CAST(vec_id AS VARCHAR) AS uuid, round({_COSINE}, 6) AS cosine_score FROM (SELECT x.vec_id, x.embedding AS a, q.embedding AS b FROM embeddings x, embeddings q WHERE q.vec_id = 25)) ORDER BY 2 LIMIT 20""")
+def v04_vector_topk(s, d):
+    return search.vector_topk(vectors(s, d), probe(s, d), 20).select("uuid", "vector_rank", "cosine_score")
+
+
+_BITS = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] >= 0 THEN CAST(1 AS HUGEINT) << (i - 1) ELSE 0 END))"
+
+
+@query(f"SELECT vec_id, CAST(CASE WHEN b >= 9223372036854775808 THEN b - 18446744073709551616 ELSE b END AS BIGINT) AS sig FROM (SELECT vec_id, CAST({_BITS} AS HUGEINT) AS b FROM embeddings)")
+def v08_signature(s, d):
+    return vectors(s, d).select("vec_id", F.element_at(V.signature(F.col("embedding"), 64), 1).alias("sig"))
+
+
+_HAM = "list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (x.embedding[i] >= 0) <> (q.embedding[i] >= 0) THEN 1 ELSE 0 END))"
+
+
+@query(f"SELECT x.vec_id, CAST({_HAM} AS INTEGER) AS distance FROM embeddings x, embeddings q WHERE q.vec_id = 25")
+def v09_hamming(s, d):
+    own = V.signature(V.literal(probe(s, d)), 64)
+    return vectors(s, d).select("vec_id", V.hamming(V.signature(F.col("embedding"), 64), own).alias("distance"))
+
+
+@query(f"SELECT CAST(x.vec_id AS VARCHAR) AS uuid, CAST({_HAM} AS INTEGER) AS distance FROM embeddings x, embeddings q WHERE q.vec_id = 25 ORDER BY 2, 1 LIMIT 40")
+def v10_hamming_shortlist(s, d):
+    return search.hamming_shortlist(vectors(s, d), probe(s, d), 10).select("uuid", "distance")
+
+
+@query()
+def v14_ivf_search(s, d):
+    own = vectors(s, d)
+    centroids, lists = search.ivf_build(own)
+    return search.ivf_search(own, centroids, lists, probe(s, d), 10)
+
+
+@query("SELECT x.vec_id, list_transform(range(1, 65), lambda i: round(CAST((x.embedding[i] + q.embedding[i]) / 2 AS FLOAT), 5)) AS v FROM embeddings x, embeddings q WHERE q.vec_id = 25")
+def v21_average(s, d):
+    m = V.mean(F.col("embedding"), V.literal(probe(s, d)))
+    return vectors(s, d).select("vec_id", F.transform(m, lambda x: F.round(x, 5)).alias("v"))
+
+
+def _bm25_sql(limit: int, where: str = "true") -> str:
+    ph = search.query_phrases(QUERY)
+    tf = ", ".join(f"CAST((length(w) - length(replace(w, '{p}', ''))) / {len(p)} AS INTEGER) AS tf{i}" for i, p in enumerate(ph))
+    n = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS n{i}" for i in range(len(ph)))
+    score = " + ".join(f"greatest(ln((N - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avgdl))" for i in range(len(ph)))
+    both = " AND ".join(f"tf{i} > 0" for i in range(len(ph)))
+    return f"""WITH w AS (SELECT uuid, path, {_WORDS} AS w FROM ({_DOCS})),
+c AS (SELECT uuid, path, CAST((length(w) - length(replace(w, ' ', ''))) / 2 AS INTEGER) AS len, {tf} FROM w),
+st AS (SELECT count(*) AS N, avg(len) AS avgdl, {n} FROM c),
+b AS (SELECT uuid, round({score}, 9) AS bm25 FROM c, st WHERE {both} AND {where})
+SELECT uuid, CAST(row_number() OVER (ORDER BY bm25 DESC, uuid) AS INTEGER) AS bm25_rank, round(bm25, 6) AS bm25 FROM b ORDER BY 2 LIMIT {limit}"""
+
+
+@query(_bm25_sql(50))
+def t02_bm25(s, d):
+    return search.bm25(docs(s, d), QUERY, 50).withColumn("bm25", F.round("bm25", 6))
+
+
+@query(_bm25_sql(50, "path LIKE '/src1%'"))
+def t03_bm25_path(s, d):
+    return search.bm25(docs(s, d), QUERY, 50, "/src1").withColumn("bm25", F.round("bm25", 6))
+
+
+@query("""SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN p IS NULL THEN substring(text, 1, 300)
+ELSE substring(text, CAST(greatest(0, least(greatest(0, p - 1 - 150), length(text) - 300)) AS BIGINT) + 1, 300) END AS snippet
+FROM (SELECT doc_id, text, least(nullif(instr(lower(text), 'license'), 0), nullif(instr(lower(text), 'under'), 0)) AS p FROM documents)""")
+def t07_snippet(s, d):
+    return table(s, d, "documents").select("doc_id", T.snippet(F.col("text"), ["License under"]).alias("snippet"))
+
+
+@query(f"""SELECT d.path FROM ({_DOCS}) d WHERE starts_with(d.path, '/src2/') AND NOT EXISTS (SELECT 1 FROM ({_DOCS}) l WHERE l.path = d.path AND l.n_chars > 1000)""")
+def j06_orphans(s, d):
+    own = docs(s, d)
+    return store.orphans(own, own.where("n_chars > 1000"), "/src2").select("path")
+
+
+@query(f"SELECT path, hash FROM ({_DOCS}) WHERE doc_id % 2 = 0 OR doc_id % 5 = 0")
+def j07_changed(s, d):
+    own = docs(s, d)
+    was = own.where("doc_id % 5 <> 0").select("path", F.when(F.col("doc_id") % 2 == 0, F.lit("old")).otherwise(F.col("hash")).alias("hash"))
+    return store.changed(own.select("path", "hash"), was)
+
+
+_CONTEXTS = [("/", "all"), ("/src1", "ones"), ("/src1/en", "english one"), ("/src12/", "twelve")]
+
+
+@query("SELECT path, arg_max(t, length(p)) AS context_text FROM (" + _DOCS + ") LEFT JOIN (VALUES " + ", ".join(f"('{p}', '{t}')" for p, t in _CONTEXTS) + ") c(p, t) ON starts_with(path, p) GROUP BY path")
+def j08_longest_context(s, d):
+    return store.longest_context(docs(s, d).select("path"), s.createDataFrame(_CONTEXTS, "path_prefix string, context_text string"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS e, length(text) AS n FROM conversations),
+x AS (SELECT conv_id, max(e) // 3 AS m FROM c GROUP BY conv_id)
+SELECT conv_id AS id, arg_min(turn, CASE WHEN m >= e - n AND m < e THEN 0 ELSE 1 + least(abs(m - (e - n)), abs(m - e)) END * 100000 + turn) AS chunk FROM c JOIN x USING (conv_id) GROUP BY conv_id""")
+def j09_span_chunks(s, d):
+    from pyspark.sql import Window
+
+    c = table(s, d, "conversations").withColumn("e", F.sum(F.length("text")).over(Window.partitionBy("conv_id").orderBy("turn")).cast("int"))
+    chunks = c.select(F.col("conv_id").alias("document_path"), F.col("turn").alias("uuid"), F.col("turn").alias("chunk_index"), (F.col("e") - F.length("text")).alias("char_start"), F.col("e").alias("char_end"))
+    x = c.groupBy("conv_id").agg(F.floor(F.max("e") / 3).cast("int").alias("m")).select(F.col("conv_id").alias("id"), F.col("conv_id").alias("document_path"), F.col("m").alias("span_start"), F.col("m").alias("span_end"))
+    return store.span_chunks(x, chunks).withColumnRenamed("chunk_uuid", "chunk")
+
+
+@query("SELECT (SELECT count(*) FROM documents) AS document_count, (SELECT count(*) FROM conversations) AS chunk_count, (SELECT max(ts) FROM events) AS last_indexed_at")
+def a01_stats(s, d):
+    own = table(s, d, "documents").select(F.col("doc_id"))
+    last = table(s, d, "events").agg(F.max("ts").alias("updated_at"))
+    return store.stats(own.crossJoin(last), table(s, d, "conversations"))
+
+
+@query("SELECT CASE WHEN label < 5 THEN '64' ELSE 'unknown' END || '/' || CASE WHEN label % 3 = 0 THEN 'unknown' ELSE 'm' || label % 3 END AS space, count(*) AS chunks FROM embeddings GROUP BY 1")
+def a02_space_histogram(s, d):
+    m = F.when(F.col("label") % 3 != 0, F.concat(F.lit("m"), (F.col("label") % 3).cast("string"))).when(F.col("label") == 3, F.lit(""))
+    return search.space_histogram(vectors(s, d).select(F.when(F.col("label") < 5, F.size("embedding")).alias("embedding_dim"), m.alias("embedding_model")))
+
+
+_VLEG = f"""SELECT uuid, row_number() OVER (ORDER BY cosine_score DESC, uuid) AS vr, cosine_score FROM (
+SELECT CAST(vec_id AS VARCHAR) AS uuid, round({_COSINE}, 6) AS cosine_score FROM (SELECT x.vec_id, x.embedding AS a, q.embedding AS b FROM embeddings x, embeddings q WHERE q.vec_id = 25)) ORDER BY 2 LIMIT 50"""
+
+
+@query(f"""WITH bl AS ({_bm25_sql(50)}), vl AS ({_VLEG}), f AS (
+SELECT coalesce(bl.uuid, vl.uuid) AS uuid, coalesce(bm25_rank, 0) AS bm25_rank, CAST(coalesce(vr, 0) AS INTEGER) AS vector_rank, coalesce(cosine_score, 0) AS cosine_score,
+round(coalesce(1.0 / (60 + bm25_rank), 0) + coalesce(1.0 / (60 + vr), 0), 9) AS rrf_score FROM bl FULL JOIN vl ON bl.uuid = vl.uuid ORDER BY rrf_score DESC, 1 LIMIT 10)
+SELECT f.uuid, d.path, f.bm25_rank, f.vector_rank, f.cosine_score, f.rrf_score FROM f JOIN ({_DOCS}) d ON d.uuid = f.uuid""")
+def a08_hybrid_search(s, d):
+    return search.hybrid(docs(s, d), vectors(s, d), QUERY, probe(s, d), 10).drop("content")
+
+
+@query("""SELECT doc_id, round(w / (1 + p) + (1 - w) * least(100, greatest(0, sc)) / 100, 6) AS blended
+FROM (SELECT doc_id, doc_id % 20 AS p, greatest(0.3, 0.7 - 0.05 * (doc_id % 20)) AS w, doc_id % 130 - 10 AS sc FROM documents)""")
+def a09_blend(s, d):
+    score = search.blend_score((F.col("doc_id") % 20).cast("double"), (F.col("doc_id") % 130 - 10).cast("double"))
+    return table(s, d, "documents").select("doc_id", F.round(score, 6).alias("blended"))
+
+
+@query("SELECT doc_id, [least(100, doc_id % 150), 7] AS scores FROM documents")
+def a11_score_array(s, d):
+    text = F.concat(F.lit("Scores: ```json\n["), (F.col("doc_id") % 150).cast("string"), F.lit(", 7]\n``` ok"))
+    return table(s, d, "documents").select("doc_id", search.score_array(text).cast("array<bigint>").alias("scores"))
+
+
+@query(r"SELECT doc_id, CASE WHEN length(text) <= 512 THEN text WHEN regexp_extract(substring(text, 1, 512), '(?s)^(.*) [^ ]*$', 1) = '' THEN substring(text, 1, 512) ELSE regexp_extract(substring(text, 1, 512), '(?s)^(.*) [^ ]*$', 1) END AS passage FROM documents")
+def a12_trim_passage(s, d):
+    return table(s, d, "documents").select("doc_id", search.trim_passage(F.col("text")).alias("passage"))
+
+
+@query("""SELECT uuid, rank, used FROM (SELECT uuid, rank, CAST(sum(n) OVER (ORDER BY rank) AS BIGINT) AS used FROM (
+SELECT CAST(doc_id AS VARCHAR) AS uuid, CAST(doc_id + 1 AS INTEGER) AS rank, length(text) AS n FROM documents WHERE doc_id < 10)) WHERE used <= 8000""")
+def a13_context_pack(s, d):
+    hits = docs(s, d).where("doc_id < 10").select("uuid", (F.col("doc_id") + 1).cast("int").alias("rank"), "content")
+    return search.pack_context(hits, 8000).select("uuid", "rank", "used")
+
+
+_RES = "SELECT user_id AS query, event_id AS doc, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events"
+_GAIN = "(CASE WHEN rank <= 2 THEN 1.0 ELSE 1 / log2(rank - 1) END)"
+
+
+@query(f"""WITH r AS ({_RES}), j AS (SELECT user_id AS query, event_id AS doc FROM events WHERE event_type = 'purchase'),
+x AS (SELECT r.*, (j.doc IS NOT NULL)::INT AS rel FROM r LEFT JOIN j USING (query, doc)),
+o AS (SELECT query, {", ".join(f"max(CASE WHEN rank <= {k} AND rel = 1 THEN 1.0 ELSE 0.0 END) AS hr{k}" for k in (1, 3, 5, 10))},
+coalesce(max(CASE WHEN rel = 1 THEN 1.0 / rank END), 0) AS mrr, sum(CASE WHEN rank <= 10 THEN rel * {_GAIN} ELSE 0 END) AS dcg, count(*) AS n, sum(rel) AS m FROM x GROUP BY query),
+i AS (SELECT o.query, sum({_GAIN}) AS idcg FROM o, (SELECT unnest(range(1, 11)) AS rank) WHERE rank <= m AND rank <= n GROUP BY o.query)
+SELECT query, CAST(hr1 AS DOUBLE) AS hr1, CAST(hr3 AS DOUBLE) AS hr3, CAST(hr5 AS DOUBLE) AS hr5, CAST(hr10 AS DOUBLE) AS hr10, round(mrr, 6) AS mrr, round(coalesce(dcg / idcg, 0), 6) AS ndcg FROM o LEFT JOIN i USING (query)""")
+def a14_metrics(s, d):
+    from pyspark.sql import Window
+
+    e = table(s, d, "events")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id"))
+    results = e.select(F.col("user_id").alias("query"), F.col("event_id").alias("doc"), rank.alias("rank"))
+    return search.metrics(results, e.where("event_type = 'purchase'").select(F.col("user_id").alias("query"), F.col("event_id").alias("doc")))
+
+
+@query("SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) < 2 THEN '' ELSE array_to_string(string_split(text, chr(10))[2:4], chr(10)) END AS lines FROM documents")
+def n02_read_document(s, d):
+    return table(s, d, "documents").select("doc_id", store.read_lines(F.col("text"), 2, 3).alias("lines"))
+
+
+@query(f"SELECT path, count(*) OVER () AS count, count(*) OVER () > 15 AS has_more FROM ({_DOCS}) WHERE starts_with(path, '/src1') ORDER BY path LIMIT 10 OFFSET 5")
+def n03_list_documents(s, d):
+    return store.list_documents(docs(s, d), "/src1", 10, 5).select("path", "count", "has_more")
+
+
+@query(f"SELECT path, CASE WHEN strlen(content) > 4000 THEN 'too_large' WHEN len(string_split(content, chr(10))) > 8 THEN 'too_long' ELSE 'ok' END AS status FROM ({_DOCS}) WHERE regexp_matches(path, '^/src1[^/]*/(?:[^/]+/)*[^/]*5\\.txt$')")
+def n07_multi_get(s, d):
+    return store.multi_get(docs(s, d), "/src1*/**/*5.txt", 4000, 8).select("path", "status")
+
+
+@query(f"SELECT path, CASE WHEN doc_id % 4 = 0 THEN 'new' ELSE hash END AS hash FROM ({_DOCS})")
+def w02_upsert(s, d):
+    own = docs(s, d)
+    return store.upsert(own.select("path", "hash"), own.where("doc_id % 4 = 0").select("path", F.lit("new").alias("hash")))
+
+
+@query("SELECT conv_id AS document_path, turn FROM conversations WHERE conv_id % 3 <> 0")
+def w03_delete_cascade(s, d):
+    c = table(s, d, "conversations").select(F.col("conv_id").alias("document_path"), "turn")
+    gone = c.where("document_path % 3 = 0").select(F.col("document_path").alias("path")).distinct()
+    return store.delete_cascade(c.select(F.col("document_path").alias("path")).distinct(), c, c, gone)[1]
+
+
+@query("SELECT user_id, arg_max(event_type, CAST(epoch_us(ts) AS HUGEINT) * 1000000000 + event_id) AS event_type FROM events GROUP BY user_id")
+def st02_latest_change(s, d):
+    e = table(s, d, "events").select("user_id", "ts", "event_id", "event_type")
+    return store.latest(e, "user_id").select("user_id", "event_type")
