@@ -35,7 +35,7 @@ SAMPLE_CHARS = 4_000
 CHAIN = 64
 DIMS = 1 << 15
 EPOCHS = 25
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 LEAST_SCORE = 0.5
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 

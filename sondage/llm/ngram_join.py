@@ -42,7 +42,7 @@ LIST = 32
 HOT_TOKENS = 1 << 20
 HOT_COUNT = 4
 EARLY = 1.5
-BLOCK_TOKENS = 400_000
+BLOCK_TOKENS = 100_000
 _C = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
