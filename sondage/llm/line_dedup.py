@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.llm.common import documents, small_batches
+from sondage.llm.common import documents, small_batches, spool
 
 WIDTH = 3
 
@@ -65,7 +65,8 @@ def covered(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """key, at: where windows start that occurred before."""
     found = windows(docs, width)
     place = F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id"), F.col("key"), F.col("at"))
-    repeated = (
+    # Written first: then both sides of the join are plain exchanges, and Spark splits a hot window's side.
+    repeated = spool(
         found.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("final"))
         .where(F.col("first") != F.col("final")).select("window", F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at"))
     )

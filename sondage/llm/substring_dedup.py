@@ -211,7 +211,8 @@ def seed_links(docs: DataFrame) -> DataFrame:
     order = F.coalesce("doc_id", F.lit(2**63 - 1))
     found = keyed(docs).select("text", order.alias("rank"), "key").mapInArrow(scan, "rank long, key long, seed long, at int")
     place = F.struct("rank", "key", "at")
-    repeated = found.groupBy("seed").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("seed", F.col("first.key").alias("ref_key"), F.col("first.at").alias("ref_at"))
+    # Written first: then both sides of the join are plain exchanges, and Spark splits a hot seed's side.
+    repeated = spool(found.groupBy("seed").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("seed", F.col("first.key").alias("ref_key"), F.col("first.at").alias("ref_at")))
     links = found.select("seed", "key", "at").join(repeated, "seed").where((F.col("key") != F.col("ref_key")) | (F.col("at") != F.col("ref_at")))
     return links.groupBy("key", "ref_key").agg(F.collect_set(F.struct("at", "ref_at")).alias("seeds")).where(F.size("seeds") > 1)
 
