@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from sondage.functions.text import PUNCTUATION, STOP_WORDS
 
@@ -66,5 +66,5 @@ def embed(df: DataFrame, text: str = "content", config: EmbedderConfig = Embedde
             vectors = pa.array([known[t][0] for t in texts], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, vectors, pa.array([known[t][1] for t in texts])], names=[*names, "embedding", "embedding_model"])
 
-    schema = StructType([*df.schema.fields]).add("embedding", "array<float>").add("embedding_model", "string")
+    schema = StructType([*df.schema.fields]).add("embedding", ArrayType(FloatType())).add("embedding_model", "string")
     return df.mapInArrow(run, schema).withColumn("embedding_dim", F.size("embedding"))

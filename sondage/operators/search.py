@@ -71,11 +71,11 @@ def update_postings(index: DataFrame, changed: DataFrame, fresh: DataFrame) -> D
 
 def search_postings(index: DataFrame, lengths: DataFrame, terms: DataFrame, limit: int) -> DataFrame:
     """Batch of single-term queries (query_id, term): top ``limit`` of each, ranks per query."""
-    stats = lengths.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"))
+    stats = lengths.agg(F.count("*").alias("total"), F.avg("len").alias("avgdl"))
     hits = terms.join(index, "term")
     df = hits.groupBy("query_id").agg(F.count("*").alias("n"))
     tf = F.col("tf")
-    score = F.greatest(F.log((F.col("N") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    score = F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     scored = hits.join(df, "query_id").join(lengths, "uuid").crossJoin(F.broadcast(stats)).select("query_id", "uuid", F.round(score, 9).alias("bm25"))
     w = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "uuid")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
