@@ -43,8 +43,7 @@ def frontmatter_sha256(text: Column) -> Column:
 
 def word_string(text: Column) -> Column:
     """Every token between its own two spaces, so a phrase is a substring and its count a substring count."""
-    words = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    return F.when(words == "", F.lit("")).otherwise(F.concat(F.lit(" "), F.replace(words, F.lit(" "), F.lit("  ")), F.lit(" ")))
+    return F.regexp_replace(F.concat(F.lit(" "), F.lower(text), F.lit(" ")), r"[^\p{L}\p{N}]+", "  ")
 
 
 def phrase(token: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +37,17 @@ def fnv1a32(data: bytes) -> int:
     return h
 
 
+@lru_cache(1 << 18)
+def _word_hash(word: str) -> int:
+    return fnv1a32(word.encode())
+
+
 def hash_vector(text: str, dims: int = 768) -> np.ndarray:
     out = np.zeros(dims, np.float32)
     digest = hashlib.sha256(text.encode()).digest()
     for i, word in enumerate(text.lower().translate(_TABLE).split()):
         if word not in _STOP:
-            out[fnv1a32(word.encode()) % dims] += np.float32(1.0) + np.float32(digest[i] / 255.0 if i < len(digest) else 0.0)
+            out[_word_hash(word) % dims] += np.float32(1.0) + np.float32(digest[i] / 255.0 if i < len(digest) else 0.0)
     size = np.float32(np.sqrt(np.sum(out.astype(np.float64) ** 2)))
     if size > 0:
         return out / size

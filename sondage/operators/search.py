@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
 from sondage.functions import text as T
 from sondage.functions import vectors as V
@@ -34,7 +37,7 @@ def bm25(chunks: DataFrame, query: str, limit: int, prefix: str | None = None, l
     phrases = query_phrases(query)
     words = chunks.select("uuid", "path", T.word_string(F.col("content")).alias("w"))
     counts = words.select("uuid", "path", (F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit("")))).alias("spaces"), *[T.occurrences(F.col("w"), p).alias(f"tf{i}") for i, p in enumerate(phrases)])
-    counts = counts.withColumn("len", (F.col("spaces") / 2).cast("int"))
+    counts = counts.withColumn("len", (F.col("spaces") / 2 - 1).cast("int"))
     if not phrases:
         return counts.where("false").select("uuid", F.lit(0).alias("bm25_rank"), F.lit(0.0).alias("bm25"))
     stats = counts.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(phrases))])
@@ -232,10 +235,19 @@ def ivf_build(vectors: DataFrame, iterations: int = 3) -> tuple[list[list[float]
 
 
 def nearest(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
-    spark = vectors.sparkSession
-    table = F.broadcast(spark.createDataFrame([(i, c) for i, c in enumerate(centroids)], "bucket int, centroid array<float>").agg(F.collect_list(F.struct("bucket", "centroid")).alias("all")))
-    scored = vectors.crossJoin(table).withColumn("best", F.array_max(F.transform("all", lambda c: F.struct(V.cosine(c["centroid"], F.col("embedding")).alias("s"), (-c["bucket"]).alias("b")))))
-    return scored.withColumn("bucket", -F.col("best.b")).drop("best", "all")
+    """``vectors`` with the bucket of the centroid of highest cosine (lowest number on ties); at most 256 centroids."""
+    table = np.asarray(centroids, np.float64)
+    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-30)
+    at = vectors.columns.index("embedding")
+    names = [*vectors.columns, "bucket"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.asarray(batch.column(at).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            best = np.round(own @ table.T, 9).argmax(axis=1) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32))], names=names)
+
+    return vectors.mapInArrow(run, StructType([*vectors.schema.fields]).add("bucket", IntegerType()))
 
 
 def ivf_search(vectors: DataFrame, centroids: list[list[float]], lists: DataFrame, query: list[float], limit: int) -> DataFrame:

@@ -19,7 +19,7 @@ ORACLES: dict[str, str] = {}
 
 _PATH = "'/' || source || '/' || lang || '/' || doc_id || '.txt'"
 _DOCS = f"SELECT doc_id, CAST(doc_id AS VARCHAR) AS uuid, {_PATH} AS path, text AS content, sha256(text) AS hash, source, lang, n_chars FROM documents"
-_WORDS = r"(CASE WHEN trim(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g')) = '' THEN '' ELSE ' ' || replace(trim(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g')), ' ', '  ') || ' ' END)"
+_WORDS = r"regexp_replace(' ' || lower(content) || ' ', '[^\p{L}\p{N}]+', '  ', 'g')"
 QUERY = "licensed under"
 _COS = "list_sum(list_transform(range(1, 65), lambda i: CAST(CAST(a[i] * b[i] AS FLOAT) AS DOUBLE)))"
 _NORM = "sqrt(list_sum(list_transform(range(1, 65), lambda i: CAST(CAST({0}[i] * {0}[i] AS FLOAT) AS DOUBLE))))"
@@ -167,7 +167,7 @@ def _bm25_sql(limit: int, where: str = "true") -> str:
     score = " + ".join(f"greatest(ln((N - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avgdl))" for i in range(len(ph)))
     both = " AND ".join(f"tf{i} > 0" for i in range(len(ph)))
     return f"""WITH w AS (SELECT uuid, path, {_WORDS} AS w FROM ({_DOCS})),
-c AS (SELECT uuid, path, CAST((length(w) - length(replace(w, ' ', ''))) / 2 AS INTEGER) AS len, {tf} FROM w),
+c AS (SELECT uuid, path, CAST((length(w) - length(replace(w, ' ', ''))) / 2 - 1 AS INTEGER) AS len, {tf} FROM w),
 st AS (SELECT count(*) AS N, avg(len) AS avgdl, {n} FROM c),
 b AS (SELECT uuid, round({score}, 9) AS bm25 FROM c, st WHERE {both} AND {where})
 SELECT uuid, CAST(row_number() OVER (ORDER BY bm25 DESC, uuid) AS INTEGER) AS bm25_rank, round(bm25, 6) AS bm25 FROM b ORDER BY 2 LIMIT {limit}"""
