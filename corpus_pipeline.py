@@ -14,7 +14,7 @@ from sondage.llm.common import documents, spool
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or whose best language has a score under 0.5, go."""
+    """Documents without a letter, or whose best language has a score under ``language_id.LEAST_SCORE``, go."""
     return language_id.keep_known(docs, language_id.train(docs))
 
 

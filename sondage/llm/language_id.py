@@ -36,7 +36,7 @@ CHAIN = 64
 DIMS = 1 << 15
 EPOCHS = 25
 CACHE_WORDS = 300_000
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.35
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
