@@ -88,3 +88,31 @@ def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
+
+
+ORACLE = rf"""
+WITH d AS (
+  SELECT doc_id, source AS host, coalesce(text, '') AS t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
+g AS (
+  SELECT doc_id, i, array_to_string(words[i:i + 4], ' ') AS w FROM (SELECT doc_id, words, unnest(range(1, len(words) - 3)) AS i FROM d)),
+r AS (
+  SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (
+    SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w) AS c FROM g) WHERE c > 1) GROUP BY doc_id),
+l AS (
+  SELECT doc_id, host, array_to_string(list_filter(regexp_split_to_array(lower(x), '[\x20\x09-\x0D]+'), lambda y: y <> ''), ' ') AS norm
+  FROM (SELECT doc_id, host, unnest(lines) AS x FROM d)),
+c AS (SELECT host, norm FROM l GROUP BY host, norm HAVING count(DISTINCT doc_id) > {MAX_DOCS}),
+x AS (
+  SELECT doc_id, count(*) AS n_common_lines, sum(length(replace(norm, ' ', ''))) AS lost FROM l JOIN c USING (host, norm) GROUP BY doc_id),
+b AS (
+  SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
+    length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_common_lines, 0) AS n_common_lines, coalesce(lost, 0) AS lost
+  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN x USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND word_chars - lost >= {MIN_LEFT} * word_chars AS kept, n_common_lines
+FROM f
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE}
+ORACLES: dict[str, str] = {"op7_line_dedup": line_dedup.ORACLE, "op10_quality_rules": quality_rules.ORACLE}
