@@ -256,3 +256,32 @@ def ivf_search(vectors: DataFrame, centroids: list[list[float]], lists: DataFram
     score = [sum(a * b for a, b in zip(query, c)) / (size(query) * size(c)) for c in centroids]
     probes = sorted(range(len(centroids)), key=lambda i: (-score[i], i))[: probe_count(len(centroids))] if centroids else []
     return vector_topk(vectors.join(lists.where(F.col("bucket").isin(probes)), "uuid", "left_semi"), query, limit)
+
+
+IVF_THRESHOLD = 128
+
+
+def ivf_update(lists: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Postings without the uuids of ``gone`` and ``fresh``, plus ``fresh`` (uuid, bucket)."""
+    out = gone.select("uuid").unionByName(fresh.select("uuid")).distinct()
+    return lists.join(out, "uuid", "left_anti").select("uuid", "bucket").unionByName(fresh.select("uuid", "bucket"))
+
+
+def ivf_needs_rebuild(changed: int, total: int) -> bool:
+    """Over a tenth of the rows changed since the build."""
+    return changed * 10 > total
+
+
+def route(vectors: DataFrame, query: list[float], limit: int, prefix: str | None = None, index: tuple[list[list[float]], DataFrame] | None = None) -> DataFrame:
+    """Vector search by the inverted file where one is given and no prefix is; exact where it finds nothing."""
+    if index and index[0] and not prefix and limit > 0:
+        found = ivf_search(vectors, *index, query, limit)
+        if found.limit(1).count():
+            return found
+    return vector_topk(vectors, query, limit, prefix)
+
+
+def structured(hits: DataFrame, query: str, mode: str) -> DataFrame:
+    """Hits as they leave the engine: the snippet replaces the content; spans stay where the hits have them."""
+    spans = [c for c in ("char_start", "char_end") if c in hits.columns]
+    return hits.select("path", "uuid", *spans, "rrf_score", T.snippet(F.col("content"), [query]).alias("snippet"), F.lit(mode).alias("mode"))

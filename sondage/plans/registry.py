@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sondage.functions import text as T
 from sondage.functions import vectors as V
-from sondage.operators import chunking, embedding, search, store
+from sondage.operators import chunking, embedding, evaluate, extractions, quant, search, store
+from sondage.sources import files
 from sondage.session import table
 
 QUERIES: dict = {}
@@ -160,8 +161,8 @@ def v21_average(s, d):
     return vectors(s, d).select("vec_id", F.transform(m, lambda x: F.round(x, 5)).alias("v"))
 
 
-def _bm25_sql(limit: int, where: str = "true") -> str:
-    ph = search.query_phrases(QUERY)
+def _bm25_sql(limit: int, where: str = "true", query: str = QUERY) -> str:
+    ph = search.query_phrases(query)
     tf = ", ".join(f"CAST((length(w) - length(replace(w, '{p}', ''))) / {len(p)} AS INTEGER) AS tf{i}" for i, p in enumerate(ph))
     n = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS n{i}" for i in range(len(ph)))
     score = " + ".join(f"greatest(ln((N - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avgdl))" for i in range(len(ph)))
@@ -324,3 +325,197 @@ def w03_delete_cascade(s, d):
 def st02_latest_change(s, d):
     e = table(s, d, "events").select("user_id", "ts", "event_id", "event_type")
     return store.latest(e, "user_id").select("user_id", "event_type")
+
+
+@query("SELECT path, 'skipped ' || path || ': .' || k || ' is not supported' AS message FROM (SELECT '/' || p_partkey || '.' || lower(p_type) AS path, lower(p_type) AS k FROM (SELECT p_partkey, ['DOC', 'xls', 'md', 'rtf', 'txt'][p_partkey % 5 + 1] AS p_type FROM part)) WHERE k IN ('doc', 'xls', 'rtf')")
+def s02_unsupported_files(s, d):
+    kind = F.element_at(F.array(*map(F.lit, ("doc", "xls", "md", "rtf", "txt"))), (F.col("p_partkey") % 5 + 1).cast("int"))
+    return files.unsupported(table(s, d, "part").select(F.concat(F.lit("/"), F.col("p_partkey").cast("string"), F.lit("."), kind).alias("path")))
+
+
+_EXTRACTIONS = "SELECT conv_id * 1000 + turn AS id, '/c/' || conv_id AS document_path, role AS class, role AS value, text AS evidence_text, CASE WHEN turn % 3 <> 0 THEN CAST(1000 - turn * 7 AS INTEGER) END AS span_start, conv_id % 7 AS created_at FROM conversations"
+
+
+def _extractions(s, d):
+    start = F.when(F.col("turn") % 3 != 0, (1000 - F.col("turn") * 7).cast("int"))
+    return table(s, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("/c/"), F.col("conv_id").cast("string")).alias("document_path"), F.col("role").alias("class"), F.col("role").alias("value"), F.col("text").alias("evidence_text"), start.alias("span_start"), (F.col("conv_id") % 7).alias("created_at"))
+
+
+@query(f"SELECT id, span_start FROM ({_EXTRACTIONS}) WHERE document_path = '/c/3' ORDER BY span_start NULLS LAST, id")
+def s09_extractions_of(s, d):
+    return store.extractions_of(_extractions(s, d), "/c/3").select("id", "span_start")
+
+
+@query(f"SELECT id, created_at FROM ({_EXTRACTIONS}) WHERE class = 'user' ORDER BY created_at DESC, id DESC LIMIT 50")
+def s09_extractions_by_class(s, d):
+    return store.extractions_by_class(_extractions(s, d), "user").select("id", "created_at")
+
+
+@query(f"SELECT e.vec_id, round({_COS} / ({_NORM.format('b')} * CAST({_NORM.format('a')} AS FLOAT)), 5) AS score FROM (SELECT x.vec_id, x.embedding AS a, q.embedding AS b FROM embeddings x, embeddings q WHERE q.vec_id = 25) e")
+def v02_cosine_stored_norm(s, d):
+    own = vectors(s, d).withColumn("norm", V.norm(F.col("embedding")).cast("float"))
+    return own.select("vec_id", F.round(V.cosine(V.literal(probe(s, d)), F.col("embedding"), F.col("norm")), 5).alias("score"))
+
+
+_IVF_SEEDS = "SELECT vec_id AS c, embedding AS b FROM embeddings WHERE vec_id < 8"
+
+
+@query(f"SELECT vec_id, CAST(arg_max(c, round(s, 9) * 1000 - c * 1e-9) AS INTEGER) AS bucket FROM (SELECT vec_id, c, {_COSINE} AS s FROM (SELECT x.vec_id, x.embedding AS a, k.c, k.b FROM embeddings x, ({_IVF_SEEDS}) k)) GROUP BY vec_id")
+def v13_ivf_assign(s, d):
+    centroids = [list(map(float, r[0])) for r in table(s, d, "embeddings").where("vec_id < 8").orderBy("vec_id").select("embedding").collect()]
+    return search.nearest(vectors(s, d), centroids).select("vec_id", "bucket")
+
+
+@query("SELECT CAST(vec_id AS VARCHAR) AS uuid, CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 0 END AS bucket FROM embeddings WHERE vec_id % 3 <> 0")
+def v15_ivf_update(s, d):
+    own = vectors(s, d)
+    lists = own.where("vec_id % 4 <> 0").select("uuid", F.lit(0).alias("bucket"))
+    fresh = own.where("vec_id % 4 = 0").select("uuid", F.lit(1).alias("bucket"))
+    return search.ivf_update(lists, own.where("vec_id % 3 = 0"), fresh.join(own.where("vec_id % 3 <> 0"), "uuid", "left_semi"))
+
+
+@query()
+def v18_quantized_search(s, d):
+    return quant.quantized_search(quant.with_sidecar(vectors(s, d)), probe(s, d), 10)
+
+
+@query("SELECT vec_id % 2 = 0 AS quantized, count(*) AS n, CAST(max(CASE WHEN vec_id % 2 = 0 THEN 36 END) AS INTEGER) AS bytes FROM embeddings GROUP BY 1")
+def v19_sidecar_listing(s, d):
+    half = quant.with_sidecar(vectors(s, d)).withColumn("quant", F.when(F.col("vec_id") % 2 == 0, F.col("quant")))
+    return half.groupBy(F.col("quant").isNotNull().alias("quantized")).agg(F.count("*").alias("n"), F.max(F.octet_length("quant")).alias("bytes"))
+
+
+@query("SELECT CAST(64 AS INTEGER) AS dimension, CAST(4 AS INTEGER) AS bit_width, count(*) AS n FROM embeddings")
+def v20_backfill(s, d):
+    some = quant.with_sidecar(vectors(s, d).where("vec_id % 2 = 0")).unionByName(quant.clear_sidecars(vectors(s, d).where("vec_id % 2 = 1")))
+    return quant.backfill(some).groupBy("quant_meta.dimension", "quant_meta.bit_width").agg(F.count("quant").alias("n"))
+
+
+def _grammar_sql() -> str:
+    """user AND ("in the" OR hav*) NOT evidence_text : with, as SQL."""
+    w = {c: r"regexp_replace(' ' || lower(" + c + r") || ' ', '[^\p{L}\p{N}]+', '  ', 'g')" for c in ("value", "evidence_text")}
+    plain = lambda c, p: f"(length({c}) - length(replace({c}, '{p}', ''))) / {len(p)}"
+    prefix = lambda c: f"len(regexp_extract_all({c}, ' hav[^ ]* '))"
+    leaves = [plain("v", " user ") + " + " + plain("e", " user "), plain("v", " in  the ") + " + " + plain("e", " in  the "), prefix("v") + " + " + prefix("e"), plain("e", " with ")]
+    tf = ", ".join(f"CAST({x} AS INTEGER) AS tf{i}" for i, x in enumerate(leaves))
+    n = ", ".join(f"count(*) FILTER (WHERE tf{i} > 0) AS n{i}" for i in range(4))
+    score = " + ".join(f"greatest(ln((N - n{i} + 0.5) / (n{i} + 0.5)), 1e-6) * tf{i} * 2.2 / (tf{i} + 1.2 * (0.25 + 0.75 * len / avgdl))" for i in range(4))
+    return f"""WITH w AS (SELECT id, {w['value']} AS v, {w['evidence_text']} AS e FROM ({_EXTRACTIONS})),
+c AS (SELECT id, CAST((length(v) - length(replace(v, ' ', '')) + length(e) - length(replace(e, ' ', ''))) / 2 - 2 AS INTEGER) AS len, {tf} FROM w),
+st AS (SELECT count(*) AS N, avg(len) AS avgdl, {n} FROM c),
+b AS (SELECT id, round({score}, 9) AS bm25 FROM c, st WHERE tf0 > 0 AND (tf1 > 0 OR tf2 > 0) AND NOT tf3 > 0)
+SELECT id, CAST(row_number() OVER (ORDER BY bm25 DESC, id) AS INTEGER) AS rank, round(bm25, 6) AS bm25 FROM b ORDER BY 2 LIMIT 30"""
+
+
+@query(_grammar_sql())
+def t05_search_extractions(s, d):
+    found = extractions.search_extractions(_extractions(s, d), 'user ("in the" OR hav*) NOT evidence_text:with', 30)
+    return found.select("id", "rank", F.round("bm25", 6).alias("bm25"))
+
+
+_TERMS = r"SELECT uuid, term, CAST(count(*) AS INTEGER) AS tf FROM (SELECT uuid, unnest(string_split_regex(trim({0}), ' +')) AS term FROM ({1})) WHERE term <> '' GROUP BY uuid, term"
+
+
+@query("SELECT term, count(*) AS docs, sum(tf)::BIGINT AS hits FROM (" + _TERMS.format(_WORDS, f"SELECT uuid, CASE WHEN doc_id % 3 = 0 THEN 'changed text' ELSE content END AS content FROM ({_DOCS})") + ") GROUP BY term")
+def t06_update_postings(s, d):
+    own = docs(s, d)
+    index, _ = search.postings(own)
+    again = own.where("doc_id % 3 = 0").withColumn("content", F.lit("changed text"))
+    return search.update_postings(index, again, search.postings(again)[0]).groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("hits"))
+
+
+@query(f"SELECT '/x/' || hash || '.jsonl' AS sidecar, min(path) AS path FROM ({_DOCS}) WHERE hash IN (SELECT hash FROM ({_DOCS}) WHERE doc_id % 10 = 0) GROUP BY hash")
+def j10_infer_documents(s, d):
+    own = docs(s, d)
+    return extractions.infer_documents(own.where("doc_id % 10 = 0").select(F.concat(F.lit("/x/"), F.col("hash"), F.lit(".jsonl")).alias("path")).distinct(), own)
+
+
+@query(f"""SELECT path, CASE WHEN doc_id % 2 = 0 THEN '/' || source || '/' || lang ELSE '/' || source END || '/.extractions/' || hash || '.jsonl' AS sidecar FROM ({_DOCS}) d
+WHERE doc_id % 3 = 0 AND NOT EXISTS (SELECT 1 FROM documents o WHERE o.text = d.content AND o.doc_id <> d.doc_id)""")
+def j12_find_sidecars(s, d):
+    own = docs(s, d)
+    single = own.join(own.groupBy("hash").agg(F.count("*").alias("n")).where("n = 1"), "hash", "left_semi")
+    up = lambda *parts: F.concat(*[x for p in parts for x in (F.lit("/"), F.col(p))], F.lit("/.extractions/"), F.col("hash"), F.lit(".jsonl")).alias("path")
+    there = own.where("doc_id % 3 = 0").select(up("source")).unionByName(own.where("doc_id % 6 = 0").select(up("source", "lang")))
+    return extractions.find_sidecars(single, there)
+
+
+_BATCH = ((QUERY, 25), ("the and", 3), ("de la", 77), ("zzzz qqqq", 4))
+
+
+def _batch_sql() -> str:
+    parts = []
+    for q, v in _BATCH:
+        leg = _VLEG.replace("q.vec_id = 25", f"q.vec_id = {v}")
+        parts.append(f"""(WITH bl AS ({_bm25_sql(50, query=q)}), vl AS ({leg}) SELECT * FROM (SELECT '{q}' AS query, coalesce(bl.uuid, vl.uuid) AS uuid,
+coalesce(bm25_rank, 0) AS bm25_rank, CAST(coalesce(vr, 0) AS INTEGER) AS vector_rank, round(coalesce(1.0 / (60 + bm25_rank), 0) + coalesce(1.0 / (60 + vr), 0), 9) AS rrf_score
+FROM bl FULL JOIN vl ON bl.uuid = vl.uuid) ORDER BY rrf_score DESC, uuid LIMIT 10)""")
+    return " UNION ALL ".join(parts)
+
+
+def _batch(s, d):
+    return [(q, probe(s, d, v)) for q, v in _BATCH]
+
+
+@query(_batch_sql())
+def a08_hybrid_batch(s, d):
+    return evaluate.batch_hybrid(docs(s, d), vectors(s, d), _batch(s, d), 10).select("query", "uuid", "bm25_rank", "vector_rank", "rrf_score")
+
+
+@query()
+def a18_evaluation(s, d):
+    same = vectors(s, d).select("label", F.col("uuid").alias("doc"))
+    label = {q: v for q, v in _BATCH}
+    judged = None
+    for q, v in label.items():
+        own = same.join(table(s, d, "embeddings").where(F.col("vec_id") == v).select("label"), "label", "left_semi").select(F.lit(q).alias("query"), "doc")
+        judged = own if judged is None else judged.unionByName(own)
+    return evaluate.report(evaluate.evaluate(docs(s, d), vectors(s, d), _batch(s, d), judged))
+
+
+@query("SELECT count(*) FILTER (WHERE NOT bad) AS queries, count(*) FILTER (WHERE bad) AS errors, " + ", ".join(f"round(avg(v / {i + 1}) FILTER (WHERE NOT bad), 6) AS {m}" for i, m in enumerate(evaluate.METRICS)) + " FROM (SELECT value AS v, event_type = 'error' AS bad FROM events)")
+def a17_summary(s, d):
+    e = table(s, d, "events")
+    return evaluate.summary(e.select("event_type", *[(F.col("value") / (i + 1)).alias(m) for i, m in enumerate(evaluate.METRICS)]), F.when(F.col("event_type") == "error", F.lit("x")))
+
+
+@query("SELECT vec_id AS query, " + ", ".join(f"printf('%.4f', label * {i + 1} / 7.0) AS {m}" for i, m in enumerate(evaluate.METRICS)) + " FROM embeddings")
+def a19_report(s, d):
+    return evaluate.report(table(s, d, "embeddings").select(F.col("vec_id").alias("query"), *[(F.col("label") * (i + 1) / 7.0).alias(m) for i, m in enumerate(evaluate.METRICS)]))
+
+
+@query(f"SELECT path, uuid, rrf_score, CASE WHEN length(content) <= 300 THEN content ELSE substring(content, greatest(1, least(greatest(1, instr(lower(content), 'licensed') - 150), length(content) - 299)), 300) END AS snippet, 'exact' AS mode FROM (SELECT d.*, round(1.0 / (61 + doc_id), 6) AS rrf_score FROM ({_DOCS}) d WHERE instr(lower(content), 'licensed') > 0 AND (instr(lower(content), 'under') = 0 OR instr(lower(content), 'under') > instr(lower(content), 'licensed')))")
+def a20_structured_hits(s, d):
+    low = F.lower("content")
+    first = (F.locate("licensed", low) > 0) & ((F.locate("under", low) == 0) | (F.locate("under", low) > F.locate("licensed", low)))
+    hits = docs(s, d).where(first).withColumn("rrf_score", F.round(1 / (61 + F.col("doc_id")), 6))
+    return search.structured(hits, QUERY, "exact").select("path", "uuid", "rrf_score", "snippet", "mode")
+
+
+@query("SELECT path_prefix, context_text FROM (VALUES ('/', 'all'), ('/src1', 'new'), ('/src1/en', 'english one'), ('/src12/', 'twelve'), ('/z', 'last')) t(path_prefix, context_text) ORDER BY path_prefix")
+def n09_contexts(s, d):
+    schema = "path_prefix string, context_text string"
+    own = s.createDataFrame(_CONTEXTS, schema)
+    return store.upsert(own, s.createDataFrame([("/src1", "new"), ("/z", "last")], schema), "path_prefix").orderBy("path_prefix")
+
+
+@query("""WITH x AS (SELECT conv_id * 1000 + turn AS id, '/c/' || conv_id AS document_path, CASE WHEN conv_id % 2 = 0 THEN 'new' ELSE role END AS class FROM conversations)
+SELECT id, document_path, class, CASE WHEN class = 'new' THEN '/c/' || (id // 1000) || '#' || (id % 1000) END AS chunk_uuid FROM x""")
+def w06_import_extractions(s, d):
+    own = _extractions(s, d).withColumns({"created_at": F.timestamp_seconds("created_at"), "span_end": F.col("span_start"), "matched": F.lit(True), "chunk_uuid": F.lit(None).cast("string")})
+    turn = F.col("id") % 1000
+    span = {"class": F.lit("new"), "span_start": (turn * 10).cast("int"), "span_end": (turn * 10 + 4).cast("int")}
+    fresh = own.where("(id div 1000) % 2 = 0").withColumns(span)
+    chunks = fresh.select("document_path", F.concat("document_path", F.lit("#"), turn.cast("string")).alias("uuid"), turn.alias("chunk_index"), "span_start").withColumnsRenamed({"span_start": "char_start"}).withColumn("char_end", F.col("char_start") + 10)
+    return extractions.import_extractions(own, fresh.drop("chunk_uuid", "created_at"), chunks).select("id", "document_path", "class", "chunk_uuid")
+
+
+@query("SELECT conv_id * 1000 + turn AS id FROM conversations WHERE conv_id % 5 <> 0")
+def w08_delete_extractions(s, d):
+    own = _extractions(s, d)
+    return extractions.delete_extractions(own, own.where("(id div 1000) % 5 = 0").select(F.col("document_path").alias("path"))).select("id")
+
+
+@query(f"SELECT path FROM ({_DOCS}) WHERE path = '/src1' OR starts_with(path, '/src1/')")
+def w11_in_directory(s, d):
+    return docs(s, d).where(T.in_directory(F.col("path"), "/src1")).select("path")
