@@ -1,15 +1,14 @@
 """Substring dedup (8): collinear chaining of shared k-mer seeds, then alignment.
 
-Seeds are the minimizers of word k-mers (the least hash of every ``WINDOW`` consecutive k-mers), so any run of
-``WINDOW + K - 1`` equal words shares one. A seed that occurs more than once links each later occurrence to its first
-one, by (doc_id, position): a star, whatever the number of occurrences, found by a map-side combined minimum and a
-join that Spark can split by key. The links of a pair of documents are chained: co-linear seeds with a linear gap
-cost, best predecessors from a Fenwick tree of prefix maxima. Chains of at least ``LEAST_CHAIN`` words are aligned on the
-texts of both documents: banded edit distance between seeds, and extension at both ends while words agree.
+Seeds are all word k-mers. One that occurs more than once links each later occurrence, by (doc_id, position), to its
+first one: a star, whatever the number of occurrences. K-mers and links travel packed, in buckets by hash and by
+document. The links of a pair of documents are chained: co-linear seeds with a linear gap cost, best predecessors from a
+Fenwick tree of prefix maxima. Chains of at least ``LEAST_CHAIN`` words are aligned on the texts of both documents: banded
+edit distance between seeds, and extension at both ends while words agree.
 
 The passages of a document, over all partners, are merged where they touch; merged passages of ``LEAST_WORDS`` words
-or more are the result: doc_id, start_word, end_word, start_char, end_char, words, edits, refs (documents that have
-it earlier). ``cut`` removes them from the texts.
+or more are the result: doc_id, start_word, end_word, start_char, end_char, words, edits (of its longest alignment),
+refs (documents that have it, or ``LEAST_CHAIN`` words of it, earlier). ``cut`` removes them from the texts.
 
 Words are runs without white space, lower-cased. Null and empty texts have no passage. Null ids come last in order.
 Rows with equal id and text are one document. A passage that repeats inside one document is found as well (the
@@ -36,6 +35,8 @@ LEAST_WORDS = 50
 GAP_COST = 0.1
 MAX_GAP = 40
 BAND = 16
+BUCKET_BITS = 10
+CHUNK = 1 << 20
 _WORD = re.compile(r"\S+")
 _C = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
 
@@ -186,56 +187,214 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("key", F.xxhash64("doc_id", "text", F.isnull("doc_id")))
 
 
+def ordered(docs: DataFrame) -> DataFrame:
+    """``keyed`` with rank: the id where ids are distinct, else a number in order of (id, key), nulls last."""
+    found = keyed(docs)
+    ids = found.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if ids["rows"] == ids["ids"]:
+        return found.withColumn("rank", F.col("doc_id"))
+    spark = docs.sparkSession
+    order = found.select("doc_id", "key").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "key")
+    numbers = spool(spark.createDataFrame(order.rdd.zipWithIndex().map(lambda x: (x[0]["key"], x[1])), "key long, rank long"))
+    return found.join(numbers, "key").select("doc_id", "text", "key", "rank")
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Bytes of ``x``, all first bytes first: these columns compress where rows of them do not."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unplanes(parts: list[bytes], kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind).reshape(-1) for x in parts])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[list[np.ndarray]]:
+    """Unpacked columns of each bucket; rows come sorted by bucket."""
+    held: list[list[bytes]] = [[] for _ in kinds]
+    last = None
+    for batch in batches:
+        own = batch.column(0).to_pylist()
+        columns = [batch.column(i + 1).to_pylist() for i in range(len(kinds))]
+        for i, bucket in enumerate(own):
+            if bucket != last and held[0]:
+                yield [_unplanes(h, kind) for h, kind in zip(held, kinds)]
+                held = [[] for _ in kinds]
+            last = bucket
+            for h, column in zip(held, columns):
+                h.append(column[i])
+    if held[0]:
+        yield [_unplanes(h, kind) for h, kind in zip(held, kinds)]
+
+
+def _dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    """A row per bucket with what ``columns`` have of it, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    own = bucket[order]
+    cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)] if len(own) else [0]
+    columns = [c[order] for c in columns]
+    data = [pa.array([int(own[a]) for a in cuts[:-1]], pa.int32()), *(pa.array([_planes(c[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in columns)]
+    return pa.RecordBatch.from_arrays(data, names=["bucket", *(f"c{i}" for i in range(len(columns)))])
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before in any column."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All k-mers of text, rank: bucket, hashes, ranks, positions."""
+    words, hashes, ranks, size = Words(), [], [], 0
+
+    def out() -> pa.RecordBatch:
+        h = np.concatenate(hashes)
+        at = np.concatenate([np.arange(len(x), dtype=np.uint32) for x in hashes])
+        return _dealt((h >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16), [h, np.repeat(np.asarray(ranks, np.int64), [len(x) for x in hashes]), at])
+
+    for batch in batches:
+        for text, rank in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            h = kmers(words.of(text))
+            if len(h):
+                hashes.append(h)
+                ranks.append(rank)
+                size += len(h)
+            if size >= CHUNK:
+                yield out()
+                hashes, ranks, size = [], [], 0
+    if hashes:
+        yield out()
+
+
+def star(h: np.ndarray, rank: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """rank, at, ref_rank, ref_at: of a bucket's k-mers, every later place with the first place of the k-mer."""
+    least = np.sort(h)
+    twice = least[1:][least[1:] == least[:-1]]
+    if len(twice):
+        use = twice[np.minimum(np.searchsorted(twice, h), len(twice) - 1)] == h
+        h, rank, at = h[use], rank[use], at[use]
+    else:
+        h, rank, at = h[:0], rank[:0], at[:0]
+    order = np.lexsort((at, rank, h))
+    h, rank, at = h[order], rank[order], at[order]
+    place = _starts(h, rank, at)  # repeated rows
+    h, rank, at = h[place], rank[place], at[place]
+    new, i = _starts(h), np.arange(len(h))
+    first = np.maximum.accumulate(np.where(new, i, 0)) if len(h) else i
+    later = i[~new]
+    own, ref = later, first[later]
+    return [rank[own], at[own], rank[ref], at[ref]]
+
+
+def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``star`` of every bucket, packed by document."""
+    held: list[list[np.ndarray]] = []
+
+    def out() -> pa.RecordBatch:
+        rank, at, ref, ref_at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((at, rank))
+        mixed = (rank[order].astype(np.uint64) * _C[0]) >> np.uint64(64 - BUCKET_BITS)
+        return _dealt(mixed.astype(np.uint16), [rank[order], at[order], ref[order], ref_at[order]])
+
+    for columns in _buckets(batches, [np.uint64, np.int64, np.uint32]):
+        held.append(star(*columns))
+        if sum(len(x[0]) for x in held) >= CHUNK:
+            yield out()
+            held = []
+    if held:
+        yield out()
+
+
 def seed_links(docs: DataFrame) -> DataFrame:
-    """key, ref_key, seeds: the linked seed positions of each pair of documents."""
+    """bucket of a document, and packed links of its seeds: rank, at, ref_rank, ref_at."""
+    found = docs.select("text", "rank").mapInArrow(scan, "bucket int, c0 binary, c1 binary, c2 binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(link, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for batch in batches:
-            hashes, places, sizes = [], [], []
-            for text in batch.column(0).to_pylist():
-                h = kmers(words.of(text))
-                at = minimizers(h)
-                hashes.append(h[at])
-                places.append(at)
-                sizes.append(len(at))
-            if hashes:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(batch.column(1).to_numpy(zero_copy_only=False), sizes)), pa.array(np.repeat(batch.column(2).to_numpy(), sizes)),
-                        pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32)),
-                    ],
-                    names=["rank", "key", "seed", "at"],
-                )
-
-    order = F.coalesce("doc_id", F.lit(2**63 - 1))
-    found = keyed(docs).select("text", order.alias("rank"), "key").mapInArrow(scan, "rank long, key long, seed long, at int")
-    place = F.struct("rank", "key", "at")
-    # Written first: then both sides of the join are plain exchanges, and Spark splits a hot seed's side.
-    repeated = spool(found.groupBy("seed").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("seed", F.col("first.key").alias("ref_key"), F.col("first.at").alias("ref_at")))
-    links = found.select("seed", "key", "at").join(repeated, "seed").where((F.col("key") != F.col("ref_key")) | (F.col("at") != F.col("ref_at")))
-    return links.groupBy("key", "ref_key").agg(F.collect_set(F.struct("at", "ref_at")).alias("seeds")).where(F.size("seeds") > 1)
+
+def covering(rank: np.ndarray, at: np.ndarray, ref: np.ndarray, ref_at: np.ndarray, least: int) -> list[tuple[int, int, list[list[int]]]]:
+    """(rank, ref_rank, chains) of links: the chains that make up repeated stretches of ``least`` words or more.
+
+    Stretches are merged over all references before they are measured; a chain inside another one's words is left out.
+    """
+    at, ref_at = at.astype(np.int64), ref_at.astype(np.int64)
+    # Passages lie inside runs of links with gaps of up to MAX_GAP; shorter ones go unseen by Python.
+    order = np.lexsort((at, rank))
+    rank, at, ref, ref_at = rank[order], at[order], ref[order], ref_at[order]
+    new = _starts(rank)
+    new[1:] |= at[1:] - at[:-1] > MAX_GAP
+    first = np.flatnonzero(new)
+    sizes = np.diff([*first, len(at)])
+    use = np.repeat(at[first + sizes - 1] + K - at[first] >= least, sizes) if len(first) else new
+    rank, at, ref, ref_at = rank[use], at[use], ref[use], ref_at[use]
+    if not len(rank):
+        return []
+    order = np.lexsort((at, ref_at - at, ref, rank))
+    rank, at, ref, ref_at = rank[order], at[order], ref[order], ref_at[order]
+    new = _starts(rank, ref, ref_at - at)
+    new[1:] |= at[1:] != at[:-1] + 1
+    first = np.flatnonzero(new)
+    sizes = np.diff([*first, len(at)])
+    # Seeds of a run of equal words that share no word stand for it, and its end goes with each.
+    keep = (np.arange(len(at)) - np.repeat(first, sizes)) % K == 0
+    ends = np.repeat(at[first + sizes - 1] + K, sizes)[keep]
+    rank, at, ref, ref_at = rank[keep], at[keep], ref[keep], ref_at[keep]
+    pair = np.flatnonzero(_starts(rank, ref))
+    stops = [*pair[1:].tolist(), len(at)]
+    diagonal = ref_at - at
+    flat = np.maximum.reduceat(diagonal, pair) == np.minimum.reduceat(diagonal, pair)
+    heads = _starts(rank, ref)
+    heads[1:] |= at[1:] - at[:-1] > MAX_GAP
+    chains: list[tuple[int, int, int, int, list[int]]] = []
+    a_list, r_list, e_list = at.tolist(), ref_at.tolist(), ends.tolist()
+    for a, b, own, other, even in zip(pair.tolist(), stops, rank[pair].tolist(), ref[pair].tolist(), flat.tolist()):
+        if b - a == 1:
+            chains.append((own, other, a_list[a], e_list[a], [a_list[a], r_list[a]]))
+        elif even:
+            cuts = [*(a + np.flatnonzero(heads[a:b])).tolist(), b]
+            for x, y in zip(cuts, cuts[1:]):
+                chains.append((own, other, a_list[x], e_list[y - 1], [v for z in range(x, y) for v in (a_list[z], r_list[z])]))
+        else:
+            end_of = dict(zip(zip(a_list[a:b], r_list[a:b]), e_list[a:b]))
+            for c in chain(list(end_of)):
+                chains.append((own, other, c[0][0], max(end_of[x] for x in c), [v for x in c for v in x]))
+    chains = [c for c in chains if c[3] - c[2] >= LEAST_CHAIN]
+    if not chains:
+        return []
+    doc, start, end = (np.asarray([c[i] for c in chains], np.int64) for i in (0, 2, 3))
+    order = np.lexsort(([c[1] for c in chains], -end, start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    shift = (np.cumsum(_starts(doc)) - 1) * (int(end.max()) + 2)
+    start, end = start + shift, end + shift
+    reach = np.maximum.accumulate(end)
+    before = np.concatenate(([-1], reach[:-1]))
+    group = np.flatnonzero(start > before)
+    sizes = np.diff([*group, len(start)])
+    good = np.repeat(reach[group + sizes - 1] - start[group] >= least, sizes) & (end > before)
+    out: dict[tuple[int, int], list[list[int]]] = {}
+    for i in order[good].tolist():
+        out.setdefault(chains[i][:2], []).append(chains[i][4])
+    return [(own, other, c) for (own, other), c in out.items()]
 
 
 def passages(docs: DataFrame, least_chain: int = LEAST_CHAIN, least_words: int = LEAST_WORDS) -> DataFrame:
     """Merged repeated passages with the document's key; see the module for the columns."""
     small_batches(docs.sparkSession)
+    docs = ordered(docs)
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, refs, out = [], [], []
-            for key, ref, seeds in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                good = [c for c in chain([(s["at"], s["ref_at"]) for s in seeds]) if c[-1][0] + K - c[0][0] >= least_chain]
-                if good:
-                    keys.append(key)
-                    refs.append(ref)
-                    out.append([[x for s in c for x in s] for c in good])
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(refs, pa.int64()), pa.array(out, pa.list_(pa.list_(pa.int32())))], names=["key", "ref_key", "chains"])
-
-    pairs = spool(seed_links(docs).mapInArrow(chains, "key long, ref_key long, chains array<array<int>>"))
-    needed = pairs.select("key").unionByName(pairs.select(F.col("ref_key").alias("key"))).distinct()
-    texts = spool(keyed(docs).join(needed, "key", "left_semi").dropDuplicates(["key"]))
-    refs = texts.select(F.col("key").alias("ref_key"), F.col("doc_id").alias("ref_id"), F.col("text").alias("ref_text"))
+        for links in _buckets(batches, [np.int64, np.uint32, np.int64, np.uint32]):
+            rows = covering(*links, max(least_chain, least_words))
+            columns = list(zip(*rows)) if rows else [[]] * 3
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["rank", "ref_rank", "chains"])
+
+    links = seed_links(docs).repartition("bucket").sortWithinPartitions("bucket")
+    pairs = spool(links.mapInArrow(chains, "rank long, ref_rank long, chains array<array<int>>"))
+    needed = pairs.select("rank").unionByName(pairs.select(F.col("ref_rank").alias("rank"))).distinct()
+    texts = spool(docs.join(needed, "rank", "left_semi").dropDuplicates(["rank"]))
+    refs = texts.select(F.col("rank").alias("ref_rank"), F.col("doc_id").alias("ref_id"), F.col("text").alias("ref_text"))
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -250,9 +409,12 @@ def passages(docs: DataFrame, least_chain: int = LEAST_CHAIN, least_words: int =
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["key", "ref_id", "s", "e", "edits"])
 
-    both = pairs.join(texts.select("key", "text"), "key").join(refs, "ref_key").select("key", "ref_id", "chains", "text", "ref_text")
+    both = pairs.join(texts.select("rank", "key", "text"), "rank").join(refs, "ref_rank").select("key", "ref_id", "chains", "text", "ref_text")
     spans = both.mapInArrow(aligned, "key long, ref_id long, s int, e int, edits int").groupBy("key").agg(F.collect_set(F.struct("s", "e", "edits", "ref_id")).alias("spans"))
 
+    def wide(own: list) -> list:
+        return [x for x in own if x["e"] - x["s"] >= least_chain] or own
+
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -268,7 +430,7 @@ def passages(docs: DataFrame, least_chain: int = LEAST_CHAIN, least_words: int =
                 for s, e, own in groups:
                     if e - s >= least_words:
                         at = at or [m.span() for m in _WORD.finditer(text)]
-                        rows.append((key, doc_id, s, e, at[s][0], at[e - 1][1], e - s, min(x["edits"] for x in own), sorted({x["ref_id"] for x in own if x["ref_id"] is not None})))
+                        rows.append((key, doc_id, s, e, at[s][0], at[e - 1][1], e - s, min((x["s"] - x["e"], x["edits"]) for x in own)[1], sorted({x["ref_id"] for x in wide(own) if x["ref_id"] is not None})))
             columns = list(zip(*rows)) if rows else [[]] * 9
             kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 6, pa.list_(pa.int64()))
             names = ["key", "doc_id", "start_word", "end_word", "start_char", "end_char", "words", "edits", "refs"]

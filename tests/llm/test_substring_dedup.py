@@ -82,3 +82,16 @@ def test_hazards(spark):
     twice = [(1, long, None, None, None, *EXTRA)] * 2 + [(None, long, None, None, None, *EXTRA), (5, long + " x " + long, None, None, None, *EXTRA)]
     got = sd.passages(frame(spark, data=twice)).collect()
     assert sorted((str(r["doc_id"]), r["start_word"], r["end_word"]) for r in got) == [("5", 0, 70), ("5", 71, 141), ("None", 0, 70)]
+
+
+@pytest.mark.parametrize("every", [10, 12, 15])
+def test_fuzzy_passage_with_many_changes(spark, every):
+    rnd = random.Random(12)
+    new = lambda n: [f"f{rnd.randint(0, 10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(20):
+        base = new(60)
+        changed = [f"x{rnd.randint(0, 10**6)}" if i % every == every - 1 else w for i, w in enumerate(base)]
+        texts += [base, new(7) + changed + new(7)]
+    got = {r["doc_id"]: (r["start_word"], r["end_word"]) for r in sd.passages(frame(spark, [" ".join(t) for t in texts])).collect()}
+    assert sorted(got) == list(range(1, 40, 2)) and all(a == 7 and b >= 66 for a, b in got.values())
