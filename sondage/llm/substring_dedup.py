@@ -1,10 +1,13 @@
 """Substring dedup (8): collinear chaining of shared k-mer seeds, then alignment.
 
 Seeds are all word k-mers. One that occurs more than once links each later occurrence, by (doc_id, position), to its
-first one: a star, whatever the number of occurrences. K-mers and links travel packed, in buckets by hash and by
-document. The links of a pair of documents are chained: co-linear seeds with a linear gap cost, best predecessors from a
-Fenwick tree of prefix maxima. Chains of at least ``LEAST_CHAIN`` words are aligned on the texts of both documents: banded
-edit distance between seeds, and extension at both ends while words agree.
+first and to its previous one: two links at most, whatever the number of occurrences. K-mers and links travel packed,
+in buckets by hash and by document. The links of a document are chained per reference: co-linear seeds with a linear gap
+cost, best predecessors from a Fenwick tree of prefix maxima. Chains of any length over all references are merged where
+they touch; those of stretches of ``LEAST_WORDS`` words or more are aligned on the texts of both documents: banded edit
+distance between seeds, and extension at both ends while words agree. So a run of words of which one earlier document
+has the whole is found wherever its parts came first; a changed stretch is bridged where the seeds at both its sides have
+their first or their previous occurrence in one document.
 
 The passages of a document, over all partners, are merged where they touch; merged passages of ``LEAST_WORDS`` words
 or more are the result: doc_id, start_word, end_word, start_char, end_char, words, edits (of its longest alignment),
@@ -269,7 +272,7 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def star(h: np.ndarray, rank: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
-    """rank, at, ref_rank, ref_at: of a bucket's k-mers, every later place with the first place of the k-mer."""
+    """rank, at, ref_rank, ref_at: of a bucket's k-mers, every later place with the first and with the previous place of the k-mer."""
     least = np.sort(h)
     twice = least[1:][least[1:] == least[:-1]]
     if len(twice):
@@ -284,7 +287,8 @@ def star(h: np.ndarray, rank: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     new, i = _starts(h), np.arange(len(h))
     first = np.maximum.accumulate(np.where(new, i, 0)) if len(h) else i
     later = i[~new]
-    own, ref = later, first[later]
+    other = later[later - 1 != first[later]]
+    own, ref = np.concatenate([later, other]), np.concatenate([first[later], other - 1])
     return [rank[own], at[own], rank[ref], at[ref]]
 
 
@@ -359,9 +363,6 @@ def covering(rank: np.ndarray, at: np.ndarray, ref: np.ndarray, ref_at: np.ndarr
             end_of = dict(zip(zip(a_list[a:b], r_list[a:b]), e_list[a:b]))
             for c in chain(list(end_of)):
                 chains.append((own, other, c[0][0], max(end_of[x] for x in c), [v for x in c for v in x]))
-    chains = [c for c in chains if c[3] - c[2] >= LEAST_CHAIN]
-    if not chains:
-        return []
     doc, start, end = (np.asarray([c[i] for c in chains], np.int64) for i in (0, 2, 3))
     order = np.lexsort(([c[1] for c in chains], -end, start, doc))
     doc, start, end = doc[order], start[order], end[order]

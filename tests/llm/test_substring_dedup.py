@@ -84,6 +84,15 @@ def test_hazards(spark):
     assert sorted((str(r["doc_id"]), r["start_word"], r["end_word"]) for r in got) == [("5", 0, 70), ("5", 71, 141), ("None", 0, 70)]
 
 
+def test_passage_whose_parts_came_first_in_other_documents(spark):
+    rnd = random.Random(11)
+    new = lambda n: [f"s{rnd.randint(0, 10**6)}" for _ in range(n)]
+    whole = new(60)
+    texts = [new(5) + whole[i : i + 12] + new(5) for i in range(0, 60, 12)] + [new(9) + whole + new(9) for _ in range(2)]
+    got = {(r["doc_id"], r["start_word"], r["end_word"]) for r in sd.passages(frame(spark, [" ".join(t) for t in texts])).collect()}
+    assert got == {(5, 9, 69), (6, 9, 69)}  # 5: the parts touch
+
+
 @pytest.mark.parametrize("every", [10, 12, 15])
 def test_fuzzy_passage_with_many_changes(spark, every):
     rnd = random.Random(12)
