@@ -1,7 +1,7 @@
 """Language ID (4): a linear-chain conditional random field over words.
 
-State features of a word: the word itself (lexicon), affixes up to three characters, character trigrams; learned
-weights are hashed to ``DIMS`` rows. Learned transitions link the labels of neighbours. Forward-backward gives each
+State features of a word, whatever its length: the word itself (lexicon), affixes up to three characters, all character
+trigrams; learned weights are hashed to ``DIMS`` rows. Learned transitions link the labels of neighbours. Forward-backward gives each
 word its label distribution, so code-switched text gets a label per word; a document takes the label with the most
 probability over its words with a letter. A chain is ``CHAIN`` consecutive words at most.
 
@@ -45,8 +45,8 @@ def features(word: str) -> list[int]:
     w = _NOT_LETTERS.sub("", word.lower())
     if not w:
         return []
-    b, n = f"^{w[:40]}$", min(len(w), 40)
-    found = ["w" + w[:40], *("p" + w[:k] for k in (1, 2, 3) if k <= n), *("s" + w[n - k : n] for k in (1, 2, 3) if k <= n), *("g" + b[i : i + 3] for i in range(n))]
+    b, n = f"^{w}$", len(w)
+    found = ["w" + w, *("p" + w[:k] for k in (1, 2, 3) if k <= n), *("s" + w[n - k : n] for k in (1, 2, 3) if k <= n), *("g" + b[i : i + 3] for i in range(n))]
     return [zlib.crc32(f.encode()) & (DIMS - 1) for f in found]
 
 

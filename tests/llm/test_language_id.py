@@ -50,6 +50,15 @@ def test_toy_and_code_switching(spark):
     assert [(rows[i]["lang_pred"], rows[i]["score"]) for i in (1, 2)] == [("und", 0.0)] * 2
 
 
+def test_long_words_count_to_their_end(spark):
+    df = frame(spark, data=toy())
+    a, b = "lorem-ipsum-dolor-amet-vita", "quick_brown_jumping_lazy_think"
+    texts = ["-".join([a] * 2 + [b] * 20), "_".join([b] * 2 + [a] * 20)]
+    got = {r["doc_id"]: r["lang_pred"] for r in lid.predict(frame(spark, texts), lid.train(df)).collect()}
+    assert got == {0: "en", 1: "la"}
+    assert lid.zlib.crc32(b"sxyz") & (lid.DIMS - 1) in lid.features("a" * 60 + "xyz")
+
+
 def test_hazards(spark):
     df = frame(spark, data=hazards())
     assert lid.predict(df, lid.train(df)).count() == len(hazards())
