@@ -10,14 +10,17 @@ from pyspark.sql import functions as F
 
 #: Arrow batches of texts stay small however long the texts are.
 BATCH_ROWS = 512
+BATCH_BYTES = "16m"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder in spark.checkpoint.dir. A session that names none gets a temporary one in local mode, an error on a cluster."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     named = named or sc.getCheckpointDir()
     if not named:
+        if not (sc.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="sondage-")
         sc.setCheckpointDir(named)
     return named
@@ -28,12 +31,26 @@ def spool(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/spool-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.spool_path = path
+    return out
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows (and so the bytes) of the Arrow batches that Python workers get."""
+def unspool(*spooled: DataFrame) -> None:
+    """Delete what ``spool`` wrote; only for frames that nothing unwritten still reads."""
+    for df in spooled:
+        jvm, path = df.sparkSession._jvm, df.spool_path
+        folder = jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: str = BATCH_BYTES) -> None:
+    """Bound the rows and the bytes of the Arrow batches that Python workers get.
+
+    Plans read these settings when they run, so they stay set in the session that runs them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -56,8 +56,37 @@ def test_against_brute_force(spark):
     for (d, i), (edits, start, length) in got.items():
         item = dec.fold(dict(items)[i]).strip()
         assert sellers(item, dec.fold(texts[d][start : start + length])) <= edits
-    left = {r["doc_id"] for r in dec.clean(frame(spark, texts), bench, 0.08).collect()}
-    assert left == set(range(len(texts))) - {d for d, _ in want}
+    for block in (300, 1 << 20):
+        left = {r["doc_id"] for r in dec.clean(frame(spark, texts), bench, 0.08, block).collect()}
+        assert left == set(range(len(texts))) - {d for d, _ in want}
+    one = dec.find_items(frame(spark, texts), bench, 0.08).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["edits"], r["start"], r["length"]) for r in one} == got
+    sieve = dec.Sieve(dec.folded_items(bench.where("item_id < 50")), 4000, 0.08)
+    assert all(sieve.passes(dec.fold(texts[d] or "")) for d, i in want if i < 50) and not sieve.passes(b"zzz yyy www vvv uuu ttt")
+
+
+def test_shared_stem_and_long_texts():
+    """Thousands of items with one stem, and texts over many windows: bounded memory, nothing lost."""
+    import tracemalloc
+
+    rnd = random.Random(3)
+    tail = lambda: "".join(rnd.choice("bcdfghjklmnp") for _ in range(100))
+    stem = "which of the following statements is the best "
+    items = [(i, dec.fold(stem + tail())) for i in range(2000)]
+    index = dec.Index(items)
+    texts = [dec.fold((stem + tail() + " ") * 4) for _ in range(127)] + [dec.fold(stem + "x ") + items[7][1]]
+    tracemalloc.start()
+    found = set(dec._regions(index, texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == {(127, 7)} and peak < 400 << 20
+    small = dec.Index(items[:3])
+    step = max(dec.WINDOW_BYTES, 4 * small.longest)
+    for at in (0, step - 100, step - 1, step, step + 1, 2 * step + small.longest - 70, 3 * step):
+        long = (" ".join("".join(rnd.choice("qrstuvwxyz") for _ in range(9)) for _ in range(at // 10 + 1)))[:at].ljust(at).encode()
+        assert dec._regions(small, [b"", long + items[1][1] + b" end"])[1, 1] == (0, at, at + len(items[1][1]))
+    runs = dec.Index([(0, b"a" * 300), (1, b"ab" * 150)])
+    assert set(dec._regions(runs, [b"a" * 3000, b"ba" * 400, b"a" * 200])) == {(0, 0), (1, 1)}
 
 
 def test_hazards(spark):
