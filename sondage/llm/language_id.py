@@ -1,14 +1,17 @@
 """Language ID (4): a linear-chain conditional random field over words.
 
-State features of a word, whatever its length: the word itself (lexicon), affixes up to three characters, all character
-trigrams; learned weights are hashed to ``DIMS`` rows. Learned transitions link the labels of neighbours. Forward-backward gives each
-word its label distribution, so code-switched text gets a label per word; a document takes the label with the most
-probability over its words with a letter. A chain is ``CHAIN`` consecutive words at most.
-
-Training reads only text and lang of a bounded sample: per language ``SAMPLE_DOCS`` documents (first by hash of the
-id among those whose crc32 of the id mod 3 isn't 1), of each up to ``SAMPLE_CHARS`` characters; half of its chains are
-spliced from two languages so that transitions see switches. Prediction reads whole texts and only the text. The
-model (``DIMS`` x languages floats) is broadcast. Nothing is shuffled but the sample.
+A text is its words without white space; runs of over ``UNIT`` characters (scripts without spaces, joined words) are cut into
+labelled units that together cover them, so every character is read. State features of a unit: its letters (lexicon),
+affixes up to three letters, all letter trigrams; learned weights are hashed to ``DIMS`` rows. Learned transitions link
+the labels of neighbours. Forward-backward gives each unit its label distribution, so code-switched text gets a label per
+word; a document takes the label with the most probability over its units with a letter (Unicode category L; digits,
+fractions and numerals are none). A chain is ``CHAIN`` consecutive units at most; longer texts are several chains.
+
+Training reads only text and lang of a bounded sample: per language ``SAMPLE_DOCS`` rows (the first by a hash of id and text
+among those whose crc32 of the id mod 3 isn't 1), of each up to ``SAMPLE_CHARS`` characters, and of these at most
+``2 * SAMPLE_DOCS`` chains a language; half of the chains are spliced from two languages so that transitions see switches.
+The sample is found in one pass. Prediction reads whole texts and only the text. The model (``DIMS`` x languages floats)
+is broadcast. Nothing is shuffled but the sample; only the number of languages is taken as bounded.
 
 Null texts and texts without a letter: `und`, score 0. Null or repeated ids keep their rows (a null id is not
 held out). With no labelled row every text is `und`. Empty tables give an empty result; other columns are ignored.
@@ -18,14 +21,13 @@ from __future__ import annotations
 
 import random
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondage.llm.common import documents, small_batches, text_or_empty
@@ -37,17 +39,60 @@ DIMS = 1 << 15
 EPOCHS = 25
 CACHE_WORDS = 300_000
 LEAST_SCORE = 0.35
+UNIT = 24
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
+_PLAIN = re.compile("[a-z\xdf-\xf6\xf8-\xff]*")
 
 
-def features(word: str) -> list[int]:
-    """Hashed features of a word; empty if it has no letter."""
+def letters(word: str) -> str:
+    """The letters (Unicode category L) of a word, lower-cased."""
     w = _NOT_LETTERS.sub("", word.lower())
-    if not w:
-        return []
-    b, n = f"^{w}$", len(w)
-    found = ["w" + w, *("p" + w[:k] for k in (1, 2, 3) if k <= n), *("s" + w[n - k : n] for k in (1, 2, 3) if k <= n), *("g" + b[i : i + 3] for i in range(n))]
-    return [zlib.crc32(f.encode()) & (DIMS - 1) for f in found]
+    return w if _PLAIN.fullmatch(w) else "".join(c for c in w if c.isalpha())
+
+
+def units(text: str) -> list[str]:
+    """What a chain is made of: words without white space; runs longer than ``UNIT`` are cut there, so together they cover the text."""
+    words = text.split()
+    if not words or max(map(len, words)) <= UNIT:
+        return words
+    return [w[i : i + UNIT] for w in words for i in range(0, len(w), UNIT)]
+
+
+_MIX = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+
+
+def _slot(h: np.ndarray, kind: int) -> np.ndarray:
+    h = (h + np.uint64(kind)) * _MIX[3]
+    h = (h ^ (h >> np.uint64(32))) * _MIX[0]
+    return (h >> np.uint64(49)).astype(np.int64) & (DIMS - 1)
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, feature) of the hashed features of all words, and which words have a letter; others have no feature."""
+    own = [letters(w) for w in words]
+    n = np.fromiter(map(len, own), np.int64, len(own))
+    index = np.flatnonzero(n)
+    if not len(index):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), n > 0
+    n = n[index]
+    c = np.frombuffer("".join(f"^{w}$" for w in own if w).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    first = np.cumsum(n + 2) - (n + 2)
+    nth = np.arange(len(c)) - np.repeat(first, n + 2)
+    whole = np.add.reduceat(_slot(c * _MIX[0] + nth.astype(np.uint64) * _MIX[1], 0).astype(np.uint64) ** np.uint64(2) * _MIX[2] + c * _MIX[1], first)
+    three = (c[:-2] * _MIX[0] + c[1:-1] * _MIX[1]) * _MIX[2] + c[2:]
+    at = np.flatnonzero(nth[:-2] < np.repeat(n, n + 2)[:-2])
+    owner, found = [index, np.repeat(index, n)], [_slot(whole, 1), _slot(three[at], 2)]
+    for k in (1, 2, 3):
+        use = np.flatnonzero(n >= k)
+        for kind, start in ((2 * k + 1, first + 1), (2 * k + 2, first + 1 + n - k)):
+            h = np.zeros(len(use), np.uint64)
+            for i in range(k):
+                h = h * _MIX[0] + c[start[use] + i]
+            owner.append(index[use])
+            found.append(_slot(h, kind))
+    lettered = np.zeros(len(words), bool)
+    lettered[index] = True
+    return np.concatenate(owner), np.concatenate(found), lettered
 
 
 @dataclass
@@ -58,15 +103,8 @@ class Crf:
 
     def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Log potentials of words, and which have a letter."""
-        bags = [features(w) for w in words]
-        sizes = np.fromiter(map(len, bags), np.int64, len(bags))
-        flat = np.fromiter((x for b in bags for x in b), np.int64, int(sizes.sum()))
-        out = np.zeros((len(words), len(self.labels)), np.float32)
-        full = np.flatnonzero(sizes)
-        if len(full):
-            starts = np.concatenate(([0], np.cumsum(sizes[full])[:-1]))
-            out[full] = np.add.reduceat(self.weights[flat], starts, axis=0)
-        return out, sizes > 0
+        owner, found, lettered = features(words)
+        return np.stack([np.bincount(owner, self.weights[found, j], len(words)) for j in range(len(self.labels))], axis=1).astype(np.float32), lettered
 
 
 def forward_backward(e: np.ndarray, moves: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +139,7 @@ def fit(sample: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 1) -> C
     rnd, at = random.Random(seed), {g: i for i, g in enumerate(labels)}
     pieces: dict[str, list[list[str]]] = {g: [] for g in labels}
     for text, g in sample:
-        words = text.split()
+        words = units(text)
         pieces[g] += [words[i : i + CHAIN] for i in range(0, len(words), CHAIN)]
     chains: list[tuple[list[str], list[int]]] = []
     for g in labels:
@@ -119,14 +157,10 @@ def fit(sample: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 1) -> C
     n, k = len(chains), len(labels)
     mask = np.zeros((n, CHAIN), bool)
     gold = np.zeros((n, CHAIN), np.int64)
-    bags = []
     for i, (words, tags) in enumerate(chains):
         mask[i, : len(words)] = True
         gold[i, : len(words)] = tags
-        bags += [features(w) for w in words]
-    sizes = np.fromiter(map(len, bags), np.int64, len(bags))
-    flat = np.fromiter((x for b in bags for x in b), np.int64, int(sizes.sum()))
-    owner = np.repeat(np.arange(len(bags)), sizes)
+    owner, flat, lettered = features([w for words, _ in chains for w in words])
     truth = np.zeros((n, CHAIN, k))
     truth[np.arange(n)[:, None], np.arange(CHAIN), gold] = 1
     pair = mask[:, 1:].reshape(-1)
@@ -135,7 +169,7 @@ def fit(sample: list[tuple[str, str]], epochs: int = EPOCHS, seed: int = 1) -> C
     w, moves, wg, mg = np.zeros((DIMS, k)), np.zeros((k, k)), np.full((DIMS, k), 1e-6), np.full((k, k), 1e-6)
     for _ in range(epochs):
         e = np.zeros((n, CHAIN, k))
-        e[mask] = np.stack([np.bincount(owner, w[flat, j], len(bags)) for j in range(k)], axis=1)
+        e[mask] = np.stack([np.bincount(owner, w[flat, j], len(lettered)) for j in range(k)], axis=1)
         marginal, expected = forward_backward(e, moves, mask)
         error = (truth - marginal)[mask]
         grad = np.stack([np.bincount(flat, error[owner, j], DIMS) for j in range(k)], axis=1) - 0.1 * w
@@ -152,18 +186,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Crf | None:
+    """Fits the model on its sample, found in one pass: per language the first rows by a hash of id and text, combined map-side."""
     usable = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    langs = sorted(r["lang"] for r in usable.select("lang").distinct().collect())
-    sample: list[tuple[str, str]] = []
-    for lang in langs:
-        ids = [r["doc_id"] for r in usable.where(F.col("lang") == lang).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()]
-        rows = usable.where((F.col("lang") == lang) & F.col("doc_id").isin([i for i in ids if i is not None])).select(F.substring("text", 1, sample_chars).alias("text"))
-        sample += [(r["text"], lang) for r in rows.limit(2 * sample_docs).collect()]
-    return fit(sample)
+    h = F.xxhash64("doc_id", "text")
+    counts = usable.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).collect()
+    if not counts:
+        return None
+    # Rows whose hash lies under the share of a language that gives some 2 * sample_docs distinct rows; then the least of them.
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, 2 * sample_docs / max(1, r["n"])))])
+    place = F.pmod(F.xxhash64(h), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    near = usable.where(place < F.element_at(share, F.col("lang"))).select("lang", F.substring("text", 1, sample_chars).alias("text"), h.alias("h")).distinct()
+    first = near.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("nth") <= sample_docs)
+    return fit([(r["text"], r["lang"]) for r in first.select("text", "lang").collect()])
 
 
 class Labeller:
-    """Word labels of many texts at once, with a bounded cache of word potentials."""
+    """Unit labels of many texts at once, with a bounded cache of word potentials."""
 
     def __init__(self, model: Crf, cache_words: int = CACHE_WORDS):
         self.model, self.limit = model, cache_words
@@ -195,7 +233,7 @@ class Labeller:
         group: list[list[str]] = []
         size = 0
         for text in texts:
-            group.append((text or "").split())
+            group.append(units(text or ""))
             size += len(group[-1])
             if size > 200_000:
                 yield from self._group(group)
@@ -245,7 +283,8 @@ def _run(docs: DataFrame, model: Crf | None, words: bool) -> DataFrame:
             preds, scores, all_words, all_labels = [], [], [], []
             if labeller is None:
                 preds, scores = ["und"] * len(texts), [0.0] * len(texts)
-                all_words, all_labels = [t.split() for t in texts], [[None] * len(t.split()) for t in texts]
+                all_words = [units(t) for t in texts]
+                all_labels = [[None] * len(w) for w in all_words]
             else:
                 names = labeller.model.labels
                 for own, m, letter in labeller.marginals(texts):

@@ -56,7 +56,26 @@ def test_long_words_count_to_their_end(spark):
     texts = ["-".join([a] * 2 + [b] * 20), "_".join([b] * 2 + [a] * 20)]
     got = {r["doc_id"]: r["lang_pred"] for r in lid.predict(frame(spark, texts), lid.train(df)).collect()}
     assert got == {0: "en", 1: "la"}
-    assert lid.zlib.crc32(b"sxyz") & (lid.DIMS - 1) in lid.features("a" * 60 + "xyz")
+    owner, found, lettered = lid.features(["a" * 60 + "xyz", "a" * 1000 + "q", "12", "a" * 1000 + "r"])
+    assert lettered.tolist() == [True, True, False, True] and np.bincount(owner).tolist() == [63 + 7, 1001 + 7, 0, 1001 + 7]
+    assert set(found[owner == 1]) != set(found[owner == 3])
+    assert "".join(lid.units("a" * 1000 + " b\n" + "c" * 25)) == "a" * 1000 + "b" + "c" * 25
+    unspaced = ["loremipsumdoloramet" * 3 + "quickbrownjumpinglazythink" * 30, "quickbrownjumping" * 3 + "loremipsumdolorametvita" * 30]
+    got = {r["doc_id"]: r["lang_pred"] for r in lid.predict(frame(spark, unspaced), lid.train(df)).collect()}
+    assert got == {0: "en", 1: "la"}
+
+
+def test_only_letters_have_a_language(spark):
+    model = lid.train(frame(spark, data=toy()))
+    texts = ["½ ² ⅷ 12", "12 _ ## ٣ ①", "ª", "日本", "½ quick brown"]
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in lid.predict(frame(spark, texts), model).collect()}
+    assert got[0] == got[1] == ("und", 0.0) and got[2][0] != "und" and got[3][0] != "und" and got[4][0] == "en"
+
+
+def test_sample_does_not_depend_on_layout(spark):
+    same = [(None, "lorem ipsum dolor", "la", "s", 0, *EXTRA)] * 500 + toy()
+    a, b = (lid.train(frame(spark, data=d, parts=p), sample_docs=8) for d, p in ((same, 2), (same[::-1], 7)))
+    assert a.labels == b.labels == ["en", "la"] and np.array_equal(a.weights, b.weights)
 
 
 def test_hazards(spark):
