@@ -1,13 +1,19 @@
 """Best-fit packing (3): bulk-synchronous best fit over range-sorted documents and gaps.
 
-Documents (pieces of at most ``capacity`` tokens) are range-sorted by length over the cluster, which gives each its
-rank inside its length class. The gaps of open sequences are sorted the same way. A sweep takes the longest class that
-is left, matches its documents with the smallest gaps that hold them (the successors), gives the documents of a
-class to the gaps of a class by rank, updates the gaps and repeats for the next class. Lengths and gaps are whole
-numbers up to ``capacity``, so both sorted sides are run-length encoded: a sweep moves whole intervals of ranks, and
-what a sweep knows (class, count) is bounded by ``capacity`` entries however many documents there are. The driver
-plans sweeps from these counts only; ranks, placements and contents stay distributed. The result is that of
-best-fit decreasing, document by document.
+Documents (pieces of at most ``capacity`` tokens) over half a sequence open sequences of their own. The others go in bands of
+lengths, longest first, each band in sweeps. A sweep range-sorts the band's documents together with the gaps of open
+sequences over the cluster, longest first, a gap ahead of documents of its size. A gap takes part with as many slots as
+it holds documents of the band's longest length. Read in this order, each document takes the slot seen last: its
+successor, the smallest one that holds it and is not taken by a longer document. A task matches what lies in its range with
+a stack. What is left of a range, by count only (documents without a slot, then slots without a document), goes to the driver: it matches the
+counts of later ranges with those of earlier ones, last slots first, and so resolves conflicts by rank; the rows
+themselves meet in a join on (range, rank). Then gaps are updated and the sweep is repeated until it places nothing. What
+then is left opens as many empty sequences as its tokens fill, at least one, and the sweeps go on.
+
+Once the documents that still wait and the gaps that hold one are ``TASK_ROWS`` rows or fewer, one task runs the rest of the sweeps.
+The driver holds a few numbers for each range of a sweep. A band takes some sweeps (gaps at least halve in each), so their
+number depends on the capacity, not on the documents. In tests the result has as many sequences as best-fit decreasing,
+document by document.
 
 Null texts are empty documents of one token (the end token). Null and repeated ids are packed as rows of their own.
 An empty table gives an empty result; other columns are ignored.
@@ -17,10 +23,9 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondage.llm.common import documents, shuffle_parts, small_batches, spool, text_or_empty
@@ -28,6 +33,9 @@ from sondage.llm.tokens import BYTE_BPE, byte_bpe, tokenizer_path
 
 CAPACITY = 1024
 END_ID = 2
+RATIO = 0.5
+TINY = 64
+TASK_ROWS = 1 << 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -62,98 +70,242 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = BYT
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(pieces, PIECES)
 
 
-class Run(NamedTuple):
-    """Documents [rank, rank + count) of a length go to sequences from ``sequence`` on, ``each`` a sequence, from ``offset``."""
-
-    length: int
-    rank: int
-    count: int
-    sequence: int
-    each: int
-    offset: int
-
-
-def sweeps(counts: dict[int, int], capacity: int) -> list[Run]:
-    """Plan of all sweeps; ``counts``: documents per length. Gaps of a size are intervals of sequences."""
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    runs: list[Run] = []
-    opened = 0
-
-    def fill(length: int, rank: int, left: int, size: int, first: int, wide: int) -> int:
-        """Fill gaps [first, first + wide) of a size; returns how many documents they took."""
-        each = size // length
-        took = min(left, each * wide)
-        runs.append(Run(length, rank, took, first, each, capacity - size))
-        full, rest = divmod(took, each)
-        for start, n, used in ((first, full, each), (first + full, 1 if rest else 0, rest), (first + full + (rest > 0), wide - full - (rest > 0), 0)):
-            if n and (gap := size - used * length):
-                gaps.setdefault(gap, []).append((start, n))
-        return took
-
-    for length in sorted((x for x in counts if counts[x]), reverse=True):
-        rank, left = 0, counts[length]
-        for size in range(length, capacity):
-            while left and gaps.get(size):
-                first, wide = gaps[size].pop()
-                need = -(-left // (size // length))
-                if wide > need:
-                    gaps[size].append((first + need, wide - need))
-                    wide = need
-                took = fill(length, rank, left, size, first, wide)
-                rank, left = rank + took, left - took
-            if not left:
-                break
-        if left:
-            wide = -(-left // (capacity // length))
-            fill(length, rank, left, capacity, opened, wide)
-            opened += wide
-    return runs
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+def sorted_once(pieces: DataFrame) -> DataFrame:
+    """``pieces`` range-sorted by length, longest first, with ``at``: (range << 33) + place in it."""
+    order = [F.desc("length"), F.asc("doc_id"), F.asc("piece")]
+    ranged = pieces.repartitionByRange(shuffle_parts(pieces.sparkSession), *order).sortWithinPartitions(*order)
+    return spool(ranged.withColumn("at", F.monotonically_increasing_id()))
+
+
+PLACED, GAP, LEFT, TALLY = range(4)
+
+
+def match(items: DataFrame) -> DataFrame:
+    """One sweep inside each range. ``items``: is_doc, size, seq, gap, slots, row; longest first, gaps before documents.
+
+    Rows by ``what``: PLACED (seq, gap before it, row), GAP (seq, gap, slots left, ord: rank of the first of them in the
+    range), LEFT (row, ord: rank in the range) and one TALLY a range (ord: documents left, slots: slots left).
+    """
+    kind = items.schema["row"].dataType
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        place, arrow = TaskContext.get().partitionId(), to_arrow_type(kind)
+        stack: list[list[int]] = []
+        left = 0
+
+        def table(out: list[tuple]) -> pa.RecordBatch:
+            columns = list(zip(*out)) if out else [[]] * 6
+            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), arrow]
+            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
+            return pa.RecordBatch.from_arrays([arrays[0], pa.array([place] * len(out), pa.int32()), *arrays[1:]], names=["what", "place", "seq", "gap", "slots", "ord", "row"])
+
+        for batch in batches:
+            out: list[tuple] = []
+            for is_doc, size, seq, gap, slots, row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+                if not is_doc:
+                    stack.append([seq, gap, slots])
+                elif stack:
+                    top = stack[-1]
+                    out.append((PLACED, top[0], top[1], 0, 0, row))
+                    top[1] -= size
+                    top[2] -= 1
+                    if not top[2]:
+                        out.append((GAP, top[0], top[1], 0, 0, None))
+                        stack.pop()
+                else:
+                    out.append((LEFT, None, 0, 0, left, row))
+                    left += 1
+            yield table(out)
+        total = 0
+        for a in range(0, len(stack), 10_000):
+            out = []
+            for seq, gap, slots in stack[a : a + 10_000]:
+                out.append((GAP, seq, gap, slots, total, None))
+                total += slots
+            yield table(out)
+        if left or total:
+            yield table([(TALLY, None, 0, total, left, None)])
+
+    return items.mapInArrow(sweep, f"what int, place int, seq long, gap long, slots long, ord long, row {kind.simpleString()}")
+
+
+def conflicts(tallies: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(place, rank of the first document, how many, place of their slots, rank of the last slot) of ranges in order.
+
+    ``tallies``: place, documents left, slots left. Documents take the slots of the nearest earlier range, last ones first.
+    """
+    open_slots: list[list[int]] = []
+    out = []
+    for place, docs, slots in sorted(tallies):
+        first = 0
+        while docs > first and open_slots:
+            near = open_slots[-1]
+            took = min(docs - first, near[1])
+            out.append((place, first, took, near[0], near[1] - 1))
+            near[1] -= took
+            first += took
+            if not near[1]:
+                open_slots.pop()
+        if slots:
+            open_slots.append([place, slots])
+    return out
+
+
+def across(swept: DataFrame, plan: list[tuple[int, int, int, int, int]]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents placed in ranges and over their borders (seq, gap before it, row), gaps after that, documents still left."""
+    spark = swept.sparkSession
+    local = swept.where(F.col("what") == PLACED).select("seq", "gap", "row")
+    if not plan:
+        return local, swept.where(F.col("what") == GAP).select("seq", "gap"), swept.where(F.col("what") == LEFT).select("row")
+    shared = spark.createDataFrame(plan, "place int, first long, n long, slot_place int, slot long")
+    by_place = F.broadcast(shared.groupBy("place").agg(F.sum("n").alias("taken"), F.sort_array(F.collect_list(F.struct("first", "n", "slot_place", "slot"))).alias("plan")))
+    low = F.broadcast(shared.groupBy(F.col("slot_place").alias("place")).agg(F.min(F.col("slot") - F.col("n") + 1).alias("low")))
+    left = swept.where(F.col("what") == LEFT).select("place", "ord", "row").join(by_place, "place", "left")
+    own = F.element_at(F.filter("plan", lambda x: x["first"] <= F.col("ord")), -1)
+    docs = left.where(F.col("ord") < F.col("taken")).withColumn("x", own).select(
+        F.col("x.slot_place").alias("place"), (F.col("x.slot") - (F.col("ord") - F.col("x.first"))).alias("slot"), "row"
+    )
+    gaps = swept.where(F.col("what") == GAP).join(low, "place", "left")
+    touched = (F.col("slots") > 0) & (F.col("ord") + F.col("slots") > F.col("low"))
+    slots = gaps.where(touched).select("place", "seq", "gap", F.explode(F.sequence(F.greatest("ord", "low"), F.col("ord") + F.col("slots") - 1)).alias("slot"))
+    joined = spool(slots.join(docs, ["place", "slot"]).select("seq", "gap", "slot", "row"))
+    # A sequence has a number of slots bounded by the capacity.
+    before = Window.partitionBy("seq").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
+    placed = joined.select("seq", (F.col("gap") - F.coalesce(F.sum("row.length").over(before), F.lit(0))).alias("gap"), "row")
+    rest = gaps.where(~F.coalesce(touched, F.lit(False))).select("seq", "gap").unionByName(
+        joined.groupBy("seq").agg((F.first("gap") - F.sum("row.length")).alias("gap"))
+    )
+    return local.unionByName(placed), rest, left.where(F.col("ord") >= F.coalesce("taken", F.lit(0))).select("row")
+
+
+def bands(lengths: list[int], ratio: float, tiny: int) -> Iterator[list[int]]:
+    """``lengths``, longest first, in bands."""
+    while lengths:
+        least = 0 if lengths[0] <= tiny else int(lengths[0] * ratio)
+        band = [n for n in lengths if n > least]
+        lengths = lengths[len(band) :]
+        yield band
+
+
+def in_one_task(docs: list[int], gaps: list[tuple[int, int]], capacity: int, ratio: float, tiny: int, opened: int) -> list[tuple[int, int]]:
+    """The same bands and sweeps in memory: (seq, offset) of ``docs`` (lengths, longest first); ``gaps``: (seq, gap)."""
+    free = dict(gaps)
+    out: list[tuple[int, int]] = [(-1, -1)] * len(docs)
+    first = 0
+    for band in bands(sorted(set(docs), reverse=True), ratio, tiny):
+        end = first
+        while end < len(docs) and docs[end] >= band[-1]:
+            end += 1
+        left = list(range(first, end))
+        first, fresh = end, 0
+        while left:
+            free.update((opened + i, capacity) for i in range(fresh))
+            opened, fresh = opened + fresh, 0
+            usable = [(g // (m := max(1, g // band[0])), s, m) for s, g in free.items() if g >= band[-1]]
+            usable.sort(key=lambda x: (-x[0], x[1]))
+            stack, missed, at = [], [], 0
+            for i in left:
+                while at < len(usable) and usable[at][0] >= docs[i]:
+                    stack.append([usable[at][1], usable[at][2]])
+                    at += 1
+                if not stack:
+                    missed.append(i)
+                    continue
+                top = stack[-1]
+                out[i] = (top[0], capacity - free[top[0]])
+                free[top[0]] -= docs[i]
+                top[1] -= 1
+                if not top[1]:
+                    stack.pop()
+            if len(missed) == len(left):
+                fresh = max(1, sum(docs[i] for i in left) // capacity)
+            left = missed
+    return out
+
+
+def finish(left: DataFrame, gaps: DataFrame, capacity: int, ratio: float, tiny: int, opened: int) -> DataFrame:
+    """Packs a bounded number of documents and gaps in one task."""
+    kind = left.schema["row"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        arrow = to_arrow_type(kind)
+        rows, free = [], []
+        for batch in batches:
+            for seq, gap, row in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if row is None:
+                    free.append((seq, gap))
+                else:
+                    rows.append(row)
+        none = lambda x: (x is None, x or 0)
+        rows.sort(key=lambda r: (-r["length"], none(r["doc_id"]), none(r["piece"])))
+        placed = in_one_task([r["length"] for r in rows], sorted(free), capacity, ratio, tiny, opened)
+        for at in range(0, len(rows), 10_000):
+            own = placed[at : at + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 10_000], arrow), pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64())], names=["row", "sequence_id", "offset"])
+
+    both = gaps.select("seq", "gap", F.lit(None).cast(kind).alias("row")).unionByName(left.select(F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("gap"), "row"))
+    return both.coalesce(1).mapInArrow(run, f"row {kind.simpleString()}, sequence_id long, offset long")
+
+
+def pack(pieces: DataFrame, capacity: int = CAPACITY, ratio: float = RATIO, tiny: int = TINY, task_rows: int = TASK_ROWS) -> DataFrame:
     """Adds sequence_id and offset to rows that have ``length`` (1 to ``capacity``), doc_id and piece."""
     spark = pieces.sparkSession
-    kept = spool(pieces)
-    counts = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    ordered = sorted_once(pieces)
+    names = [c for c in ordered.columns if c != "at"]
+    length = F.col("row.length").cast("long")
+    counts = {r["length"]: r["n"] for r in ordered.groupBy("length").agg(F.count("*").alias("n")).collect()}
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError("a piece is empty or longer than a sequence")
-    runs = sweeps(counts, capacity)
-    # Rank in the class: where the row stands in its range partition, after the rows of earlier partitions and longer classes.
-    ordered = spool(
-        kept.repartitionByRange(shuffle_parts(spark), F.desc("length"), F.asc("doc_id"), F.asc("piece"))
-        .sortWithinPartitions(F.desc("length"), F.asc("doc_id"), F.asc("piece"))
-        .withColumn("at", F.monotonically_increasing_id())
-    )
-    part = F.shiftright("at", 33)
-    sizes = {r["p"]: r["n"] for r in ordered.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-    before, total = {}, 0
-    for p in sorted(sizes):
-        before[p], total = total, total + sizes[p]
-    longer, total = {}, 0
-    for length in sorted(counts, reverse=True):
-        longer[length], total = total, total + counts[length]
-    plan = spark.sparkContext.broadcast((before, longer, runs))
-    schema = ordered.drop("at").schema.add("sequence_id", "long").add("offset", "long")
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        before, longer, runs = plan.value
-        table = np.asarray(sorted(runs, key=lambda r: (longer[r.length] + r.rank)), np.int64).reshape(-1, 6)
-        starts = np.asarray([longer[length] for length in table[:, 0].tolist()], np.int64) + table[:, 1]
-        for batch in batches:
-            at = batch.column(batch.schema.get_field_index("at")).to_numpy()
-            rank = np.asarray([before[p] for p in (at >> 33).tolist()], np.int64) + (at & ((1 << 33) - 1))
-            run = np.searchsorted(starts, rank, "right") - 1
-            length, _, _, sequence, each, offset = table[run].T
-            nth = rank - starts[run]
-            names = [n for n in batch.schema.names if n != "at"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(sequence + nth // each), pa.array(offset + nth % each * length)],
-                names=[*names, "sequence_id", "offset"],
+    rows = ordered.select(F.struct(*names).alias("row"), "at")
+    kind = rows.schema["row"].dataType
+    # Two pieces of over half a sequence never share one: the id of their sequence is their place in the sorted table.
+    large = rows.where(length > capacity // 2)
+    done = [large.select("row", F.col("at").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    gaps = large.select(F.col("at").alias("seq"), (F.lit(capacity) - length).alias("gap"))
+    opened = 1 << 62  # ids of sequences opened later
+    small = sorted((n for n in counts if n <= capacity // 2), reverse=True)
+    waiting = sum(counts[n] for n in small)
+    for band in bands(small, ratio, tiny):
+        top, low = band[0], band[-1]
+        gaps = spool(gaps.where(F.col("gap") >= small[-1]))
+        if waiting + gaps.count() <= task_rows:
+            done.append(finish(rows.where(length <= top).select("row"), gaps, capacity, ratio, tiny, opened))
+            break
+        n_left = sum(counts[n] for n in band)
+        waiting -= n_left
+        left = rows.where(length.between(low, top)).select("row")
+        fresh = 0
+        idle, live = gaps.where(F.col("gap") < low), gaps.where(F.col("gap") >= low)
+        while n_left:
+            if fresh:
+                live = live.unionByName(spark.range(opened, opened + fresh).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap")))
+                opened, fresh = opened + fresh, 0
+            slots = F.greatest(F.lit(1), F.floor(F.col("gap") / top)).cast("long")
+            zero = F.lit(0).cast("long")
+            items = live.select(F.lit(False).alias("is_doc"), F.floor(F.col("gap") / slots).cast("long").alias("size"), "seq", "gap", slots.alias("slots"), F.lit(None).cast(kind).alias("row")).unionByName(
+                left.select(F.lit(True).alias("is_doc"), length.alias("size"), zero.alias("seq"), zero.alias("gap"), zero.alias("slots"), "row")
             )
-
-    return ordered.mapInArrow(place, schema)
+            order = [F.desc("size"), F.asc("is_doc"), F.asc("seq"), F.asc("row.doc_id"), F.asc("row.piece")]
+            swept = spool(match(items.repartitionByRange(*order).sortWithinPartitions(*order)))
+            tallies = [tuple(r) for r in swept.where(F.col("what") == TALLY).select("place", "ord", "slots").collect()]
+            plan = conflicts(tallies)
+            placed, rest, left = across(swept, plan)
+            was, n_left = n_left, sum(t[1] for t in tallies) - sum(x[2] for x in plan)
+            if n_left < was:
+                done.append(placed.select("row", F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap")).alias("offset")))
+            elif n_left:
+                fresh = max(1, left.agg(F.sum(length)).first()[0] // capacity)
+            idle, live = idle.unionByName(rest.where(F.col("gap") < low)), rest.where(F.col("gap") >= low)
+        gaps = idle.unionByName(live)
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out.select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:

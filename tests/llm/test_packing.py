@@ -71,26 +71,53 @@ def brute_bfd(lengths, capacity):
     return len(free)
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_sweeps_are_best_fit_decreasing(seed):
-    rnd = np.random.default_rng(seed)
-    lengths = rnd.integers(1, 40 if seed % 2 else 65, 700).tolist() + [7] * 200
-    counts = Counter(lengths)
-    runs = best_fit.sweeps(counts, 64)
-    used, seen = defaultdict(list), Counter()
-    for r in runs:
-        seen[r.length] += r.count
-        for i in range(r.count):
-            used[r.sequence + i // r.each].append((r.offset + i % r.each * r.length, r.length))
-    assert seen == counts
-    for parts in used.values():
+def spread(rnd, kind, n):
+    return {
+        "even": rnd.integers(1, 65, n), "short": rnd.integers(1, 20, n), "tiny": rnd.integers(1, 4, n),
+        "long": np.minimum(64, 1 + rnd.exponential(30, n)).astype(int), "one": np.full(n, 7), "half": rnd.choice([32, 33, 31, 1], n),
+    }[kind].tolist()
+
+
+def check_layout(placed, capacity):
+    """Sequences have no hole and no overlap; returns their number."""
+    parts = defaultdict(list)
+    for length, seq, offset in placed:
+        parts[seq].append((offset, length))
+    for own in parts.values():
         end = 0
-        for offset, length in sorted(parts):
+        for offset, length in sorted(own):
             assert offset == end
             end += length
-        assert end <= 64
-    assert sorted(used) == list(range(len(used)))
-    assert len(used) == brute_bfd(lengths, 64) == len(token_output.best_fit_decreasing(lengths, 64))
+        assert end <= capacity
+    return len(parts)
+
+
+@pytest.mark.parametrize("kind", ["even", "short", "tiny", "long", "one", "half"])
+def test_sweeps_are_as_good_as_best_fit_decreasing(kind):
+    lengths = sorted(spread(np.random.default_rng(5), kind, 3000), reverse=True)
+    large = [(i, 64 - n) for i, n in enumerate(lengths) if n > 32]
+    small = [n for n in lengths if n <= 32]
+    placed = best_fit.in_one_task(small, large, 64, best_fit.RATIO, 4, 10**6)
+    n = check_layout([*((n, i, 0) for i, n in enumerate(lengths) if n > 32), *((n, *p) for n, p in zip(small, placed))], 64)
+    assert n <= 1.002 * len(token_output.best_fit_decreasing(lengths, 64))
+
+
+@pytest.mark.parametrize("kind", ["even", "half"])
+def test_distributed_sweeps(spark, kind):
+    lengths = spread(np.random.default_rng(6), kind, 900)
+    df = spark.createDataFrame([(i if i % 9 else None, i % 3, n, "x") for i, n in enumerate(lengths)], "doc_id long, piece int, length long, row string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = best_fit.pack(df, 64, tiny=16, task_rows=0).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert Counter((r["doc_id"], r["piece"], r["length"], r["row"]) for r in got) == Counter((i if i % 9 else None, i % 3, n, "x") for i, n in enumerate(lengths))
+    n = check_layout([(r["length"], r["sequence_id"], r["offset"]) for r in got], 64)
+    assert n <= 1.01 * len(token_output.best_fit_decreasing(lengths, 64))
+
+
+def test_conflicts_by_rank():
+    assert best_fit.conflicts([(0, 2, 3), (1, 1, 0), (2, 4, 5), (4, 1, 0)]) == [(1, 0, 1, 0, 2), (2, 0, 2, 0, 1), (4, 0, 1, 2, 4)]
 
 
 def test_binary_rows_round_trip(spark, plain):
