@@ -10,7 +10,7 @@ counts of later ranges with those of earlier ones, last slots first, and so reso
 themselves meet in a join on (range, rank). Then gaps are updated and the sweep is repeated until it places nothing. What
 then is left opens as many empty sequences as its tokens fill, at least one, and the sweeps go on.
 
-Once the documents that still wait and the gaps that hold one are ``TASK_ROWS`` rows or fewer, one task runs the rest of the sweeps.
+Once a band, or all that still waits, has ``TASK_ROWS`` documents and gaps or fewer, one task runs the rest of its sweeps.
 The driver holds a few numbers for each range of a sweep. A band takes some sweeps (gaps at least halve in each), so their
 number depends on the capacity, not on the documents. In tests the result has as many sequences as best-fit decreasing,
 document by document.
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sondage.llm.common import documents, shuffle_parts, small_batches, spool, text_or_empty
+from sondage.llm.common import documents, shuffle_parts, small_batches, spool, text_or_empty, unspool
 from sondage.llm.tokens import BYTE_BPE, byte_bpe, tokenizer_path
 
 CAPACITY = 1024
@@ -84,50 +84,52 @@ def match(items: DataFrame) -> DataFrame:
     """One sweep inside each range. ``items``: is_doc, size, seq, gap, slots, row; longest first, gaps before documents.
 
     Rows by ``what``: PLACED (seq, gap before it, row), GAP (seq, gap, slots left, ord: rank of the first of them in the
-    range), LEFT (row, ord: rank in the range) and one TALLY a range (ord: documents left, slots: slots left).
+    range), LEFT (row, ord: rank in the range) and one TALLY a range (ord: documents left, slots: slots left, seq: gaps).
     """
     kind = items.schema["row"].dataType
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
-        from pyspark.sql.pandas.types import to_arrow_type
 
-        place, arrow = TaskContext.get().partitionId(), to_arrow_type(kind)
+        place = TaskContext.get().partitionId()
         stack: list[list[int]] = []
-        left = 0
+        left = full = 0
 
-        def table(out: list[tuple]) -> pa.RecordBatch:
+        def table(out: list[tuple], rows: pa.Array) -> pa.RecordBatch:
             columns = list(zip(*out)) if out else [[]] * 6
-            types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), arrow]
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            return pa.RecordBatch.from_arrays([arrays[0], pa.array([place] * len(out), pa.int32()), *arrays[1:]], names=["what", "place", "seq", "gap", "slots", "ord", "row"])
+            arrays = [pa.array(c, t) for c, t in zip(columns, [pa.int32(), *[pa.int64()] * 4])]
+            own = rows.take(pa.array(columns[5], pa.int64()))
+            return pa.RecordBatch.from_arrays([arrays[0], pa.array([place] * len(out), pa.int32()), *arrays[1:], own], names=["what", "place", "seq", "gap", "slots", "ord", "row"])
 
+        rows = None
         for batch in batches:
             out: list[tuple] = []
-            for is_doc, size, seq, gap, slots, row in zip(*(batch.column(i).to_pylist() for i in range(6))):
+            rows = batch.column(5)
+            for i, (is_doc, size, seq, gap, slots) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(5)))):
                 if not is_doc:
                     stack.append([seq, gap, slots])
                 elif stack:
                     top = stack[-1]
-                    out.append((PLACED, top[0], top[1], 0, 0, row))
+                    out.append((PLACED, top[0], top[1], 0, 0, i))
                     top[1] -= size
                     top[2] -= 1
                     if not top[2]:
                         out.append((GAP, top[0], top[1], 0, 0, None))
+                        full += 1
                         stack.pop()
                 else:
-                    out.append((LEFT, None, 0, 0, left, row))
+                    out.append((LEFT, None, 0, 0, left, i))
                     left += 1
-            yield table(out)
-        total = 0
+            yield table(out, rows)
+        total, live = 0, len(stack)
         for a in range(0, len(stack), 10_000):
             out = []
             for seq, gap, slots in stack[a : a + 10_000]:
                 out.append((GAP, seq, gap, slots, total, None))
                 total += slots
-            yield table(out)
-        if left or total:
-            yield table([(TALLY, None, 0, total, left, None)])
+            yield table(out, rows)
+        if left or total or full:
+            yield table([(TALLY, live + full, 0, total, left, None)], rows)
 
     return items.mapInArrow(sweep, f"what int, place int, seq long, gap long, slots long, ord long, row {kind.simpleString()}")
 
@@ -190,8 +192,8 @@ def bands(lengths: list[int], ratio: float, tiny: int) -> Iterator[list[int]]:
         yield band
 
 
-def in_one_task(docs: list[int], gaps: list[tuple[int, int]], capacity: int, ratio: float, tiny: int, opened: int) -> list[tuple[int, int]]:
-    """The same bands and sweeps in memory: (seq, offset) of ``docs`` (lengths, longest first); ``gaps``: (seq, gap)."""
+def in_one_task(docs: list[int], gaps: list[tuple[int, int]], capacity: int, ratio: float, tiny: int, opened: int) -> tuple[list[tuple[int, int]], dict[int, int]]:
+    """The same bands and sweeps in memory: (seq, gap before it) of ``docs`` (lengths, longest first), and the gaps after; ``gaps``: (seq, gap)."""
     free = dict(gaps)
     out: list[tuple[int, int]] = [(-1, -1)] * len(docs)
     first = 0
@@ -215,7 +217,7 @@ def in_one_task(docs: list[int], gaps: list[tuple[int, int]], capacity: int, rat
                     missed.append(i)
                     continue
                 top = stack[-1]
-                out[i] = (top[0], capacity - free[top[0]])
+                out[i] = (top[0], free[top[0]])
                 free[top[0]] -= docs[i]
                 top[1] -= 1
                 if not top[1]:
@@ -223,11 +225,11 @@ def in_one_task(docs: list[int], gaps: list[tuple[int, int]], capacity: int, rat
             if len(missed) == len(left):
                 fresh = max(1, sum(docs[i] for i in left) // capacity)
             left = missed
-    return out
+    return out, free
 
 
 def finish(left: DataFrame, gaps: DataFrame, capacity: int, ratio: float, tiny: int, opened: int) -> DataFrame:
-    """Packs a bounded number of documents and gaps in one task."""
+    """Packs a bounded number of documents and gaps in one task: PLACED and GAP rows as of ``match``."""
     kind = left.schema["row"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,19 +245,22 @@ def finish(left: DataFrame, gaps: DataFrame, capacity: int, ratio: float, tiny:
                     rows.append(row)
         none = lambda x: (x is None, x or 0)
         rows.sort(key=lambda r: (-r["length"], none(r["doc_id"]), none(r["piece"])))
-        placed = in_one_task([r["length"] for r in rows], sorted(free), capacity, ratio, tiny, opened)
-        for at in range(0, len(rows), 10_000):
-            own = placed[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[at : at + 10_000], arrow), pa.array([x[0] for x in own], pa.int64()), pa.array([x[1] for x in own], pa.int64())], names=["row", "sequence_id", "offset"])
+        placed, free = in_one_task([r["length"] for r in rows], sorted(free), capacity, ratio, tiny, opened)
+        out = [*((PLACED, s, g, r) for (s, g), r in zip(placed, rows)), *((GAP, s, g, None) for s, g in sorted(free.items()))]
+        for at in range(0, len(out), 10_000):
+            columns = list(zip(*out[at : at + 10_000]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), arrow))], names=["what", "seq", "gap", "row"])
 
     both = gaps.select("seq", "gap", F.lit(None).cast(kind).alias("row")).unionByName(left.select(F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("gap"), "row"))
-    return both.coalesce(1).mapInArrow(run, f"row {kind.simpleString()}, sequence_id long, offset long")
+    return spool(both.coalesce(1).mapInArrow(run, f"what int, seq long, gap long, row {kind.simpleString()}"))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, ratio: float = RATIO, tiny: int = TINY, task_rows: int = TASK_ROWS) -> DataFrame:
     """Adds sequence_id and offset to rows that have ``length`` (1 to ``capacity``), doc_id and piece."""
     spark = pieces.sparkSession
-    ordered = sorted_once(pieces)
+    kept = spool(pieces)  # sorting by range reads its input twice
+    ordered = sorted_once(kept)
+    unspool(kept)
     names = [c for c in ordered.columns if c != "at"]
     length = F.col("row.length").cast("long")
     counts = {r["length"]: r["n"] for r in ordered.groupBy("length").agg(F.count("*").alias("n")).collect()}
@@ -268,20 +273,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, ratio: float = RATIO, tiny
     done = [large.select("row", F.col("at").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
     gaps = large.select(F.col("at").alias("seq"), (F.lit(capacity) - length).alias("gap"))
     opened = 1 << 62  # ids of sequences opened later
+    into = lambda df: df.where(F.col("what") == PLACED).select("row", F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap")).alias("offset"))
     small = sorted((n for n in counts if n <= capacity // 2), reverse=True)
     waiting = sum(counts[n] for n in small)
     for band in bands(small, ratio, tiny):
         top, low = band[0], band[-1]
         gaps = spool(gaps.where(F.col("gap") >= small[-1]))
         if waiting + gaps.count() <= task_rows:
-            done.append(finish(rows.where(length <= top).select("row"), gaps, capacity, ratio, tiny, opened))
+            ended = finish(rows.where(length <= top).select("row"), gaps, capacity, ratio, tiny, opened)
+            done.append(into(ended))
             break
         n_left = sum(counts[n] for n in band)
         waiting -= n_left
         left = rows.where(length.between(low, top)).select("row")
         fresh = 0
         idle, live = gaps.where(F.col("gap") < low), gaps.where(F.col("gap") >= low)
+        rows_left = gaps.count() + n_left
         while n_left:
+            if rows_left <= task_rows:
+                ended = finish(left, live, capacity, ratio, tiny, opened)
+                done.append(into(ended))
+                live = ended.where(F.col("what") == GAP).select("seq", "gap")
+                opened += n_left
+                break
             if fresh:
                 live = live.unionByName(spark.range(opened, opened + fresh).select(F.col("id").alias("seq"), F.lit(capacity).cast("long").alias("gap")))
                 opened, fresh = opened + fresh, 0
@@ -292,12 +306,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, ratio: float = RATIO, tiny
             )
             order = [F.desc("size"), F.asc("is_doc"), F.asc("seq"), F.asc("row.doc_id"), F.asc("row.piece")]
             swept = spool(match(items.repartitionByRange(*order).sortWithinPartitions(*order)))
-            tallies = [tuple(r) for r in swept.where(F.col("what") == TALLY).select("place", "ord", "slots").collect()]
+            found = swept.where(F.col("what") == TALLY).select("place", "ord", "slots", "seq").collect()
+            tallies = [tuple(r)[:3] for r in found]
             plan = conflicts(tallies)
             placed, rest, left = across(swept, plan)
             was, n_left = n_left, sum(t[1] for t in tallies) - sum(x[2] for x in plan)
+            rows_left = n_left + sum(r["seq"] for r in found)
             if n_left < was:
-                done.append(placed.select("row", F.col("seq").alias("sequence_id"), (F.lit(capacity) - F.col("gap")).alias("offset")))
+                done.append(into(placed.select(F.lit(PLACED).alias("what"), "seq", "gap", "row")))
             elif n_left:
                 fresh = max(1, left.agg(F.sum(length)).first()[0] // capacity)
             idle, live = idle.unionByName(rest.where(F.col("gap") < low)), rest.where(F.col("gap") >= low)

@@ -97,18 +97,19 @@ def test_sweeps_are_as_good_as_best_fit_decreasing(kind):
     lengths = sorted(spread(np.random.default_rng(5), kind, 3000), reverse=True)
     large = [(i, 64 - n) for i, n in enumerate(lengths) if n > 32]
     small = [n for n in lengths if n <= 32]
-    placed = best_fit.in_one_task(small, large, 64, best_fit.RATIO, 4, 10**6)
-    n = check_layout([*((n, i, 0) for i, n in enumerate(lengths) if n > 32), *((n, *p) for n, p in zip(small, placed))], 64)
+    placed, free = best_fit.in_one_task(small, large, 64, best_fit.RATIO, 4, 10**6)
+    n = check_layout([*((n, i, 0) for i, n in enumerate(lengths) if n > 32), *((n, s, 64 - g) for n, (s, g) in zip(small, placed))], 64)
+    assert sum(lengths) + sum(free.values()) == 64 * n
     assert n <= 1.002 * len(token_output.best_fit_decreasing(lengths, 64))
 
 
-@pytest.mark.parametrize("kind", ["even", "half"])
-def test_distributed_sweeps(spark, kind):
+@pytest.mark.parametrize("kind,task_rows", [("even", 0), ("half", 0), ("even", 120), ("even", 700)])
+def test_distributed_sweeps(spark, kind, task_rows):
     lengths = spread(np.random.default_rng(6), kind, 900)
     df = spark.createDataFrame([(i if i % 9 else None, i % 3, n, "x") for i, n in enumerate(lengths)], "doc_id long, piece int, length long, row string").repartition(5)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        got = best_fit.pack(df, 64, tiny=16, task_rows=0).collect()
+        got = best_fit.pack(df, 64, tiny=16, task_rows=task_rows).collect()
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert Counter((r["doc_id"], r["piece"], r["length"], r["row"]) for r in got) == Counter((i if i % 9 else None, i % 3, n, "x") for i, n in enumerate(lengths))
