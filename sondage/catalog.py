@@ -1,7 +1,11 @@
 """A store of indexed documents: batches of chunks as Parquet, live rows named by a versioned document manifest.
 
-A commit appends the new chunks, then writes one new version of the manifest, which readers see only when it is complete;
-so a replaced document never has a gap, and an unchanged one is never rewritten. Deletes touch the manifest alone.
+A commit appends the new chunks (with norm and sign bits of their vectors) and their postings, then writes one new version
+of the manifest, which readers see only when it is complete; so a replaced document never has a gap, and an unchanged one
+is never rewritten. Deletes touch the manifest alone. Postings lie in a folder for each bucket of terms, so a text
+search reads its terms' folders; the manifest has the corpus totals. From ``ivf.THRESHOLD`` chunks on, vector searches
+without a prefix use a stored inverted file, built from an unfiltered search, and read its probed buckets and the batches
+that came after it; when over a tenth of the rows changed it is built again.
 """
 
 from __future__ import annotations
@@ -15,18 +19,27 @@ from pyspark.sql import functions as F
 
 from sondage.errors import InvalidInput, NotFound
 from sondage.functions import text as T
-from sondage.operators import chunking, embedding, extractions, quant, search, store
+from sondage.functions import vectors as V
+from sondage.operators import chunking, embedding, extractions, ivf, quant, search, store
 from sondage.operators.embedding import EmbedderConfig
 from sondage.sources import files, remote
 from sondage.streaming.watch import Snapshots
 
-DOCUMENTS = "path string, hash string, updated_at timestamp, batch string, extraction_batch string"
-CHUNKS = "document_path string, chunk_index int, content string, hash string, char_start int, char_end int, uuid string, embedding array<float>, embedding_model string, embedding_dim int, quant binary, quant_meta " + quant.META
+DOCUMENTS = "path string, hash string, updated_at timestamp, batch string, extraction_batch string, chunks int, words bigint"
+CHUNKS = "document_path string, chunk_index int, content string, hash string, char_start int, char_end int, raw binary, uuid string, embedding array<float>, embedding_model string, embedding_dim int, norm float, signature array<bigint>, quant binary, quant_meta " + quant.META
+POSTINGS = "term string, uuid string, path string, at array<int>, tf int, batch string, bucket int"
+LENGTHS = "uuid string, path string, len int, batch string"
 EXTRACTIONS = "id bigint, document_path string, chunk_uuid string, class string, value string, evidence_text string, span_start int, span_end int, matched boolean, producer string, source_ref string, created_at timestamp"
 CONTEXTS = "path_prefix string, context_text string"
 CONTEXT_HITS, CONTEXT_CHARS = 10, 4000
 
 
+class IndexVersions(Snapshots):
+    """Versions of the vector index: complete ones have their state written."""
+
+    marker = "state/_SUCCESS"
+
+
 class Catalog:
     """One writer at a time; any number of readers. ``path`` is a folder that every executor reaches."""
 
@@ -34,6 +47,7 @@ class Catalog:
         self.spark, self.path, self.embedder, self.quantized = spark, path.rstrip("/"), embedder, quantized
         self._documents = Snapshots(spark, f"{self.path}/documents", DOCUMENTS)
         self._contexts = Snapshots(spark, f"{self.path}/contexts", CONTEXTS)
+        self._indexes = IndexVersions(spark, f"{self.path}/ivf", "")
 
     # Relations.
 
@@ -41,9 +55,7 @@ class Catalog:
         return self._documents.read()
 
     def _live(self, name: str, schema: str, by: str) -> DataFrame:
-        jvm = self.spark.sparkContext._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not folder.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        if not self._exists(name):
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(f"{schema}, batch string").parquet(f"{self.path}/{name}")
         keys = self.documents().select(F.col("path").alias("document_path"), F.col(by).alias("batch"))
@@ -58,6 +70,23 @@ class Catalog:
     def contexts(self) -> DataFrame:
         return self._contexts.read().orderBy("path_prefix")
 
+    def _indexed(self, name: str, schema: str) -> DataFrame:
+        """Live rows of the text index."""
+        if not self._exists(name):
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
+        return rows.join(self.documents().select("path", "batch"), ["path", "batch"], "left_semi")
+
+    def _exists(self, name: str) -> bool:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(folder)
+
+    def postings(self) -> DataFrame:
+        return self._indexed("postings", POSTINGS)
+
+    def lengths(self) -> DataFrame:
+        return self._indexed("lengths", LENGTHS)
+
     # Writes.
 
     def _put(self, fresh: DataFrame) -> int:
@@ -66,19 +95,33 @@ class Catalog:
         batch = uuid.uuid4().hex
         done = embedding.embed(chunking.chunk_documents(todo), config=self.embedder)
         done = quant.with_sidecar(done, self.quantized) if self.quantized else quant.clear_sidecars(done)
-        done.withColumn("batch", F.lit(batch)).write.partitionBy("batch").mode("append").parquet(f"{self.path}/chunks")
+        done = done.withColumns({"norm": V.norm(F.col("embedding")).cast("float"), "signature": V.signature(F.col("embedding"), self.embedder.dims)})
+        self._append(done, batch)
         # The manifest takes its documents from what was written, so a file that changes meanwhile is not mixed in.
         written = self._written(batch)
-        rows = todo.select("path", "hash").join(written, "path", "left_semi").select("path", "hash", F.current_timestamp().alias("updated_at"), F.lit(batch).alias("batch"), F.lit(None).cast("string").alias("extraction_batch"))
+        rows = todo.select("path", "hash").join(written, "path").select(
+            "path", "hash", F.current_timestamp().alias("updated_at"), F.lit(batch).alias("batch"), F.lit(None).cast("string").alias("extraction_batch"), "chunks", "words"
+        )
         count = written.count()
         if count:
             self._documents.write(store.upsert(self.documents(), rows))
         return count
 
+    def _append(self, chunks: DataFrame, batch: str, folder: str | None = None) -> None:
+        """Chunks of a batch and, from what was written, their postings."""
+        folder = folder or self.path
+        columns = [c.strip().split()[0] for c in CHUNKS.split(", quant_meta")[0].split(", ")] + ["quant_meta"]
+        chunks.select(*columns).withColumn("batch", F.lit(batch)).write.partitionBy("batch").mode("append").parquet(f"{folder}/chunks")
+        own = self.spark.read.schema(f"{CHUNKS}, batch string").parquet(f"{folder}/chunks").where(F.col("batch") == batch)
+        index, lengths = search.positions(own.withColumnRenamed("document_path", "path"))
+        index = index.withColumn("bucket", search.bucket_of(F.col("term"))).select(*[c.split()[0] for c in POSTINGS.split(", ")])
+        index.repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").mode("append").parquet(f"{folder}/postings")
+        lengths.select(*[c.split()[0] for c in LENGTHS.split(", ")]).write.partitionBy("batch").mode("append").parquet(f"{folder}/lengths")
+
     def _written(self, batch: str) -> DataFrame:
-        """Paths of a batch; partition pruning reads its folder alone, which isn't there for an empty batch."""
-        rows = self.spark.read.schema(f"{CHUNKS}, batch string").parquet(f"{self.path}/chunks").where(F.col("batch") == batch)
-        return rows.select(F.col("document_path").alias("path")).distinct()
+        """path, chunks, words of a batch's documents; partition pruning reads its folder alone, which isn't there for an empty batch."""
+        rows = self.spark.read.schema(LENGTHS).parquet(f"{self.path}/lengths").where(F.col("batch") == batch)
+        return rows.groupBy("path").agg(F.count("*").cast("int").alias("chunks"), F.sum("len").alias("words"))
 
     def index_directory(self, directory: str) -> tuple[int, int, DataFrame]:
         """(indexed, removed, rejects): changed files in, stored files that are gone out, bad files reported."""
@@ -130,14 +173,53 @@ class Catalog:
         """Give live chunks without a sidecar one, as a new batch of the documents that lack them."""
         lacking = quant.having_sidecar(self.chunks(), False).select("document_path").distinct()
         batch = uuid.uuid4().hex
-        todo = self.chunks().join(lacking, "document_path", "left_semi").select([c.split()[0] for c in CHUNKS.split(", ")][:12])
-        quant.backfill(todo, config).withColumn("batch", F.lit(batch)).write.partitionBy("batch").mode("append").parquet(f"{self.path}/chunks")
-        written = self._written(batch).withColumn("b", F.lit(batch))
+        todo = self.chunks().join(lacking, "document_path", "left_semi")
+        self._append(quant.backfill(todo, config), batch)
+        written = self._written(batch).select("path", F.lit(batch).alias("b"))
         count = written.count()
         if count:
             self._documents.write(self.documents().join(written, "path", "left").withColumn("batch", F.coalesce("b", "batch")).drop("b"))
         return count
 
+    # Vector index.
+
+    def vector_index(self, build: bool = True) -> ivf.VectorIndex | None:
+        """The stored index if it fits the live rows; else, if there are enough of them and ``build``, a new one."""
+        total = self.documents().agg(F.sum("chunks")).first()[0] or 0
+        version = self._indexes.version()
+        index = ivf.load(self.spark, f"{self._indexes.path}/v{version}") if version >= 0 else None
+        if index is not None:
+            known = self.chunks_of(index.state["batches"]).count()
+            if index.state["dims"] == self.embedder.dims and not ivf.needs_rebuild(index.rows - known + total - known, max(1, index.rows)):
+                return index
+        if not build or total < ivf.THRESHOLD:
+            return None
+        own = self.spark.read.schema(f"{CHUNKS}, batch string").parquet(f"{self.path}/chunks").join(
+            self.documents().select(F.col("path").alias("document_path"), "batch"), ["document_path", "batch"], "left_semi"
+        )
+        rows = own.where(F.size("embedding") == self.embedder.dims).select("uuid", "document_path", "batch", "embedding")
+        state = {"batches": sorted(r["batch"] for r in self.documents().select("batch").distinct().collect()), "dims": self.embedder.dims}
+        return ivf.save(rows, f"{self._indexes.path}/v{version + 1}", state)
+
+    def chunks_of(self, batches: list[str], others: bool = False) -> DataFrame:
+        """Live chunks of these batches, or of all others; folders of the rest are not read."""
+        inside = F.col("batch").isin(batches)
+        rows = self.documents().where(~inside if others else inside).select(F.col("path").alias("document_path"), "batch")
+        if not self._exists("chunks"):
+            return self.spark.createDataFrame([], f"{CHUNKS}, batch string")
+        return self.spark.read.schema(f"{CHUNKS}, batch string").parquet(f"{self.path}/chunks").where(~inside if others else inside).join(rows, ["document_path", "batch"], "left_semi")
+
+    def _nearest(self, vector: list[float], limit: int, prefix: str | None = None) -> DataFrame:
+        """The router over the store's vectors: inverted file, or all live rows with their stored norms."""
+        index = self.vector_index() if limit > 0 and not prefix else None
+        live = self.documents().select(F.col("path").alias("document_path"), "batch")
+        if index is not None:
+            near = index.read(self.spark, vector)
+            if near is not None:
+                rows = near.join(live, ["document_path", "batch"], "left_semi").select("uuid", "embedding")
+                return search.vector_topk(rows.unionByName(self.chunks_of(index.state["batches"], True).select("uuid", "embedding")), vector, limit)
+        return search.vector_topk(self.chunks().withColumnRenamed("document_path", "path"), vector, limit, prefix)
+
     # Queries.
 
     def status(self) -> DataFrame:
@@ -154,16 +236,21 @@ class Catalog:
         mode = "fallback" if stored and stored[0] != models[0] else "exact"
         chunks = own.withColumnRenamed("document_path", "path")
         options = search.SearchOptions(prefix=prefix, rerank=rerank, expanded=texts[1] if len(texts) > 1 else None)
-        hits = search.hybrid(chunks, chunks, query, texts[0], limit, options).join(own.select("uuid", "char_start", "char_end"), "uuid")
+        hits = search.hybrid(chunks, chunks, query, texts[0], limit, options, self._legs(query, prefix)).join(own.select("uuid", "char_start", "char_end"), "uuid")
         found = search.structured(hits, query, mode)
         return found.join(store.longest_context(found.select("path").distinct(), self.contexts()), "path", "left").orderBy(F.desc("rrf_score"), "uuid")
 
-    def similar(self, query: str, limit: int = 10) -> DataFrame:
-        """Vector search alone, by sidecars where the catalog has them."""
+    def _legs(self, query: str, prefix: str | None) -> tuple[Callable[[int], DataFrame], Callable[[list[float], int], DataFrame]]:
+        totals = self.documents().agg(F.sum("chunks"), F.sum("words")).first()
+        words = lambda depth: search.bm25_indexed(self.postings(), self.lengths(), query, depth, prefix, (totals[0] or 0, totals[1] or 0))
+        return words, lambda vector, depth: self._nearest(vector, depth, prefix)
+
+    def similar(self, query: str, limit: int = 10, prefix: str | None = None) -> DataFrame:
+        """Vector search alone, by sidecars where the catalog has them, else by the inverted file or a scan."""
         vector = self._vectors([query])[0][0]
         if self.quantized:
             return quant.quantized_search(self.chunks(), vector, limit, self.quantized)
-        return search.vector_topk(self.chunks(), vector, limit)
+        return self._nearest(vector, limit, prefix)
 
     def _vectors(self, texts: list[str]) -> tuple[list[list[float]], list[str]]:
         """Vectors of query texts, on the driver and without retries."""
@@ -179,7 +266,7 @@ class Catalog:
         """Chunks about a topic with their sources, in rank order within the budget."""
         vector = self._vectors([topic])[0][0]
         chunks = self.chunks().withColumnRenamed("document_path", "path")
-        hits = search.hybrid(chunks, chunks, topic, vector, CONTEXT_HITS)
+        hits = search.hybrid(chunks, chunks, topic, vector, CONTEXT_HITS, legs=self._legs(topic, None))
         rows = search.pack_context(store.ranks(hits, [F.desc("rrf_score"), F.col("uuid")]), max_chars).orderBy("rank").collect()
         return f"# Context: {topic}\n\n" + "\n\n---\n\n".join(f"Source: {r['path']}\n\n{r['content']}" for r in rows)
 
@@ -188,12 +275,12 @@ class Catalog:
 
     def text_of(self, path: str, start: int = 1, most: int = 0) -> str:
         """Lines of a document as stored: its chunks joined at their byte spans."""
-        rows = self.chunks().where(F.col("document_path") == path).select("char_start", "char_end", "content").orderBy("char_start").collect()
+        rows = self.chunks().where(F.col("document_path") == path).select("char_start", "content", "raw").orderBy("char_start").collect()
         if not rows:
             raise NotFound(f"{path} isn't indexed")
         out, at = b"", 0
         for r in rows:
-            piece = r["content"].encode()
+            piece = r["content"].encode() if r["raw"] is None else bytes(r["raw"])
             if r["char_start"] > at:
                 out += b"\n" * (r["char_start"] - at)
                 at = r["char_start"]
@@ -206,9 +293,8 @@ class Catalog:
     def compact(self) -> str:
         """Write the live rows to a new folder of the same layout with one batch; the caller swaps the folders."""
         target = f"{self.path}-{uuid.uuid4().hex[:8]}"
-        batch = lambda df: df.withColumn("batch", F.lit("0")).write.partitionBy("batch").parquet
-        batch(self.chunks())(f"{target}/chunks")
-        batch(self.extractions())(f"{target}/extractions")
+        self._append(self.chunks(), "0", target)
+        self.extractions().withColumn("batch", F.lit("0")).write.partitionBy("batch").parquet(f"{target}/extractions")
         has: Column = F.when(F.col("extraction_batch").isNotNull(), F.lit("0"))
         Snapshots(self.spark, f"{target}/documents", DOCUMENTS).write(self.documents().withColumns({"batch": F.lit("0"), "extraction_batch": has}))
         Snapshots(self.spark, f"{target}/contexts", CONTEXTS).write(self._contexts.read())

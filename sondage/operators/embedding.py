@@ -48,7 +48,7 @@ def hash_vector(text: str, dims: int = 768) -> np.ndarray:
     for i, word in enumerate(text.lower().translate(_TABLE).split()):
         if word not in _STOP:
             out[_word_hash(word) % dims] += np.float32(1.0) + np.float32(digest[i] / 255.0 if i < len(digest) else 0.0)
-    size = np.float32(np.sqrt(np.sum(out.astype(np.float64) ** 2)))
+    size = np.float32(np.sqrt(np.sum((out * out).astype(np.float64))))  # squares are single, their sum is double
     if size > 0:
         return out / size
     out[0] = 1.0

@@ -90,7 +90,7 @@ def with_sidecar(vectors: DataFrame, config: QuantConfig = QuantConfig()) -> Dat
     """Adds quant and quant_meta (both null for a null or empty embedding); the dimension is each row's own."""
     base = vectors.drop("quant", "quant_meta")
     at = base.columns.index("embedding")
-    names = [*base.columns, "quant", "norm"]
+    names = [*base.columns, "quant", "quant_norm"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,9 +104,9 @@ def with_sidecar(vectors: DataFrame, config: QuantConfig = QuantConfig()) -> Dat
                     blobs[i], norms[i] = c, float(n)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(blobs, pa.binary()), pa.array(norms, pa.float32())], names=names)
 
-    done = base.mapInArrow(run, StructType([*base.schema.fields]).add("quant", "binary").add("norm", "float"))
-    meta = F.struct(F.lit(VERSION).alias("codec_version"), F.size("embedding").alias("dimension"), F.lit(config.bits).alias("bit_width"), F.lit(config.mode).alias("quantizer_mode"), F.lit(config.seed).cast("long").alias("projection_seed"), F.col("norm"))
-    return done.withColumn("quant_meta", F.when(F.col("quant").isNotNull(), meta)).drop("norm")
+    done = base.mapInArrow(run, StructType([*base.schema.fields]).add("quant", "binary").add("quant_norm", "float"))
+    meta = F.struct(F.lit(VERSION).alias("codec_version"), F.size("embedding").alias("dimension"), F.lit(config.bits).alias("bit_width"), F.lit(config.mode).alias("quantizer_mode"), F.lit(config.seed).cast("long").alias("projection_seed"), F.col("quant_norm").alias("norm"))
+    return done.withColumn("quant_meta", F.when(F.col("quant").isNotNull(), meta)).drop("quant_norm")
 
 
 def having_sidecar(chunks: DataFrame, has: bool = True) -> DataFrame:

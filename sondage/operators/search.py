@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructType
 
 from sondage.functions import text as T
 from sondage.functions import vectors as V
+from sondage.operators import ivf
 
 K1, B = 1.2, 0.75
 RRF_K = 60
 SHORTLIST = 4
 RERANK_TOP = 20
+POSTING_BUCKETS = 32
 
 
 def fetch_depth(limit: int) -> int:
@@ -32,7 +30,7 @@ def query_phrases(query: str) -> list[str]:
 def bm25(chunks: DataFrame, query: str, limit: int, prefix: str | None = None, like_compat: bool = False) -> DataFrame:
     """uuid, bm25_rank, bm25: all phrases required; corpus statistics are global, the prefix is applied before the limit.
 
-    One pass over the text computes counts; the statistics are one row. For many queries use ``postings``.
+    One pass over the text computes counts; the statistics are one row. ``bm25_indexed`` reads stored postings instead.
     """
     phrases = query_phrases(query)
     words = chunks.select("uuid", "path", T.word_string(F.col("content")).alias("w"))
@@ -41,17 +39,13 @@ def bm25(chunks: DataFrame, query: str, limit: int, prefix: str | None = None, l
     if not phrases:
         return counts.where("false").select("uuid", F.lit(0).alias("bm25_rank"), F.lit(0.0).alias("bm25"))
     stats = counts.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl"), *[F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(phrases))])
-    score: Column = F.lit(0.0)
     keep: Column = F.lit(True)
     for i in range(len(phrases)):
-        tf, n = F.col(f"tf{i}"), F.col(f"n{i}")
-        idf = F.greatest(F.log((F.col("N") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-        keep = keep & (tf > 0)
+        keep = keep & (F.col(f"tf{i}") > 0)
     hits = counts.where(keep)
     if prefix:
         hits = hits.where(T.path_prefix(F.col("path"), prefix, like_compat))
-    top = hits.crossJoin(F.broadcast(stats)).select("uuid", F.round(score, 9).alias("bm25")).orderBy(F.desc("bm25"), "uuid").limit(limit)
+    top = hits.crossJoin(F.broadcast(stats)).select("uuid", F.round(_score(len(phrases)), 9).alias("bm25")).orderBy(F.desc("bm25"), "uuid").limit(limit)
     return ranked(top, "bm25_rank", "bm25").select("uuid", "bm25_rank", "bm25")
 
 
@@ -67,6 +61,69 @@ def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return tokens.select("uuid", F.explode("t").alias("term")).groupBy("term", "uuid").agg(F.count("*").cast("int").alias("tf")), tokens.select("uuid", F.size("t").alias("len"))
 
 
+def positions(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, uuid, path, tf, at: places of the term) and (uuid, path, len): an index for phrase queries."""
+    keep = [c for c in ("uuid", "path", "batch") if c in chunks.columns]
+    tokens = chunks.select(*keep, F.filter(F.split(T.word_string(F.col("content")), " +"), lambda x: x != "").alias("t"))
+    each = tokens.select(*keep, F.posexplode("t").alias("at", "term"))
+    index = each.groupBy("term", *keep).agg(F.sort_array(F.collect_list("at")).alias("at")).withColumn("tf", F.size("at"))
+    return index, tokens.select(*keep, F.size("t").alias("len"))
+
+
+def bucket_of(term: Column) -> Column:
+    """Folder of a term's postings in a stored index."""
+    return F.pmod(F.xxhash64(term), F.lit(POSTING_BUCKETS)).cast("int")
+
+
+def _occurrences(words: list[str]) -> Column:
+    """Places of a phrase from the map of its words' places; a word's own count where it is one word."""
+    follows = lambda word, i: lambda x: F.array_contains(F.col("found")[word], x + i)
+    first = F.col("found")[words[0]]
+    for i, word in enumerate(words[1:], 1):
+        first = F.filter(first, follows(word, i))
+    return F.greatest(F.coalesce(F.size(first), F.lit(0)), F.lit(0))
+
+
+def bm25_indexed(index: DataFrame, lengths: DataFrame, query: str, limit: int, prefix: str | None = None, totals: tuple[int, int] | None = None) -> DataFrame:
+    """``bm25`` from postings with places: only the query's terms are read (of a stored index, only their folders).
+
+    ``totals``: rows and words of the corpus where they are known; else one pass over ``lengths``. Overlapping
+    occurrences of a phrase that repeats its own word count each.
+    """
+    phrases = [p.split() for p in query_phrases(query)]
+    if not phrases:
+        return lengths.where("false").select("uuid", F.lit(0).alias("bm25_rank"), F.lit(0.0).alias("bm25"))
+    terms = sorted({w for p in phrases for w in p})
+    if "bucket" in index.columns:
+        spark = index.sparkSession
+        own = spark.createDataFrame([(t,) for t in terms], "term string").select(bucket_of(F.col("term")).alias("b")).distinct().collect()
+        index = index.where(F.col("bucket").isin([r["b"] for r in own]))
+    hits = index.where(F.col("term").isin(terms)).groupBy("uuid").agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("found"))
+    counts = hits.select("uuid", *[_occurrences(p).alias(f"tf{i}") for i, p in enumerate(phrases)])
+    known = counts.agg(*[F.count_if(F.col(f"tf{i}") > 0).alias(f"n{i}") for i in range(len(phrases))])
+    if totals:
+        stats = known.withColumns({"N": F.lit(totals[0]), "avgdl": F.lit(totals[1] / max(1, totals[0]))})
+    else:
+        stats = known.crossJoin(lengths.agg(F.count("*").alias("N"), F.avg("len").alias("avgdl")))
+    keep: Column = F.lit(True)
+    for i in range(len(phrases)):
+        keep = keep & (F.col(f"tf{i}") > 0)
+    rows = counts.where(keep).join(lengths, "uuid")
+    if prefix:
+        rows = rows.where(T.path_prefix(F.col("path"), prefix))
+    top = rows.crossJoin(F.broadcast(stats)).select("uuid", F.round(_score(len(phrases)), 9).alias("bm25")).orderBy(F.desc("bm25"), "uuid").limit(limit)
+    return ranked(top, "bm25_rank", "bm25").select("uuid", "bm25_rank", "bm25")
+
+
+def _score(phrases: int) -> Column:
+    score: Column = F.lit(0.0)
+    for i in range(phrases):
+        tf, n = F.col(f"tf{i}"), F.col(f"n{i}")
+        idf = F.greatest(F.log((F.col("N") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
+    return score
+
+
 def update_postings(index: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
     """Postings without the changed uuids, plus their new ones."""
     return index.join(changed.select("uuid").distinct(), "uuid", "left_anti").select(index.columns).unionByName(fresh)
@@ -90,7 +147,8 @@ def vector_topk(vectors: DataFrame, query: list[float], limit: int, prefix: str
         vectors, limit = vectors.where("false"), 1
     if prefix:
         vectors = vectors.where(T.path_prefix(F.col("path"), prefix))
-    scored = vectors.select("uuid", F.round(V.cosine(V.literal(query), F.col("embedding")), 6).alias("cosine_score"))
+    size = F.col("norm") if "norm" in vectors.columns else None
+    scored = vectors.select("uuid", F.round(V.cosine(V.literal(query), F.col("embedding"), size), 6).alias("cosine_score"))
     return ranked(scored.orderBy(F.desc("cosine_score"), "uuid").limit(limit), "vector_rank", "cosine_score")
 
 
@@ -98,12 +156,36 @@ def hamming_shortlist(vectors: DataFrame, query: list[float], limit: int) -> Dat
     """The ``4 * limit`` nearest by sign bits; all rows if there are no more, or if the first and last of them tie."""
     dim, k = len(query), SHORTLIST * limit
     own = V.signature(V.literal(query), dim)
-    far = vectors.withColumn("distance", V.hamming(V.signature(F.col("embedding"), dim), own))
+    stored = F.col("signature") if "signature" in vectors.columns else V.signature(F.col("embedding"), dim)
+    far = vectors.withColumn("distance", V.hamming(stored, own))
     short = far.orderBy("distance", "uuid").limit(k)
     state = short.agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.max("distance").alias("high")).first()
     return far if state["n"] < k or state["low"] == state["high"] else short
 
 
+def full_scan(vectors: DataFrame, query: list[float], limit: int, prefix: str | None = None) -> DataFrame:
+    """All rows under the prefix, cut to a shortlist by sign bits, ranked exactly."""
+    if prefix:
+        vectors = vectors.where(T.path_prefix(F.col("path"), prefix))
+    return vector_topk(hamming_shortlist(vectors, query, limit) if limit > 0 else vectors, query, limit)
+
+
+def route(vectors: DataFrame, query: list[float], limit: int, prefix: str | None = None, index: ivf.VectorIndex | None = None, missing: DataFrame | None = None) -> DataFrame:
+    """Vector search: nothing for no limit; the probed buckets of a ready index (and the rows ``missing`` in it) where no prefix
+    is given; else all rows, exactly. Rows of the index count only if ``vectors`` still has them."""
+    if limit > 0 and not prefix and index is not None and index.ready:
+        near = index.read(vectors.sparkSession, query)
+        if near is not None:
+            keys = [c for c in ("document_path", "batch") if c in near.columns and c in vectors.columns] or ["uuid"]
+            rows = near.join(vectors.select(*keys).distinct(), keys, "left_semi").select("uuid", "embedding")
+            if missing is not None:
+                rows = rows.unionByName(missing.select("uuid", "embedding"))
+            found = vector_topk(rows, query, limit)
+            if found.limit(1).count():
+                return found
+    return vector_topk(vectors, query, limit, prefix)
+
+
 def rrf(bm25_leg: DataFrame, vector_leg: DataFrame, limit: int) -> DataFrame:
     """Full outer join of the legs on uuid; absent ranks are 0; ties by uuid."""
     part = lambda c: F.coalesce(1 / (RRF_K + F.col(c)), F.lit(0.0))
@@ -122,13 +204,17 @@ class SearchOptions:
     expanded: list[float] | None = None  # vector of a hypothetical passage, averaged with the query's
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int, options: SearchOptions = SearchOptions()) -> DataFrame:
-    """BM25 and vector legs fused by reciprocal rank; content is fetched for the survivors only."""
+def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, vector: list[float], limit: int, options: SearchOptions = SearchOptions(), legs: tuple[Callable[[int], DataFrame], Callable[[list[float], int], DataFrame]] | None = None) -> DataFrame:
+    """BM25 and vector legs fused by reciprocal rank; content is fetched for the survivors only. ``legs``: how a store answers
+    them from its indexes, by depth; else both are scans."""
     depth = fetch_depth(limit)
     if options.expanded:
         vector = [(a + b) / 2 for a, b in zip(vector, options.expanded)]
-    legs = bm25(chunks, query, depth, options.prefix), vector_topk(vectors, vector, depth, options.prefix)
-    top = rrf(*legs, limit)
+    if legs:
+        both = legs[0](depth), legs[1](vector, depth)
+    else:
+        both = bm25(chunks, query, depth, options.prefix), vector_topk(vectors, vector, depth, options.prefix)
+    top = rrf(*both, limit)
     hits = chunks.join(F.broadcast(top), "uuid").select("uuid", "path", "content", "bm25_rank", "vector_rank", "cosine_score", "rrf_score")
     if options.rerank is None or limit <= 0:
         return hits
@@ -208,79 +294,6 @@ def check_one_space(chunks: DataFrame) -> None:
         raise ValueError(f"vectors of several spaces: {sorted(spaces)}; index again with one model")
 
 
-# Inverted file.
-
-
-def bucket_count(n: int) -> int:
-    return min(n, 256, max(4, int(math.sqrt(n)))) if n else 0
-
-
-def probe_count(k: int) -> int:
-    return min(k, max(3, int(math.sqrt(k)) + 1))
-
-
-def ivf_build(vectors: DataFrame, iterations: int = 3) -> tuple[list[list[float]], DataFrame]:
-    """(at most 256 centroids, postings of (uuid, bucket)): evenly spaced seeds, Lloyd steps by cosine."""
-    n = vectors.count()
-    k = bucket_count(n)
-    if not k:
-        return [], vectors.select("uuid", F.lit(0).alias("bucket"))
-    seeds = vectors.select("uuid", "embedding").orderBy(F.xxhash64("uuid"), "uuid").limit(k).collect()
-    centroids = [list(map(float, r["embedding"])) for r in seeds]
-    for _ in range(iterations):
-        moved = nearest(vectors, centroids).select("bucket", F.posexplode("embedding").alias("at", "x")).groupBy("bucket", "at").agg(F.avg("x").alias("x"))
-        for r in moved.groupBy("bucket").agg(F.sort_array(F.collect_list(F.struct("at", "x"))).alias("v")).collect():
-            centroids[r["bucket"]] = [x["x"] for x in r["v"]]
-    return centroids, nearest(vectors, centroids).select("uuid", "bucket")
-
-
-def nearest(vectors: DataFrame, centroids: list[list[float]]) -> DataFrame:
-    """``vectors`` with the bucket of the centroid of highest cosine (lowest number on ties); at most 256 centroids."""
-    table = np.asarray(centroids, np.float64)
-    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-30)
-    at = vectors.columns.index("embedding")
-    names = [*vectors.columns, "bucket"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = np.asarray(batch.column(at).to_pylist(), np.float64).reshape(batch.num_rows, -1)
-            best = np.round(own @ table.T, 9).argmax(axis=1) if batch.num_rows else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32))], names=names)
-
-    return vectors.mapInArrow(run, StructType([*vectors.schema.fields]).add("bucket", IntegerType()))
-
-
-def ivf_search(vectors: DataFrame, centroids: list[list[float]], lists: DataFrame, query: list[float], limit: int) -> DataFrame:
-    """Exact ranking of the probed buckets' vectors."""
-    size = lambda v: math.sqrt(sum(x * x for x in v)) or 1.0
-    score = [sum(a * b for a, b in zip(query, c)) / (size(query) * size(c)) for c in centroids]
-    probes = sorted(range(len(centroids)), key=lambda i: (-score[i], i))[: probe_count(len(centroids))] if centroids else []
-    return vector_topk(vectors.join(lists.where(F.col("bucket").isin(probes)), "uuid", "left_semi"), query, limit)
-
-
-IVF_THRESHOLD = 128
-
-
-def ivf_update(lists: DataFrame, gone: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Postings without the uuids of ``gone`` and ``fresh``, plus ``fresh`` (uuid, bucket)."""
-    out = gone.select("uuid").unionByName(fresh.select("uuid")).distinct()
-    return lists.join(out, "uuid", "left_anti").select("uuid", "bucket").unionByName(fresh.select("uuid", "bucket"))
-
-
-def ivf_needs_rebuild(changed: int, total: int) -> bool:
-    """Over a tenth of the rows changed since the build."""
-    return changed * 10 > total
-
-
-def route(vectors: DataFrame, query: list[float], limit: int, prefix: str | None = None, index: tuple[list[list[float]], DataFrame] | None = None) -> DataFrame:
-    """Vector search by the inverted file where one is given and no prefix is; exact where it finds nothing."""
-    if index and index[0] and not prefix and limit > 0:
-        found = ivf_search(vectors, *index, query, limit)
-        if found.limit(1).count():
-            return found
-    return vector_topk(vectors, query, limit, prefix)
-
-
 def structured(hits: DataFrame, query: str, mode: str) -> DataFrame:
     """Hits as they leave the engine: the snippet replaces the content; spans stay where the hits have them."""
     spans = [c for c in ("char_start", "char_end") if c in hits.columns]

@@ -30,9 +30,12 @@ def orphans(stored: DataFrame, listing: DataFrame, directory: str) -> DataFrame:
 
 
 def longest_context(paths: DataFrame, contexts: DataFrame) -> DataFrame:
-    """path, context_text of the longest matching prefix. ``contexts`` is a small table of folders."""
-    joined = paths.join(F.broadcast(contexts), F.col("path").startswith(F.col("path_prefix")), "left")
-    return joined.groupBy("path").agg(F.max_by("context_text", F.length("path_prefix")).alias("context_text"))
+    """path, context_text of the longest matching prefix: an equi-join on the path's heads of the lengths that prefixes have."""
+    lengths = F.broadcast(contexts.agg(F.sort_array(F.collect_set(F.length("path_prefix"))).alias("lengths")))
+    own = F.filter("lengths", lambda n: n <= F.length("path"))
+    heads = paths.crossJoin(lengths).select("path", F.explode_outer(own).alias("n")).withColumn("path_prefix", F.expr("substring(path, 1, n)"))
+    joined = heads.join(contexts, "path_prefix", "left").where(F.col("context_text").isNotNull()).groupBy("path").agg(F.max_by("context_text", "n").alias("context_text"))
+    return paths.select("path").distinct().join(joined, "path", "left")
 
 
 def span_chunks(extractions: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -6,12 +6,13 @@ Documents stand for stored documents and one-chunk documents (uuid = doc_id), em
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.functions import text as T
 from sondage.functions import vectors as V
-from sondage.operators import chunking, embedding, evaluate, extractions, quant, search, store
+from sondage.operators import chunking, embedding, evaluate, extractions, ivf, quant, search, store
 from sondage.sources import files
 from sondage.session import table
 
@@ -72,7 +73,7 @@ def p10_newline_runs(s, d):
 
 @query()
 def c02_chunks(s, d):
-    return chunking.chunk_documents(docs(s, d))
+    return chunking.chunk_documents(docs(s, d)).drop("raw")
 
 
 @query(f"""SELECT path, CAST(st AS INTEGER) AS start, sha256(from_hex(substring(hex(encode(content)), 2 * CAST(st AS INTEGER) + 1, 2000))) AS hash
@@ -99,9 +100,20 @@ def c07_frontmatter(s, d):
     return docs(s, d).select("doc_id", T.frontmatter_sha256(F.concat(head, "content")).alias("sha"))
 
 
-@query()
+_SPLIT = "list_filter(regexp_split_to_array(translate(lower(text), '" + T.PUNCTUATION + "', repeat(' ', " + str(len(T.PUNCTUATION)) + r")), '\s+'), lambda w: w <> '')"
+_BYTES = "list_transform(range(0, strlen(word)), lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS UBIGINT))"
+
+
+@query(f"""WITH l AS (SELECT doc_id, sha256(text) AS digest, {_SPLIT} AS words FROM documents),
+w AS (SELECT doc_id, digest, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM l),
+h AS (SELECT word, list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), {_BYTES}), lambda a, b: (xor(a, b) * 16777619) & 4294967295) % 64 AS slot FROM (SELECT DISTINCT word FROM w WHERE word NOT IN ('{"','".join(T.STOP_WORDS)}'))),
+x AS (SELECT doc_id, slot, list_reduce(list(CAST(1 AS FLOAT) + CASE WHEN i < 32 THEN CAST(CAST(CAST('0x' || substr(digest, 2 * i + 1, 2) AS INTEGER) AS DOUBLE) / CAST(255 AS DOUBLE) AS FLOAT) ELSE CAST(0 AS FLOAT) END ORDER BY i), lambda a, b: CAST(a + b AS FLOAT)) AS v FROM w JOIN h USING (word) GROUP BY doc_id, slot),
+n AS (SELECT doc_id, CAST(sqrt(sum(CAST(CAST(v * v AS FLOAT) AS DOUBLE))) AS FLOAT) AS size, map(list(slot ORDER BY slot), list(v ORDER BY slot)) AS m FROM x GROUP BY doc_id)
+SELECT doc_id, list_transform(range(0, 64), lambda i: round(CAST(coalesce(CASE WHEN size > 0 THEN CAST(coalesce(m[CAST(i AS UBIGINT)], 0) / size AS FLOAT) END, CASE WHEN i = 0 THEN 1 ELSE 0 END) AS DOUBLE), 6)) AS embedding,
+'{embedding.LOCAL_MODEL}' AS embedding_model, CAST(64 AS INTEGER) AS embedding_dim FROM documents LEFT JOIN n USING (doc_id)""")
 def e01_hash_embedding(s, d):
-    return embedding.embed(docs(s, d).select("doc_id", "content"), config=embedding.EmbedderConfig(dims=64)).drop("content")
+    done = embedding.embed(docs(s, d).select("doc_id", "content"), config=embedding.EmbedderConfig(dims=64)).drop("content")
+    return done.withColumn("embedding", F.transform("embedding", lambda x: F.round(x.cast("double"), 6)))
 
 
 @query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(lower(text), ' ')) AS word FROM documents) WHERE word IN ('" + "','".join(T.STOP_WORDS) + "') GROUP BY word")
@@ -148,11 +160,36 @@ def v10_hamming_shortlist(s, d):
     return search.hamming_shortlist(vectors(s, d), probe(s, d), 10).select("uuid", "distance")
 
 
-@query()
+_PROBES = tuple(range(3, 500, 50))
+
+
+@query("SELECT CAST(" + str(len(_PROBES)) + " AS INTEGER) AS queries, true AS ranked_as_exact, true AS recall_over_05")
 def v14_ivf_search(s, d):
+    """The probed buckets' rows stand in the order of the exact search; recall at ten over ten queries."""
     own = vectors(s, d)
-    centroids, lists = search.ivf_build(own)
-    return search.ivf_search(own, centroids, lists, probe(s, d), 10)
+    centroids = ivf.build(own)
+    lists = ivf.nearest(own, centroids).select("uuid", "bucket").persist()
+    good = hits = 0
+    for v in _PROBES:
+        q = probe(s, d, v)
+        inside = own.join(lists.where(F.col("bucket").isin(ivf.probes(centroids, q))), "uuid", "left_semi")
+        got = [r["uuid"] for r in search.vector_topk(inside, q, 10).orderBy("vector_rank").collect()]
+        held = {r["uuid"] for r in inside.select("uuid").collect()}
+        exact = [r["uuid"] for r in search.vector_topk(own, q, 10).orderBy("vector_rank").collect()]
+        good += [u for u in got if u in exact] == [u for u in exact if u in held]
+        hits += len(set(got) & set(exact))
+    lists.unpersist()
+    return s.createDataFrame([(len(_PROBES), good == len(_PROBES), hits >= 5 * len(_PROBES))], "queries int, ranked_as_exact boolean, recall_over_05 boolean")
+
+
+@query(f"""SELECT uuid, CAST(row_number() OVER (ORDER BY c DESC, uuid) AS INTEGER) AS vector_rank, c AS cosine_score FROM (
+SELECT uuid, round({_COSINE}, 6) AS c FROM (SELECT CAST(x.vec_id AS VARCHAR) AS uuid, x.embedding AS a, q.embedding AS b FROM embeddings x, embeddings q
+WHERE q.vec_id = 25 AND x.label % 2 = 1 ORDER BY CAST({_HAM} AS INTEGER), 1 LIMIT 40)) ORDER BY 2 LIMIT 10""")
+def v06_full_scan(s, d):
+    """Path, sign-bit shortlist from stored signatures and norms, exact ranking."""
+    own = vectors(s, d).withColumn("path", F.concat(F.when(F.col("label") % 2 == 1, F.lit("/odd")).otherwise(F.lit("/even")), "path"))
+    own = own.withColumns({"norm": V.norm(F.col("embedding")), "signature": V.signature(F.col("embedding"), 64)})
+    return search.full_scan(own, probe(s, d), 10, "/odd")
 
 
 @query("SELECT x.vec_id, list_transform(range(1, 65), lambda i: round(CAST((x.embedding[i] + q.embedding[i]) / 2 AS FLOAT), 5)) AS v FROM embeddings x, embeddings q WHERE q.vec_id = 25")
@@ -184,6 +221,16 @@ def t03_bm25_path(s, d):
     return search.bm25(docs(s, d), QUERY, 50, "/src1").withColumn("bm25", F.round("bm25", 6))
 
 
+@query(_bm25_sql(50))
+def t02_bm25_indexed(s, d):
+    return search.bm25_indexed(*search.positions(docs(s, d)), QUERY, 50).withColumn("bm25", F.round("bm25", 6))
+
+
+@query(_bm25_sql(50, "path LIKE '/src1%'", "under-the licensed"))
+def t03_bm25_indexed_path(s, d):
+    return search.bm25_indexed(*search.positions(docs(s, d)), "under-the licensed", 50, "/src1").withColumn("bm25", F.round("bm25", 6))
+
+
 @query("""SELECT doc_id, CASE WHEN length(text) <= 300 THEN text WHEN p IS NULL THEN substring(text, 1, 300)
 ELSE substring(text, CAST(greatest(0, least(greatest(0, p - 1 - 150), length(text) - 300)) AS BIGINT) + 1, 300) END AS snippet
 FROM (SELECT doc_id, text, least(nullif(instr(lower(text), 'license'), 0), nullif(instr(lower(text), 'under'), 0)) AS p FROM documents)""")
@@ -267,10 +314,12 @@ def a12_trim_passage(s, d):
     return table(s, d, "documents").select("doc_id", search.trim_passage(F.col("text")).alias("passage"))
 
 
-@query("""SELECT uuid, rank, used FROM (SELECT uuid, rank, CAST(sum(n) OVER (ORDER BY rank) AS BIGINT) AS used FROM (
-SELECT CAST(doc_id AS VARCHAR) AS uuid, CAST(doc_id + 1 AS INTEGER) AS rank, length(text) AS n FROM documents WHERE doc_id < 10)) WHERE used <= 8000""")
+@query(f"""WITH r AS ({_bm25_sql(200, query="the and")}), x AS (SELECT r.uuid, bm25_rank AS rank, length(content) AS n FROM r JOIN ({_DOCS}) d ON d.uuid = r.uuid)
+SELECT uuid, rank, used FROM (SELECT uuid, rank, CAST(sum(n) OVER (ORDER BY rank) AS BIGINT) AS used FROM x) WHERE used <= 8000""")
 def a13_context_pack(s, d):
-    hits = docs(s, d).where("doc_id < 10").select("uuid", (F.col("doc_id") + 1).cast("int").alias("rank"), "content")
+    """The hits of a query over all documents, packed in rank order."""
+    own = docs(s, d)
+    hits = search.bm25(own, "the and", 200).withColumnRenamed("bm25_rank", "rank").join(own.select("uuid", "content"), "uuid")
     return search.pack_context(hits, 8000).select("uuid", "rank", "used")
 
 
@@ -363,7 +412,7 @@ _IVF_SEEDS = "SELECT vec_id AS c, embedding AS b FROM embeddings WHERE vec_id <
 @query(f"SELECT vec_id, CAST(arg_max(c, round(s, 9) * 1000 - c * 1e-9) AS INTEGER) AS bucket FROM (SELECT vec_id, c, {_COSINE} AS s FROM (SELECT x.vec_id, x.embedding AS a, k.c, k.b FROM embeddings x, ({_IVF_SEEDS}) k)) GROUP BY vec_id")
 def v13_ivf_assign(s, d):
     centroids = [list(map(float, r[0])) for r in table(s, d, "embeddings").where("vec_id < 8").orderBy("vec_id").select("embedding").collect()]
-    return search.nearest(vectors(s, d), centroids).select("vec_id", "bucket")
+    return ivf.nearest(vectors(s, d), np.asarray(centroids)).select("vec_id", "bucket")
 
 
 @query("SELECT CAST(vec_id AS VARCHAR) AS uuid, CASE WHEN vec_id % 4 = 0 THEN 1 ELSE 0 END AS bucket FROM embeddings WHERE vec_id % 3 <> 0")
@@ -371,12 +420,13 @@ def v15_ivf_update(s, d):
     own = vectors(s, d)
     lists = own.where("vec_id % 4 <> 0").select("uuid", F.lit(0).alias("bucket"))
     fresh = own.where("vec_id % 4 = 0").select("uuid", F.lit(1).alias("bucket"))
-    return search.ivf_update(lists, own.where("vec_id % 3 = 0"), fresh.join(own.where("vec_id % 3 <> 0"), "uuid", "left_semi"))
+    return ivf.update(lists, own.where("vec_id % 3 = 0"), fresh.join(own.where("vec_id % 3 <> 0"), "uuid", "left_semi"))
 
 
-@query()
+@query(ORACLES["v04_vector_topk"].replace("LIMIT 20", "LIMIT 10"))
 def v18_quantized_search(s, d):
-    return quant.quantized_search(quant.with_sidecar(vectors(s, d)), probe(s, d), 10)
+    """With exact re-ranking of the shortlist: the rows of the exact search."""
+    return quant.quantized_search(quant.with_sidecar(vectors(s, d)), probe(s, d), 10).select("uuid", "vector_rank", "cosine_score")
 
 
 @query("SELECT vec_id % 2 = 0 AS quantized, count(*) AS n, CAST(max(CASE WHEN vec_id % 2 = 0 THEN 36 END) AS INTEGER) AS bytes FROM embeddings GROUP BY 1")

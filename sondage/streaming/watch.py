@@ -14,6 +14,8 @@ from sondage.operators.store import latest
 class Snapshots:
     """Versions of a relation as Parquet folders; a version is complete once its marker is written."""
 
+    marker = "_SUCCESS"
+
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
@@ -25,7 +27,7 @@ class Snapshots:
         if not fs.exists(folder):
             return -1
         names = [s.getPath() for s in fs.listStatus(folder)]
-        return max((int(p.getName()[1:]) for p in names if p.getName()[:1] == "v" and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))), default=-1)
+        return max((int(p.getName()[1:]) for p in names if p.getName()[:1] == "v" and fs.exists(jvm.org.apache.hadoop.fs.Path(p, self.marker))), default=-1)
 
     def read(self) -> DataFrame:
         v = self.version()

@@ -6,11 +6,12 @@ from itertools import pairwise
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sondage import __main__, config
 from sondage.catalog import Catalog
 from sondage.errors import EmbedderUnavailable, InvalidInput, NotFound
-from sondage.operators import extractions, quant, search
+from sondage.operators import extractions, ivf, quant, search
 from sondage.operators.embedding import EmbedderConfig
 from sondage.plans import registry
 from sondage.sources import remote
@@ -94,12 +95,59 @@ def test_quantized_search_equals_exact(spark):
         quant.QuantConfig(5)
 
 
-def test_router(spark):
-    own = spark.createDataFrame([(str(i), "/", [float(i % 7) - 3, 1.0]) for i in range(140)], "uuid string, path string, embedding array<float>")
-    index = search.ivf_build(own)
-    assert search.route(own, [3.0, 1.0], 5, index=index).count() == 5 and search.route(own, [3.0, 1.0], 5).count() == 5
-    assert search.route(own, [3.0, 1.0], 5, index=(index[0], index[1].where("false"))).count() == 5
-    assert search.route(own, [3.0, 1.0], 0).count() == 0 and search.ivf_needs_rebuild(11, 100) and not search.ivf_needs_rebuild(10, 100)
+def test_inverted_file(spark, tmp_path):
+    rows = [(f"u{i:03}", "/", [float(np.sin(0.1 * i + 0.1 * j)) for j in range(32)]) for i in range(150)]
+    own = spark.createDataFrame(rows, "uuid string, path string, embedding array<float>")
+    index = ivf.save(own, str(tmp_path / "i"), {"of": 1})
+    again = ivf.load(spark, str(tmp_path / "i"))
+    assert again.ready and again.rows == 150 and again.sizes == index.sizes and again.state == {"of": 1} and np.allclose(again.centroids, index.centroids)
+    assert len(index.centroids) == 12 and all(index.sizes.values()) and len(index.sizes) == 12
+    hits = 0
+    for k in range(10, 140, 13):
+        exact = [r["uuid"] for r in search.vector_topk(own, rows[k][2], 5).collect()]
+        hits += len(set(exact) & {r["uuid"] for r in search.route(own, rows[k][2], 5, index=again).collect()})
+    assert hits >= 45
+    near = again.read(spark, rows[50][2])
+    assert near is None or near.inputFiles() and "bucket" in near._jdf.queryExecution().optimizedPlan().toString()
+    assert search.route(own.where("uuid < 'u010'"), rows[50][2], 5, index=again).count() == 5 and search.route(own, rows[50][2], 0, index=again).count() == 0
+    assert ivf.load(spark, str(tmp_path / "none")) is None and len(ivf.build(own.limit(0))) == 0 and ivf.probes(np.zeros((0, 3)), [1.0, 0, 0]) == []
+    same = spark.createDataFrame([(str(i), [1.0, 0.0]) for i in range(40)] + [("x", [0.0, 1.0])], "uuid string, embedding array<float>")
+    placed = ivf.nearest(same, ivf.build(same))
+    assert placed.select("bucket").distinct().count() == 2  # equal rows can't be split
+    assert ivf.needs_rebuild(11, 100) and not ivf.needs_rebuild(10, 100) and ivf.bucket_count(10**12) == ivf.MOST_BUCKETS and ivf.probes(np.eye(4), [1, 0, 0, 0], {0: 9, 1: 1, 2: 1, 3: 1}) is None
+
+
+def test_catalog_indexes(spark, tmp_path):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    own = Catalog(spark, str(tmp_path / "store"), SMALL)
+    text = lambda i: f"{words[i % 10]} {words[i // 10 % 10]} number{i} licensed under-the {words[i % 7]}"
+    fresh = spark.createDataFrame([(f"/d/{i}", str(i), text(i)) for i in range(150)], "path string, hash string, content string")
+    assert own._put(fresh) == 150 and own.vector_index(False) is None
+    scan = lambda q, p=None: [tuple(r) for r in search.bm25(own.chunks().withColumnRenamed("document_path", "path"), q, 20, p).orderBy("bm25_rank").collect()]
+    stored = lambda q, p=None: [tuple(r) for r in own._legs(q, p)[0](20).orderBy("bm25_rank").collect()]
+    for q in ("alpha", "beta number11", "under-the licensed", "nothing", "number149", "  "):
+        assert stored(q) == scan(q), q
+    assert stored("alpha", "/d/1") == scan("alpha", "/d/1") != []
+    index = own.vector_index()
+    assert index.rows == 150 and own.vector_index().folder == index.folder
+    exact = lambda q: [r["uuid"] for r in search.vector_topk(own.chunks(), own._vectors([q])[0][0], 3).orderBy("vector_rank").collect()]
+    assert own.similar(text(42), 3).orderBy("vector_rank").first()["uuid"] == exact(text(42))[0]
+    assert own._put(fresh.where("hash < 5 and length(hash) = 1").withColumn("content", F.concat(F.lit("brandnew "), "content")).withColumn("hash", F.lit("n"))) == 5
+    assert own.vector_index().folder == index.folder  # few changes: the index stays, new batches are read beside it
+    assert own.similar("brandnew " + text(3), 1).first()["uuid"] == exact("brandnew " + text(3))[0]
+    assert own.similar(text(3), 3).count() == 3 and stored("brandnew") == scan("brandnew") and len(stored("brandnew")) == 5
+    assert own.delete(fresh.where("length(hash) = 2")) == 90 and own.vector_index(False) is None
+    assert all(c is not None for c in own.chunks().select("norm", "signature").first())
+
+
+def test_texts_come_back_as_they_were(spark, tmp_path):
+    own = Catalog(spark, str(tmp_path / "store"), SMALL)
+    texts = {"latin": "Größe und Übermaß, naïve façade. " * 90, "cyrillic": "Съешь ещё этих мягких французских булок " * 80, "mixed": "äé日本語🙂" * 400, "lines": "αβγ δεζ\n" * 300}
+    for path, text in texts.items():
+        own.index_text(path, text)
+    for path, text in texts.items():
+        assert own.text_of(path).split() == text.split(), path
+    assert own.text_of("mixed") == texts["mixed"] and own.text_of("lines", 3, 1) == "αβγ δεζ"
 
 
 def test_query_grammar(spark):

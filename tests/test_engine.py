@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondage.functions import text as T
-from sondage.operators import chunking, embedding, search, store
+from sondage.operators import chunking, embedding, ivf, search, store
 from sondage.plans import registry
 from sondage.sources import files
 from sondage.streaming import watch
@@ -72,11 +72,12 @@ def test_chunks_and_embedding(spark):
 
 def test_approximate_search_recall(spark):
     own = registry.vectors(spark, DATA)
-    centroids, lists = search.ivf_build(own)
-    assert 4 <= len(centroids) <= 256 and lists.count() == own.count()
+    centroids = ivf.build(own)
+    lists = ivf.nearest(own, centroids).select("uuid", "bucket")
+    assert len(centroids) == ivf.bucket_count(own.count()) == lists.select("bucket").distinct().count() and lists.count() == own.count()
     exact = {r["uuid"] for r in search.vector_topk(own, registry.probe(spark, DATA), 10).collect()}
     short = search.hamming_shortlist(own, registry.probe(spark, DATA), 10).select("uuid").join(own, "uuid")
-    assert len({r["uuid"] for r in search.ivf_search(own, centroids, lists, registry.probe(spark, DATA), 10).collect()} & exact) >= 5
+    assert len({r["uuid"] for r in search.vector_topk(own.join(lists.where(F.col("bucket").isin(ivf.probes(centroids, registry.probe(spark, DATA)))), "uuid"), registry.probe(spark, DATA), 10).collect()} & exact) >= 5
     assert len({r["uuid"] for r in search.vector_topk(short, registry.probe(spark, DATA), 10).collect()} & exact) >= 5
 
 
