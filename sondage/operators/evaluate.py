@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sondage.functions import text as T
-from sondage.functions import vectors as V
 from sondage.operators import search
 
 MAX_QUERIES = 1024
+TIE = 3e-6  # scores that may be equal after rounding
 METRICS = ("hr1", "hr3", "hr5", "hr10", "mrr", "ndcg")
 
 
@@ -28,29 +32,66 @@ def _top(scored: DataFrame, by: str, rank: str, limit: int) -> DataFrame:
 
 
 def batch_bm25(chunks: DataFrame, queries: list[str], limit: int) -> DataFrame:
-    """query, uuid, bm25_rank, bm25 for a stated set of queries: one pass over the texts for all of them."""
+    """query, uuid, bm25_rank, bm25 for a stated set of queries: one pass over the texts for all of them.
+
+    Only the places of the queries' own terms leave the scan; phrases meet them by an equi-join on their first word.
+    """
     spark = chunks.sparkSession
-    pairs = [(q, p, len(ps)) for q in dict.fromkeys(queries) for ps in [search.query_phrases(q)] for p in ps]
-    phrases = spark.createDataFrame([(p,) for p in dict.fromkeys(p for _, p, _ in pairs)], "phrase string")
-    wanted = spark.createDataFrame(pairs, "query string, phrase string, n_phrases int")
-    words = chunks.select("uuid", T.word_string(F.col("content")).alias("w"))
-    words = words.withColumn("len", ((F.length("w") - F.length(F.replace("w", F.lit(" "), F.lit("")))) / 2 - 1).cast("int"))
+    pairs = [(q, p, p.split(), len(ps)) for q in dict.fromkeys(queries) for ps in [search.query_phrases(q)] for p in ps]
+    terms = sorted({w for _, _, words, _ in pairs for w in words})
+    phrases = spark.createDataFrame([(p, w[0], [(x, i) for i, x in enumerate(w)][1:]) for p, w in {p: w for _, p, w, _ in pairs}.items()], "phrase string, first string, rest array<struct<word:string,i:int>>")
+    wanted = spark.createDataFrame([(q, p, n) for q, p, _, n in pairs], "query string, phrase string, n_phrases int")
+    asked = F.broadcast(spark.createDataFrame([(t,) for t in terms], "term string"))
+    words = chunks.select("uuid", F.filter(F.split(T.word_string(F.col("content")), " +"), lambda x: x != "").alias("t")).withColumn("len", F.size("t"))
     totals = words.agg(F.count("*").alias("total"), F.avg("len").alias("avgdl"))
-    tf = ((F.length("w") - F.length(F.replace(F.col("w"), F.col("phrase"), F.lit("")))) / F.length("phrase")).cast("int")
-    hits = words.join(F.broadcast(phrases), F.col("w").contains(F.col("phrase"))).select("uuid", "len", "phrase", tf.alias("tf"))
+    places = words.select("uuid", "len", F.posexplode("t").alias("at", "term")).join(asked, "term").groupBy("uuid", "len", "term").agg(F.collect_list("at").alias("at"))
+    found = places.groupBy("uuid", "len").agg(F.map_from_entries(F.collect_list(F.struct("term", "at"))).alias("found"))
+    each = found.select("uuid", "len", "found", F.explode("found").alias("first", "at")).join(F.broadcast(phrases), "first")
+    none = F.array().cast("array<int>")
+    follows = lambda x: F.forall("rest", lambda w: F.array_contains(F.coalesce(F.col("found")[w["word"]], none), x + w["i"]))
+    hits = each.select("uuid", "len", "phrase", F.size(F.filter("at", follows)).alias("tf")).where("tf > 0")
     known = hits.groupBy("phrase").agg(F.count("*").alias("n"))
     idf = F.greatest(F.log((F.col("total") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6))
     weight = idf * F.col("tf") * (search.K1 + 1) / (F.col("tf") + search.K1 * (1 - search.B + search.B * F.col("len") / F.col("avgdl")))
-    terms = wanted.join(known, "phrase").crossJoin(totals)
-    each = hits.join(F.broadcast(terms), "phrase").select("query", "uuid", "n_phrases", weight.alias("part"))
-    every = each.groupBy("query", "uuid").agg(F.round(F.sum("part"), 9).alias("bm25"), F.count("*").alias("found"), F.first("n_phrases").alias("n_phrases"))
+    weights = wanted.join(known, "phrase").crossJoin(totals)  # one row a query and phrase
+    parts = hits.join(F.broadcast(weights), "phrase").select("query", "uuid", "n_phrases", weight.alias("part"))
+    every = parts.groupBy("query", "uuid").agg(F.round(F.sum("part"), 9).alias("bm25"), F.count("*").alias("found"), F.first("n_phrases").alias("n_phrases"))
     return _top(every.where("found = n_phrases"), "bm25", "bm25_rank", limit).select("query", "uuid", "bm25_rank", "bm25")
 
 
 def batch_vector(vectors: DataFrame, queries: list[tuple[str, list[float]]], limit: int) -> DataFrame:
-    """query, uuid, vector_rank, cosine_score by exact search of a stated set of query vectors."""
-    own = vectors.sparkSession.createDataFrame([(q, [float(x) for x in v]) for q, v in queries], "query string, q array<float>")
-    scored = vectors.crossJoin(F.broadcast(own)).select("query", "uuid", F.round(V.cosine(F.col("q"), F.col("embedding")), 6).alias("cosine_score"))
+    """query, uuid, vector_rank, cosine_score by exact search of a stated set of query vectors.
+
+    A task multiplies its batches with the matrix of the queries and sends on its best ``limit`` rows for each (more where
+    rows tie), so no pair of a row and a query is ever a row of a plan.
+    """
+    names = [q for q, _ in queries]
+    table = np.asarray([v for _, v in queries], np.float32).reshape(len(queries), -1)
+    size = np.sqrt(np.sum((table * table).astype(np.float64), axis=1))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[list[tuple[float, str]]] = [[] for _ in names]
+        for batch in batches:
+            rows = [(u, v) for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if v is not None and len(v) == table.shape[1]]
+            if not rows or not limit:
+                continue
+            own = np.asarray([v for _, v in rows], np.float32)
+            norms = np.sqrt(np.sum((own * own).astype(np.float64), axis=1))
+            near = own.astype(np.float64) @ table.T.astype(np.float64) / np.maximum(norms[:, None] * size, 1e-300)
+            for j, held in enumerate(kept):
+                at = np.arange(len(rows))
+                if len(rows) > limit:
+                    at = np.flatnonzero(near[:, j] >= np.partition(near[:, j], -limit)[-limit] - TIE)
+                exact = np.sum((own[at] * table[j]).astype(np.float64), axis=1)
+                scale = norms[at] * size[j]
+                held += [(-round(float(x / s), 6) if s > 0 else 0.0, rows[i][0]) for i, x, s in zip(at.tolist(), exact, scale)]
+                held.sort()
+                del held[limit:]
+        flat = [(names[j], u, -c) for j, held in enumerate(kept) for c, u in held]
+        columns = list(zip(*flat)) if flat else [[]] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.float64()))], names=["query", "uuid", "cosine_score"])
+
+    scored = vectors.select(F.col("uuid").cast("string"), "embedding").mapInArrow(best, "query string, uuid string, cosine_score double")
     return _top(scored, "cosine_score", "vector_rank", limit)
 
 

@@ -512,7 +512,24 @@ def a08_hybrid_batch(s, d):
     return evaluate.batch_hybrid(docs(s, d), vectors(s, d), _batch(s, d), 10).select("query", "uuid", "bm25_rank", "vector_rank", "rrf_score")
 
 
-@query()
+def _evaluation_sql() -> str:
+    """The batch's results against the labels of its vectors, as means by mode."""
+    near = " UNION ALL ".join(f"SELECT '{q}' AS query, uuid, CAST(vr AS INTEGER) AS rank FROM (SELECT * FROM ({_VLEG.replace('q.vec_id = 25', f'q.vec_id = {v}')}) WHERE vr <= 10)" for q, v in _BATCH)
+    judged = " UNION ALL ".join(f"SELECT '{q}' AS query, CAST(e.vec_id AS VARCHAR) AS doc FROM embeddings e JOIN embeddings p ON p.vec_id = {v} AND p.label = e.label" for q, v in _BATCH)
+    gain = "(CASE WHEN rank <= 2 THEN 1.0 ELSE 1 / log2(rank - 1) END)"
+    asked = ", ".join(f"('{q}')" for q, _ in _BATCH)
+    return f"""WITH r AS (SELECT 'hybrid' AS mode, query, uuid AS doc, CAST(row_number() OVER (PARTITION BY query ORDER BY rrf_score DESC, uuid) AS INTEGER) AS rank FROM ({_batch_sql()})
+UNION ALL SELECT 'vector', query, uuid, rank FROM ({near})), j AS ({judged}),
+x AS (SELECT r.*, CASE WHEN j.doc IS NULL THEN 0 ELSE 1 END AS rel FROM r LEFT JOIN j USING (query, doc)), m AS (SELECT query, count(*) AS judged FROM j GROUP BY query),
+o AS (SELECT mode, query, {", ".join(f"max(CASE WHEN rank <= {k} AND rel = 1 THEN 1.0 ELSE 0.0 END) AS hr{k}" for k in (1, 3, 5, 10))},
+coalesce(max(CASE WHEN rel = 1 THEN 1.0 / rank END), 0) AS mrr, sum(rel * {gain}) AS dcg, count(*) AS n FROM x GROUP BY mode, query),
+i AS (SELECT mode, o.query, sum({gain}) AS idcg FROM o JOIN m USING (query), (SELECT unnest(range(1, 11)) AS rank) WHERE rank <= n AND rank <= judged GROUP BY mode, o.query),
+e AS (SELECT modes.mode, a.query, coalesce(hr1, 0) AS hr1, coalesce(hr3, 0) AS hr3, coalesce(hr5, 0) AS hr5, coalesce(hr10, 0) AS hr10, round(coalesce(mrr, 0), 6) AS mrr, round(coalesce(dcg / idcg, 0), 6) AS ndcg
+FROM (VALUES ('hybrid'), ('vector')) modes(mode) CROSS JOIN (VALUES {asked}) a(query) LEFT JOIN o ON o.mode = modes.mode AND o.query = a.query LEFT JOIN i ON i.mode = modes.mode AND i.query = a.query)
+SELECT mode, count(*) AS queries, CAST(0 AS BIGINT) AS errors, {", ".join(f"printf('%.4f', round(avg({m}), 6)) AS {m}" for m in evaluate.METRICS)} FROM e GROUP BY mode"""
+
+
+@query(_evaluation_sql())
 def a18_evaluation(s, d):
     same = vectors(s, d).select("label", F.col("uuid").alias("doc"))
     label = {q: v for q, v in _BATCH}
