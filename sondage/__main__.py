@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
+from sondage import __version__
 from sondage import config as configuration
 from sondage.errors import EngineError
 
@@ -25,6 +27,10 @@ def parser() -> argparse.ArgumentParser:
     add("set-context", arg("prefix"), arg("text"))
     add("status")
     add("quantize", arg("--bits", type=int, default=4))
+    add("migrate")
+    add("version")
+    add("bench", arg("corpus", help="folder of .txt files"), arg("judgments", help="YAML file of queries and relevant ids"), arg("--csv"))
+    add("serve", arg("--port", type=int, default=8420), arg("--home", default="~"), arg("--per-minute", type=int, default=120))
     add("config", arg("--set-key"), arg("--set-value", default=""))
     return p
 
@@ -32,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
 def main(arguments: list[str] | None = None, spark=None) -> int:
     options = parser().parse_args(arguments)
     try:
+        if options.command == "version":
+            print(__version__)
+            return 0
         own = configuration.load(options.config)
         if options.command == "config":
             if options.set_key:
@@ -47,23 +56,32 @@ def main(arguments: list[str] | None = None, spark=None) -> int:
 
 def run(options: argparse.Namespace, own: configuration.Config, spark=None) -> int:
     from sondage.catalog import Catalog
-    from sondage.operators import store
-    from sondage.operators.embedding import EmbedderConfig
+    from sondage.operators import assist, store
+    from pyspark.sql import functions as F
+
+    from sondage.operators.embedding import EmbedderConfig, embed
     from sondage.operators.quant import QuantConfig
     from sondage.session import local_session
-    from sondage.sources.remote import RemoteEmbedder
+    from sondage.sources.remote import RemoteEmbedder, chat
 
     remote = RemoteEmbedder(own.ollama_url, own.model, own.embedding_dim, own.timeout_seconds, own.retry_count, own.retry_backoff_ms / 1000)
     catalog = Catalog(spark or local_session(), options.store, EmbedderConfig(own.embedding_dim, own.model, own.retry_count, remote), own.quant())
     show = lambda df: [print(json.dumps(r.asDict(True), default=str, ensure_ascii=False)) for r in df.toLocalIterator()]
     match options.command:
         case "search":
-            show(catalog.search(options.query, options.limit, options.prefix))
+            ask = lambda model, timeout: lambda prompt: chat(own.ollama_url, model or own.model, prompt, timeout)
+            expand = assist.expander(ask(own.expand_model, own.expand_timeout_seconds)) if own.expand_query else None
+            rerank = assist.reranker(ask(own.rerank_model, own.rerank_timeout_seconds), options.query) if own.rerank_query else None
+            show(catalog.search(options.query, options.limit, options.prefix, expand, rerank))
         case "index":
             if options.source == "-":
                 print(catalog.index_text(options.name, sys.stdin.read()), "indexed")
             elif options.source.startswith(("http://", "https://")):
                 print(catalog.index_url(options.source, options.allow_private), "indexed")
+            elif os.path.isfile(options.source):
+                indexed, rejects = catalog.index_file(options.source)
+                print(indexed, "indexed")
+                show(rejects)
             else:
                 indexed, removed, rejects = catalog.index_directory(options.source)
                 print(indexed, "indexed,", removed, "removed")
@@ -84,6 +102,26 @@ def run(options: argparse.Namespace, own: configuration.Config, spark=None) -> i
             show(catalog.status())
         case "quantize":
             print(catalog.backfill(QuantConfig(options.bits)), "documents")
+        case "migrate":
+            print(catalog.migrate(), "documents")
+        case "bench":
+            from sondage.operators import evaluate
+            from sondage.sources import files
+
+            corpus = files.labelled_corpus(catalog.spark, options.corpus).select(F.col("doc").alias("uuid"), F.col("doc").alias("path"), "content")
+            judged = evaluate.judgments(catalog.spark, options.judgments)
+            asked = [r["query"] for r in judged.select("query").distinct().orderBy("query").collect()]
+            vectors = embed(corpus, config=catalog.embedder)
+            found = evaluate.evaluate(corpus, vectors, list(zip(asked, catalog._vectors(asked)[0])), judged)
+            show(evaluate.report(found))
+            if options.csv:
+                evaluate.report(found).coalesce(1).write.mode("overwrite").option("header", True).csv(options.csv)
+        case "serve":
+            from sondage.server import Guard, Service, serve
+
+            service = Service(catalog, os.path.expanduser(options.home), Guard(os.environ.get("SONDAGE_TOKEN", ""), options.per_minute))
+            print(f"listening on 127.0.0.1:{options.port}")
+            serve(service, options.port).serve_forever()
     return 0
 
 

@@ -17,7 +17,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sondage.errors import InvalidInput, NotFound
+from sondage.errors import InvalidInput, NotFound, StoreError
 from sondage.functions import text as T
 from sondage.functions import vectors as V
 from sondage.operators import chunking, embedding, extractions, ivf, quant, search, store
@@ -32,6 +32,7 @@ LENGTHS = "uuid string, path string, len int, batch string"
 EXTRACTIONS = "id bigint, document_path string, chunk_uuid string, class string, value string, evidence_text string, span_start int, span_end int, matched boolean, producer string, source_ref string, created_at timestamp"
 CONTEXTS = "path_prefix string, context_text string"
 CONTEXT_HITS, CONTEXT_CHARS = 10, 4000
+FORMAT = 1
 
 
 class IndexVersions(Snapshots):
@@ -44,7 +45,7 @@ class Catalog:
     """One writer at a time; any number of readers. ``path`` is a folder that every executor reaches."""
 
     def __init__(self, spark: SparkSession, path: str, embedder: EmbedderConfig = EmbedderConfig(), quantized: quant.QuantConfig | None = None):
-        self.spark, self.path, self.embedder, self.quantized = spark, path.rstrip("/"), embedder, quantized
+        self.spark, self.path, self.embedder, self.quantized = spark, path.rstrip("/"), embedder.resolved(), quantized
         self._documents = Snapshots(spark, f"{self.path}/documents", DOCUMENTS)
         self._contexts = Snapshots(spark, f"{self.path}/contexts", CONTEXTS)
         self._indexes = IndexVersions(spark, f"{self.path}/ivf", "")
@@ -134,6 +135,11 @@ class Catalog:
         gone = store.orphans(self.documents(), listing, f"{scheme}{directory.rstrip('/')}")
         return indexed, self.delete(gone), rejects
 
+    def index_file(self, path: str) -> tuple[int, DataFrame]:
+        """(1 if the file was new or changed, rejects)."""
+        parsed = files.parse(files.one_file(self.spark, path))
+        return self._put(parsed.where("error is null").select("path", "hash", "content")), parsed.where("error is not null").select("path", "error")
+
     def index_text(self, source: str, text: str) -> int:
         return self._put(files.text_source(self.spark, source, text))
 
@@ -290,6 +296,26 @@ class Catalog:
         start = max(1, start)
         return "\n".join(lines[start - 1 : start - 1 + most] if most > 0 else lines[start - 1 :])
 
+    def format(self) -> int:
+        """The layout's version; 0 for a store from before there were any."""
+        return int(self.spark.read.text(f"{self.path}/format").first()[0]) if self._exists("format") else 0 if self._exists("documents") else FORMAT
+
+    def migrate(self) -> int:
+        """Bring an older store to the present layout; how many documents were rewritten. Chunks are kept, with norm, sign bits and postings added."""
+        was = self.format()
+        if was > FORMAT:
+            raise StoreError(f"the store has layout {was}", f"this version knows {FORMAT}")
+        count = 0
+        if was < 1 and self.documents().limit(1).count():
+            own = self._live("chunks", CHUNKS, "batch").withColumns({"norm": V.norm(F.col("embedding")).cast("float"), "signature": V.signature(F.col("embedding"), self.embedder.dims)})
+            batch = uuid.uuid4().hex
+            self._append(own, batch)
+            written = self._written(batch).withColumnsRenamed({"chunks": "c", "words": "w"})
+            count = written.count()
+            self._documents.write(self.documents().join(written, "path").withColumns({"batch": F.lit(batch), "chunks": F.col("c"), "words": F.col("w")}).drop("c", "w"))
+        self.spark.createDataFrame([(str(FORMAT),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/format")
+        return count
+
     def compact(self) -> str:
         """Write the live rows to a new folder of the same layout with one batch; the caller swaps the folders."""
         target = f"{self.path}-{uuid.uuid4().hex[:8]}"

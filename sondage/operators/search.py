@@ -200,7 +200,7 @@ def rrf(bm25_leg: DataFrame, vector_leg: DataFrame, limit: int) -> DataFrame:
 @dataclass(frozen=True)
 class SearchOptions:
     prefix: str | None = None
-    rerank: Callable[[DataFrame], DataFrame] | None = None  # adds score 0..100 to (uuid, position, content)
+    rerank: Callable[[DataFrame], DataFrame | None] | None = None  # adds score 0..100 to (uuid, position, content)
     expanded: list[float] | None = None  # vector of a hypothetical passage, averaged with the query's
 
 
@@ -227,14 +227,16 @@ def blend_score(position: Column, score: Column) -> Column:
     return w * (1 / (1 + position)) + (1 - w) * F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)) / 100
 
 
-def blend(hits: DataFrame, scorer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Top 20 re-ordered by blended score, the tail keeps its order; skipped if the first hit is plain."""
+def blend(hits: DataFrame, scorer: Callable[[DataFrame], DataFrame | None]) -> DataFrame:
+    """Top 20 re-ordered by blended score, the tail keeps its order; skipped if the first hit is plain or the scorer has no score."""
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("rrf_score"), "uuid")
     placed = hits.withColumn("position", F.row_number().over(w) - 1)
     first = placed.where("position = 0").select("bm25_rank", "cosine_score").first()
     if first and first["bm25_rank"] == 1 and first["cosine_score"] >= 0.85:
         return hits
     head = scorer(placed.where(F.col("position") < RERANK_TOP))
+    if head is None:
+        return hits
     head = head.withColumn("order", -F.round(blend_score(F.col("position"), F.col("score")), 9)).drop("score")
     tail = placed.where(F.col("position") >= RERANK_TOP).withColumn("order", F.col("position").cast("double"))
     return head.unionByName(tail).orderBy("order", "position").drop("order", "position")

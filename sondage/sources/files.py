@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import html.parser
 import io
+import os
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -14,6 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sondage.errors import InvalidInput
+from sondage.sources.pdf import pdf_text
+
 MAX_BYTES = 10 << 20
 ARCHIVE_ENTRIES, ARCHIVE_BYTES, ENTRY_BYTES = 10_000, 100 << 20, 10 << 20
 TEXT = "md txt go py js ts swift java rs c cpp h json yaml yml toml html htm csv".split()
@@ -34,6 +38,21 @@ def crawl(spark: SparkSession, directory: str) -> DataFrame:
     return files.where(~below.rlike(skipped) & (F.col("length") <= MAX_BYTES)).withColumn("ext", extension()).where(F.col("ext").isin(*TEXT, *OFFICE))
 
 
+def one_file(spark: SparkSession, path: str) -> DataFrame:
+    """The row of one file, whatever folder it lies in; empty if it's too large or of another kind."""
+    found = spark.read.format("binaryFile").load(path)
+    return found.where(F.col("length") <= MAX_BYTES).withColumn("ext", extension()).where(F.col("ext").isin(*TEXT, *OFFICE))
+
+
+def restrict_to(path: str, home: str) -> str:
+    """The real path, if it lies in ``home`` with all links followed; else an error."""
+    full = os.path.realpath(os.path.expanduser(path))
+    root = os.path.realpath(home)
+    if os.path.commonpath([full, root]) != root:
+        raise InvalidInput(f"{path} lies outside {home}", "only files below the home folder can be indexed")
+    return full
+
+
 def unsupported(files: DataFrame) -> DataFrame:
     """path, message of files of known formats that can't be read."""
     kind = extension()
@@ -204,17 +223,13 @@ def parse_xlsx(data: bytes) -> str:
     return "\n".join(sheets).strip()
 
 
-def parse_pdf(data: bytes) -> str:
-    raise ValueError("no PDF reader is installed")
-
-
 def parse_text(data: bytes) -> str:
     return data.decode("utf-8", "replace")
 
 
 PARSERS: dict[str, Callable[[bytes], str]] = {
     "html": parse_html, "htm": parse_html, "csv": parse_csv, "docx": parse_docx, "pptx": parse_pptx, "xlsx": parse_xlsx,
-    "odt": parse_opendocument, "ods": parse_opendocument, "odp": parse_opendocument, "pdf": parse_pdf,
+    "odt": parse_opendocument, "ods": parse_opendocument, "odp": parse_opendocument, "pdf": pdf_text,
 }
 
 

@@ -46,12 +46,14 @@ def apply_changes(current: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(last.where(F.col("op") != "delete").select(current.columns))
 
 
-def watch(changes: DataFrame, target: Snapshots, checkpoint: str, seconds: float = 0.5, once: bool = False, then: Callable[[int], None] | None = None) -> StreamingQuery:
-    """Apply each micro-batch (the quiet period) as one new version."""
+def watch(changes: DataFrame, target: Snapshots, checkpoint: str, seconds: float = 0.5, once: bool = False, then: Callable[[int], None] | None = None, listing: Callable[[], DataFrame] | None = None) -> StreamingQuery:
+    """Apply each micro-batch (the quiet period) as one new version. ``listing`` (path): what is there; rows of paths that it
+    doesn't have go out with the batch, as file sources tell of no deletes."""
 
     def batch(rows: DataFrame, _: int) -> None:
         if rows.limit(1).count():
-            v = target.write(apply_changes(target.read(), rows))
+            new = apply_changes(target.read(), rows)
+            v = target.write(new.join(listing().select("path").distinct(), "path", "left_semi").select(new.columns) if listing else new)
             if then:
                 then(v)
 
