@@ -96,7 +96,7 @@ class Catalog:
         batch = uuid.uuid4().hex
         done = embedding.embed(chunking.chunk_documents(todo), config=self.embedder)
         done = quant.with_sidecar(done, self.quantized) if self.quantized else quant.clear_sidecars(done)
-        done = done.withColumns({"norm": V.norm(F.col("embedding")).cast("float"), "signature": V.signature(F.col("embedding"), self.embedder.dims)})
+        done = V.saved(done, self.embedder.dims)
         self._append(done, batch)
         # The manifest takes its documents from what was written, so a file that changes meanwhile is not mixed in.
         written = self._written(batch)
@@ -307,7 +307,7 @@ class Catalog:
             raise StoreError(f"the store has layout {was}", f"this version knows {FORMAT}")
         count = 0
         if was < 1 and self.documents().limit(1).count():
-            own = self._live("chunks", CHUNKS, "batch").withColumns({"norm": V.norm(F.col("embedding")).cast("float"), "signature": V.signature(F.col("embedding"), self.embedder.dims)})
+            own = V.saved(self._live("chunks", CHUNKS, "batch"), self.embedder.dims)
             batch = uuid.uuid4().hex
             self._append(own, batch)
             written = self._written(batch).withColumnsRenamed({"chunks": "c", "words": "w"})

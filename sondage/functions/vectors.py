@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, FloatType, StructType
 
 
 def _sum(values: Column) -> Column:
@@ -45,3 +50,29 @@ def mean(a: Column, b: Column) -> Column:
 
 def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector]).cast("array<float>")
+
+
+def to_bytes(df: DataFrame, vector: str = "embedding", name: str = "bytes") -> DataFrame:
+    """Adds the vector as little-endian single floats, as other stores keep it; null stays null."""
+    return _coded(df, vector, name, BinaryType(), pa.binary(), lambda v: np.asarray(v, "<f4").tobytes())
+
+
+def from_bytes(df: DataFrame, data: str = "bytes", name: str = "embedding") -> DataFrame:
+    """Adds the vector that little-endian single floats stand for; null and odd lengths give null."""
+    return _coded(df, data, name, ArrayType(FloatType()), pa.list_(pa.float32()), lambda b: None if len(b) % 4 else np.frombuffer(b, "<f4"))
+
+
+def _coded(df: DataFrame, source: str, name: str, kind: DataType, arrow: pa.DataType, code) -> DataFrame:
+    at, names = df.columns.index(source), [*df.columns, name]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [None if v is None else code(v) for v in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, arrow)], names=names)
+
+    return df.mapInArrow(run, StructType([*df.schema.fields]).add(name, kind))
+
+
+def saved(vectors: DataFrame, dim: int) -> DataFrame:
+    """With the norm and the sign bits that a store keeps beside each vector."""
+    return vectors.withColumns({"norm": norm(F.col("embedding")).cast("float"), "signature": signature(F.col("embedding"), dim)})

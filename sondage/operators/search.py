@@ -16,6 +16,7 @@ K1, B = 1.2, 0.75
 RRF_K = 60
 SHORTLIST = 4
 RERANK_TOP = 20
+PLAIN_COSINE = 0.85
 POSTING_BUCKETS = 32
 
 
@@ -227,12 +228,17 @@ def blend_score(position: Column, score: Column) -> Column:
     return w * (1 / (1 + position)) + (1 - w) * F.least(F.lit(100.0), F.greatest(F.lit(0.0), score)) / 100
 
 
+def plain_first(bm25_rank, cosine_score):
+    """A first hit (numbers or columns) that both legs are sure of, so no model needs to look at it."""
+    return (bm25_rank == 1) & (cosine_score >= PLAIN_COSINE)
+
+
 def blend(hits: DataFrame, scorer: Callable[[DataFrame], DataFrame | None]) -> DataFrame:
     """Top 20 re-ordered by blended score, the tail keeps its order; skipped if the first hit is plain or the scorer has no score."""
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("rrf_score"), "uuid")
     placed = hits.withColumn("position", F.row_number().over(w) - 1)
     first = placed.where("position = 0").select("bm25_rank", "cosine_score").first()
-    if first and first["bm25_rank"] == 1 and first["cosine_score"] >= 0.85:
+    if first and plain_first(first["bm25_rank"], first["cosine_score"]):
         return hits
     head = scorer(placed.where(F.col("position") < RERANK_TOP))
     if head is None:

@@ -15,6 +15,7 @@ from sondage.functions import vectors as V
 from sondage.operators import chunking, embedding, evaluate, extractions, ivf, quant, search, store
 from sondage.sources import files
 from sondage.session import table
+from sondage.streaming import watch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -586,3 +587,122 @@ def w08_delete_extractions(s, d):
 @query(f"SELECT path FROM ({_DOCS}) WHERE path = '/src1' OR starts_with(path, '/src1/')")
 def w11_in_directory(s, d):
     return docs(s, d).where(T.in_directory(F.col("path"), "/src1")).select("path")
+
+
+_FOLDERS = "['a', '.git', 'node_modules', 'b/target', 'target.d', 'b/.x/c']"
+_KINDS = "['md', 'TXT', 'exe', 'pdf', 'go', 'bin', 'xlsx']"
+
+
+@query(f"""SELECT path FROM (SELECT f, '/root/dist/' || f || '/' || l_orderkey || '_' || l_linenumber || '.' || k AS path, lower(k) AS k, n FROM (
+SELECT *, {_FOLDERS}[l_partkey % 6 + 1] AS f, {_KINDS}[l_suppkey % 7 + 1] AS k, CAST(l_extendedprice * 300 AS BIGINT) AS n FROM lineitem))
+WHERE f IN ('a', 'target.d') AND k NOT IN ('exe', 'bin') AND n <= 10485760""")
+def s01_crawl_filter(s, d):
+    pick = lambda names, key: F.element_at(F.array(*map(F.lit, names)), key.cast("int"))
+    folder = pick(("a", ".git", "node_modules", "b/target", "target.d", "b/.x/c"), F.col("l_partkey") % 6 + 1)
+    kind = pick(("md", "TXT", "exe", "pdf", "go", "bin", "xlsx"), F.col("l_suppkey") % 7 + 1)
+    path = F.concat(F.lit("/root/dist/"), folder, F.lit("/"), F.col("l_orderkey").cast("string"), F.lit("_"), F.col("l_linenumber").cast("string"), F.lit("."), kind)
+    listed = table(s, d, "lineitem").select(path.alias("path"), F.round(F.col("l_extendedprice") * 300).cast("long").alias("length"))
+    return files.indexable(listed, "/root/dist").select("path")
+
+
+@query("""SELECT CASE WHEN turn % 2 = 0 THEN role ELSE 'turn' END AS class, text AS value, CASE WHEN turn % 3 > 0 THEN role END AS evidence_text,
+CASE WHEN turn % 3 > 0 THEN CAST(turn AS INTEGER) END AS span_start, CASE WHEN turn % 3 > 0 THEN CAST(turn + 5 AS INTEGER) END AS span_end, coalesce(turn % 2 = 1, false) AS matched FROM conversations""")
+def s06_sidecar(s, d):
+    span = F.when(F.col("turn") % 3 > 0, F.struct(F.col("turn").alias("start"), (F.col("turn") + 5).alias("end"), F.col("role").alias("snippet")))
+    kind = F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(F.lit(""))
+    matched = F.when(F.col("turn") % 2 == 1, F.lit(True))
+    line = F.to_json(F.struct(kind.alias("field"), F.lit("turn").alias("type"), F.col("text").alias("value"), matched.alias("matched"), span.alias("span")))
+    return files.sidecar_rows(table(s, d, "conversations").select(line.alias("value")))
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS path, 'id' || chr(9) || 'name' || chr(10) || c_custkey || chr(9) || c_name || ', \"x\"' || chr(9) || c_mktsegment AS content FROM customer")
+def p08_csv(s, d):
+    body = F.concat(F.lit("id,name\r\n"), F.col("c_custkey").cast("string"), F.lit(',"'), F.col("c_name"), F.lit(', ""x""",'), F.col("c_mktsegment"), F.lit("\n"))
+    made = table(s, d, "customer").select(F.col("c_custkey").cast("string").alias("path"), body.cast("binary").alias("content"))
+    return files.parse(made.withColumn("path", F.concat("path", F.lit(".csv")))).select(F.regexp_replace("path", "[.]csv$", "").alias("path"), "content")
+
+
+def _halting(texts: list[str]) -> list[list[float] | None]:
+    """A service that fails for some texts and answers others with a wrong length."""
+    return [None if len(t) % 3 == 0 else [0.5] * (8 if len(t) % 3 == 1 else 7) for t in texts]
+
+
+@query(f"SELECT doc_id, CASE WHEN length(text) % 3 = 1 THEN 'm' ELSE '{embedding.LOCAL_MODEL}' END AS embedding_model, CAST(8 AS INTEGER) AS embedding_dim FROM documents")
+def e07_provenance(s, d):
+    """E5 and E7: vectors that are missing or don't fit are replaced and labelled."""
+    config = embedding.EmbedderConfig(dims=8, model="m", embed=_halting)
+    return embedding.embed(docs(s, d).select("doc_id", "content"), config=config).select("doc_id", "embedding_model", "embedding_dim")
+
+
+_TOP = f"""SELECT uuid, CAST(row_number() OVER (ORDER BY cosine_score DESC, uuid) AS INTEGER) AS vector_rank, cosine_score FROM (
+SELECT CAST(vec_id AS VARCHAR) AS uuid, round({_COSINE}, 6) AS cosine_score FROM (SELECT x.vec_id, x.embedding AS a, q.embedding AS b FROM embeddings x, embeddings q WHERE q.vec_id = 25 AND {{0}})) ORDER BY 2 LIMIT 10"""
+
+
+@query(_TOP.format("x.label = 3"))
+def v07_router_prefix(s, d):
+    return search.route(vectors(s, d), probe(s, d), 10, "/v/3/").select("uuid", "vector_rank", "cosine_score")
+
+
+@query(_TOP.format("x.label IN (1, 2)"))
+def j05_candidate_restriction(s, d):
+    lists = vectors(s, d).select("uuid", F.col("label").alias("bucket"))
+    near = vectors(s, d).join(lists.where(F.col("bucket").isin(1, 2)), "uuid", "left_semi")
+    return search.vector_topk(near, probe(s, d), 10).select("uuid", "vector_rank", "cosine_score")
+
+
+def _seeds(s, d) -> np.ndarray:
+    return np.asarray([r[0] for r in table(s, d, "embeddings").where("vec_id < 8").orderBy("vec_id").select("embedding").collect()])
+
+
+@query(f"SELECT bucket, list(x ORDER BY i) AS mean FROM (SELECT bucket, i, round(avg(CAST(embedding[i] AS DOUBLE)), 6) AS x FROM embeddings JOIN ({ORACLES['v13_ivf_assign']}) USING (vec_id), (SELECT CAST(unnest(range(1, 65)) AS INTEGER) AS i) GROUP BY bucket, i) GROUP BY bucket")
+def v11_lloyd_step(s, d):
+    found = ivf.means(vectors(s, d), _seeds(s, d))
+    return s.createDataFrame([(b, [float(x) for x in np.round(v, 6)]) for b, v in found.items()], "bucket int, mean array<double>")
+
+
+@query(f"SELECT CAST(c AS INTEGER) AS bucket FROM (SELECT c, round({_COSINE}, 9) AS s FROM (SELECT k.c, k.b, q.embedding AS a FROM ({_IVF_SEEDS}) k, embeddings q WHERE q.vec_id = 25)) ORDER BY s DESC, c LIMIT 3")
+def v13_ivf_probes(s, d):
+    return s.createDataFrame([(b,) for b in ivf.probes(_seeds(s, d), probe(s, d))], "bucket int")
+
+
+@query("SELECT vec_id, CAST(256 AS INTEGER) AS n_bytes, true AS same FROM embeddings")
+def v22_codec(s, d):
+    there = V.from_bytes(V.to_bytes(vectors(s, d)), name="back")
+    return there.select("vec_id", F.octet_length("bytes").alias("n_bytes"), (F.col("back") == F.col("embedding")).alias("same"))
+
+
+@query(f"SELECT vec_id, round(CAST({_NORM.format('embedding')} AS FLOAT), 5) AS norm, CAST(CASE WHEN b >= 9223372036854775808 THEN b - 18446744073709551616 ELSE b END AS BIGINT) AS sig FROM (SELECT *, CAST({_BITS} AS HUGEINT) AS b FROM embeddings)")
+def w04_saved_vectors(s, d):
+    return V.saved(vectors(s, d), 64).select("vec_id", F.round(F.col("norm").cast("double"), 5).alias("norm"), F.element_at("signature", 1).alias("sig"))
+
+
+@query("SELECT label, count(DISTINCT CASE WHEN vec_id % (label + 1) = 0 THEN 1 ELSE 2 END) > 1 AS mixed FROM embeddings GROUP BY label")
+def a03_space_guard(s, d):
+    out = []
+    for label in sorted(r[0] for r in table(s, d, "embeddings").select("label").distinct().collect()):
+        own = vectors(s, d).where(F.col("label") == label)
+        own = own.select(F.size("embedding").alias("embedding_dim"), F.when(F.col("vec_id") % (label + 1) == 0, F.lit("a")).otherwise(F.lit("b")).alias("embedding_model"))
+        try:
+            search.check_one_space(own)
+            out.append((label, False))
+        except ValueError:
+            out.append((label, True))
+    return s.createDataFrame(out, "label int, mixed boolean")
+
+
+@query("SELECT event_id, user_id % 3 = 1 AND value >= 0.85 AS plain FROM events")
+def a10_rerank_skip(s, d):
+    e = table(s, d, "events")
+    return e.select("event_id", search.plain_first(F.col("user_id") % 3, F.col("value")).alias("plain"))
+
+
+@query("""WITH l AS (SELECT user_id, arg_max(event_type, CAST(epoch_us(ts) AS HUGEINT) * 1000000000 + event_id) AS t FROM events WHERE user_id % 2 = 0 GROUP BY user_id), u AS (SELECT DISTINCT user_id FROM events)
+SELECT user_id AS path, coalesce(t, 'old') AS hash FROM u LEFT JOIN l USING (user_id) WHERE coalesce(t, '') <> 'error' AND user_id % 5 <> 0""")
+def st03_changes_and_sweep(s, d):
+    """The last change of each path applied, errors as deletes, then paths that a listing doesn't have swept out."""
+    e = table(s, d, "events")
+    current = e.select(F.col("user_id").alias("path"), F.lit("old").alias("hash")).distinct()
+    op = F.when(F.col("event_type") == "error", F.lit("delete")).otherwise(F.lit("upsert"))
+    changes = e.where("user_id % 2 = 0").select(F.col("user_id").alias("path"), "ts", "event_id", F.col("event_type").alias("hash"), op.alias("op"))
+    listing = e.where("user_id % 5 <> 0").select(F.col("user_id").alias("path")).distinct()
+    return watch.apply_changes(current, changes).join(listing, "path", "left_semi").select("path", "hash")

@@ -32,7 +32,11 @@ def extension(path: str = "path"):
 
 def crawl(spark: SparkSession, directory: str) -> DataFrame:
     """path, modificationTime, length, content, ext of the indexable files below a directory (or of one file)."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
+    return indexable(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory), directory)
+
+
+def indexable(files: DataFrame, directory: str) -> DataFrame:
+    """Rows (path, length) of known kinds and sizes outside hidden and build folders below ``directory``, with their ext."""
     skipped = r"/(\.[^/]+|" + "|".join(SKIPPED_DIRECTORIES) + ")/"
     below = F.concat(F.lit("/"), F.regexp_replace("path", "^.*?" + re.escape(directory.rstrip("/")) + "/?", ""))
     return files.where(~below.rlike(skipped) & (F.col("length") <= MAX_BYTES)).withColumn("ext", extension()).where(F.col("ext").isin(*TEXT, *OFFICE))
@@ -256,7 +260,13 @@ SIDECAR = "field string, type string, value string, matched boolean, span struct
 
 def sidecar(spark: SparkSession, path: str) -> DataFrame:
     """Grounded extractions of a JSON-lines file; the first bad line ends the read."""
-    rows = spark.read.schema(SIDECAR).option("mode", "FAILFAST").json(path)
+    return sidecar_rows(spark.read.text(path))
+
+
+def sidecar_rows(lines: DataFrame) -> DataFrame:
+    """``sidecar`` of lines (value); blank lines are passed over."""
+    row = F.from_json("value", SIDECAR, {"mode": "FAILFAST"}).alias("x")
+    rows = lines.where(F.trim("value") != "").select(row).select("x.*")
     kind = F.coalesce(F.nullif("field", F.lit("")), "type")
     return rows.select(kind.alias("class"), "value", F.col("span.snippet").alias("evidence_text"), F.col("span.start").alias("span_start"), F.col("span.end").alias("span_end"), F.coalesce("matched", F.lit(False)).alias("matched"))
 
