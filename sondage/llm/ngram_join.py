@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.llm.common import documents, shuffle_parts, small_batches, spool, text_or_empty
@@ -42,7 +42,8 @@ LIST = 32
 HOT_TOKENS = 1 << 20
 HOT_COUNT = 4
 EARLY = 1.5
-BLOCK_TOKENS = 400_000
+BLOCK_TOKENS = 100_000
+EXPAND = 1 << 21
 _C = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -151,13 +152,19 @@ def _table(names: list[str], columns: list, kinds: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
+def row_keys() -> list[Column]:
+    """key and key2: 128 bits that tell rows apart by id and text."""
+    own = [F.col("doc_id").cast("long"), text_or_empty(), F.isnull("doc_id")]
+    return [F.xxhash64(*own).alias("key"), F.xxhash64(F.lit("second"), *own).alias("key2")]
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and a key that tells rows apart by both."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("key", F.xxhash64("doc_id", "text", F.isnull("doc_id")))
+    """doc_id, text, key, key2."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *row_keys())
 
 
 def classes(docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """Rows (0, key, doc_id, class, n) of documents, and rows (1, token, -, -, count) of the tasks' early tokens.
+    """Rows (0, key, key2, doc_id, class, n) of documents, and rows (1, token, -, -, -, count) of the tasks' early tokens.
 
     Early are the first ``EARLY`` x p tokens of a set by hash; only they can be in a prefix, but for what frequent
     tokens make room for.
@@ -165,14 +172,14 @@ def classes(docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
     prefixes = Prefixes(np.zeros(0, np.uint64), num, den)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["kind", "key", "doc_id", "class", "n"], [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        names, kinds = ["kind", "key", "key2", "doc_id", "class", "n"], [pa.int32(), *[pa.int64()] * 5]
         shingler, seen = Shingler(ngram), set()
         held, size = [], 0
 
         def counts() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
             none = pa.nulls(len(tokens), pa.int64())
-            return _table(names, [[1] * len(tokens), _signed(tokens), none, none, n], kinds)
+            return _table(names, [[1] * len(tokens), _signed(tokens), none, none, none, n], kinds)
 
         for batch in batches:
             out: list[list] = [[], []]
@@ -187,13 +194,13 @@ def classes(docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
                     seen.add(c)
                     held.append(own[: int(EARLY * prefixes.prefix(len(own)))])
                     size += len(held[-1])
-            yield _table(names, [[0] * len(out[0]), batch.column(2), batch.column(0), *out], kinds)
+            yield _table(names, [[0] * len(out[0]), batch.column(2), batch.column(3), batch.column(0), *out], kinds)
             if size > 2_000_000:
                 yield counts()
                 held, size = [], 0
         yield counts()
 
-    return keyed(docs).select("doc_id", "text", "key").mapInArrow(scan, "kind int, key long, doc_id long, class long, n long")
+    return keyed(docs).select("doc_id", "text", "key", "key2").mapInArrow(scan, "kind int, key long, key2 long, doc_id long, class long, n long")
 
 
 def frequent_tokens(early: DataFrame, least: int, most: int) -> np.ndarray:
@@ -331,6 +338,35 @@ def across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
+def shared_pairs(queries: list[np.ndarray], rest: list[np.ndarray], num: int, den: int) -> Iterator[tuple[int, int]]:
+    """Index pairs of linked sets: overlaps are counted over an inverted index of ``rest``, ``EXPAND`` entries at a time."""
+    if not queries or not rest:
+        return
+    sizes, own_sizes = np.asarray([len(x) for x in rest]), np.asarray([len(x) for x in queries])
+    flat = np.concatenate(rest)
+    order = np.argsort(flat, kind="stable")
+    owner = np.repeat(np.arange(len(rest)), sizes)[order]
+    vocabulary, first, n = np.unique(flat[order], return_index=True, return_counts=True)
+    tokens, q = np.concatenate(queries), np.repeat(np.arange(len(queries)), own_sizes)
+    at = np.searchsorted(vocabulary, tokens)
+    at[at == len(vocabulary)] = 0
+    use = np.flatnonzero(vocabulary[at] == tokens)
+    at, q = at[use], q[use]
+    ends, starts = np.cumsum(n[at]), np.append(np.flatnonzero(np.append(True, q[1:] != q[:-1])) if len(q) else [], len(q)).astype(np.int64)
+    a = 0
+    while a + 1 < len(starts):
+        base = ends[starts[a]] - n[at[starts[a]]]
+        b = max(a + 1, int(np.searchsorted(ends[starts[1:] - 1], base + EXPAND, "right")))
+        x, y = starts[a], starts[b]
+        m = n[at[x:y]]
+        slot = np.repeat(first[at[x:y]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        pair, same = np.unique(np.repeat(q[x:y], m) * len(rest) + owner[slot], return_counts=True)
+        left, right = pair // len(rest), pair % len(rest)
+        good = den * same >= num * (own_sizes[left] + sizes[right] - same)
+        yield from zip(left[good].tolist(), right[good].tolist())
+        a = b
+
+
 def cluster_links(long: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, ngram: int, num: int, den: int) -> DataFrame | None:
     """Links between components inside clusters of long lists; None if each cluster is one component."""
     cluster = components(long).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
@@ -370,39 +406,28 @@ def cluster_links(long: DataFrame, labels: DataFrame, sizes: DataFrame, texts: D
             return x
 
         links: tuple[list, list] = ([], [])
-        if len(rest):
-            flat = np.concatenate([sets[i] for i in rest])
-            sizes = np.asarray([len(sets[i]) for i in rest])
-            starts = np.cumsum(sizes) - sizes
-            vocabulary, flat = np.unique(flat, return_inverse=True)
-            for i in queries.tolist():
-                own = sets[i]
-                at = np.searchsorted(vocabulary, own)
-                at[at == len(vocabulary)] = 0
-                mark = np.zeros(len(vocabulary), bool)
-                mark[at[vocabulary[at] == own]] = True
-                same = np.add.reduceat(mark[flat], starts, dtype=np.int64)
-                for j in np.flatnonzero(den * same >= num * (sizes + len(own) - same)).tolist():
-                    x, y = root(int(comp[i])), root(int(comp[rest[j]]))
-                    if x != y:
-                        parent[x] = y
-                        links[0].append(int(cls[i]))
-                        links[1].append(int(cls[rest[j]]))
+        for q, r in shared_pairs([sets[i] for i in queries], [sets[i] for i in rest], num, den):
+            i, j = queries[q], rest[r]
+            x, y = root(int(comp[i])), root(int(comp[j]))
+            if x != y:
+                parent[x] = y
+                links[0].append(int(cls[i]))
+                links[1].append(int(cls[j]))
         return pa.table({"a": pa.array(links[0], pa.int64()), "b": pa.array(links[1], pa.int64())})
 
     return rows.groupBy("cluster", "q", "m").applyInArrow(search, "a long, b long")
 
 
 def join_components(docs: DataFrame, ngram: int = NGRAM, num: int = NUM, den: int = DEN) -> DataFrame:
-    """key, doc_id, n (set size), class, component_id (least doc_id reachable) of every row."""
+    """key, key2, doc_id, n (set size), class, component_id (least doc_id reachable) of every row."""
     small_batches(docs.sparkSession)
     scanned = spool(classes(docs, ngram, num, den))
-    rows = scanned.where("kind = 0").select("key", "doc_id", "class", "n")
+    rows = scanned.where("kind = 0").select("key", "key2", "doc_id", "class", "n")
     hot = frequent_tokens(scanned.where("kind = 1"), HOT_COUNT, HOT_TOKENS)
     pairs = spool(candidates(docs, hot, ngram, num, den))
     needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    stands = rows.join(needed, "class").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"))
-    texts = spool(keyed(docs).select("key", "text").join(stands, "key").select("class", "n", "text").dropDuplicates(["class"]))
+    stands = rows.join(needed, "class").groupBy("class").agg(F.min(F.struct("key", "key2")).alias("x"), F.first("n").alias("n")).select("class", "n", "x.*")
+    texts = spool(keyed(docs).select("key", "key2", "text").join(stands, ["key", "key2"]).select("class", "n", "text").dropDuplicates(["class"]))
     fitting = pairs.where("fits = 1").select("a", "b")
     # First one partner for each class; then only the pairs that these links leave in different components.
     links = spool(verified(fitting.groupBy("b").agg(F.min("a").alias("a")), texts, ngram, num, den))
@@ -415,19 +440,20 @@ def join_components(docs: DataFrame, ngram: int = NGRAM, num: int = NUM, den: in
         labels = components(links.unionByName(spool(more)))
     own = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "class")))
     own = spool(own)
-    least = own.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "key"))["key"].alias("first_key"))
+    least = own.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "key", "key2")).alias("first"))
     return own.join(least, "component", "left").select(
-        "key", "doc_id", "n", "class", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("first_key", "key").alias("first_key")
+        "key", "key2", "doc_id", "n", "class", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        ((F.coalesce(F.col("first.key"), F.col("key")) == F.col("key")) & (F.coalesce(F.col("first.key2"), F.col("key2")) == F.col("key2"))).alias("is_first"),
     )
 
 
 def keep_one(docs: DataFrame, ngram: int = NGRAM, num: int = NUM, den: int = DEN) -> DataFrame:
     """One row of each component, the least doc_id (null last), with its columns; equal rows count once."""
-    firsts = join_components(docs, ngram, num, den).where("key = first_key").select(F.col("key").alias("__key")).distinct()
-    key = F.xxhash64(F.col("doc_id").cast("long"), text_or_empty(), F.isnull("doc_id"))
+    firsts = join_components(docs, ngram, num, den).where("is_first").select(F.col("key").alias("__key"), F.col("key2").alias("__key2")).distinct()
     names = docs.columns
-    kept = docs.withColumn("__key", key).join(firsts, "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*[F.col(f"`{c}`") for c in names])
+    first, second = row_keys()
+    kept = docs.withColumns({"__key": first, "__key2": second}).join(firsts, ["__key", "__key2"], "left_semi")
+    return kept.dropDuplicates(["__key", "__key2"]).select(*[F.col(f"`{c}`") for c in names])
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
