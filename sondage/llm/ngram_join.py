@@ -42,8 +42,9 @@ LIST = 32
 HOT_TOKENS = 1 << 20
 HOT_COUNT = 4
 EARLY = 1.5
-BLOCK_TOKENS = 100_000
+BLOCK_TOKENS = 200_000
 EXPAND = 1 << 21
+CACHE_TOKENS = 1 << 21
 _C = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -310,13 +311,16 @@ def verified(pairs: DataFrame, texts: DataFrame, ngram: int, num: int, den: int)
     both = pairs.select("a", "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, cache = Shingler(ngram), {}
+        shingler, cache, held = Shingler(ngram), {}, 0
 
         def tokens(c: int, text: str) -> np.ndarray:
+            nonlocal held
             if c not in cache:
-                if len(cache) >= 256:
+                if len(cache) >= 256 or held > CACHE_TOKENS:
                     cache.clear()
+                    held = 0
                 cache[c] = shingler.tokens(text)
+                held += len(cache[c])
             return cache[c]
 
         for batch in batches:
@@ -426,8 +430,8 @@ def join_components(docs: DataFrame, ngram: int = NGRAM, num: int = NUM, den: in
     hot = frequent_tokens(scanned.where("kind = 1"), HOT_COUNT, HOT_TOKENS)
     pairs = spool(candidates(docs, hot, ngram, num, den))
     needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    stands = rows.join(needed, "class").groupBy("class").agg(F.min(F.struct("key", "key2")).alias("x"), F.first("n").alias("n")).select("class", "n", "x.*")
-    texts = spool(keyed(docs).select("key", "key2", "text").join(stands, ["key", "key2"]).select("class", "n", "text").dropDuplicates(["class"]))
+    stands = rows.join(needed, "class").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"))
+    texts = spool(keyed(docs).select("key", "text").join(stands, "key").select("class", "n", "text").dropDuplicates(["class"]))
     fitting = pairs.where("fits = 1").select("a", "b")
     # First one partner for each class; then only the pairs that these links leave in different components.
     links = spool(verified(fitting.groupBy("b").agg(F.min("a").alias("a")), texts, ngram, num, den))
@@ -440,9 +444,11 @@ def join_components(docs: DataFrame, ngram: int = NGRAM, num: int = NUM, den: in
         labels = components(links.unionByName(spool(more)))
     own = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "class")))
     own = spool(own)
-    least = own.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "key", "key2")).alias("first"))
+    # A component of one row needs no look-up, which keeps this table to those of several rows.
+    least = own.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "key", "key2")).alias("first"), F.count("*").alias("rows"))
+    least = least.where("rows > 1").drop("rows")
     return own.join(least, "component", "left").select(
-        "key", "key2", "doc_id", "n", "class", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+        "key", "key2", "doc_id", "n", "class", F.when(F.col("first").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
         ((F.coalesce(F.col("first.key"), F.col("key")) == F.col("key")) & (F.coalesce(F.col("first.key2"), F.col("key2")) == F.col("key2"))).alias("is_first"),
     )
 
