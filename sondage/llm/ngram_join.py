@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from sondage.llm.common import documents, shuffle_parts, small_batches, spool, text_or_empty
 from sondage.llm.graph import components
+from sondage.llm.packed import bits_for, packed, unpacked
 
 NGRAM, NUM, DEN = 5, 80, 100
 LIST = 32
@@ -45,6 +46,8 @@ EARLY = 1.5
 BLOCK_TOKENS = 200_000
 EXPAND = 1 << 21
 CACHE_TOKENS = 1 << 21
+BROADCAST_COMPONENTS = 200_000
+BUCKET_BITS = 10
 _C = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -164,8 +167,8 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"), *row_keys())
 
 
-def classes(docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """Rows (0, key, key2, doc_id, class, n) of documents, and rows (1, token, -, -, -, count) of the tasks' early tokens.
+def classes(docs: DataFrame, ngram: int, num: int, den: int, bits: int = BUCKET_BITS) -> DataFrame:
+    """Rows (0, key, key2, doc_id, class, n) of documents, and rows (1, bucket) of the tasks' early tokens and their counts, packed.
 
     Early are the first ``EARLY`` x p tokens of a set by hash; only they can be in a prefix, but for what frequent
     tokens make room for.
@@ -173,14 +176,15 @@ def classes(docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
     prefixes = Prefixes(np.zeros(0, np.uint64), num, den)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["kind", "key", "key2", "doc_id", "class", "n"], [pa.int32(), *[pa.int64()] * 5]
+        names, kinds = ["kind", "key", "key2", "doc_id", "class", "n", "tokens", "counts"], [pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
         shingler, seen = Shingler(ngram), set()
         held, size = [], 0
 
         def counts() -> pa.RecordBatch:
             tokens, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
-            none = pa.nulls(len(tokens), pa.int64())
-            return _table(names, [[1] * len(tokens), _signed(tokens), none, none, none, n], kinds)
+            dealt = packed((tokens >> np.uint64(64 - bits)).astype(np.int64), [tokens, n.astype(np.uint32)])
+            none = pa.nulls(dealt.num_rows, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array([1] * dealt.num_rows, pa.int32()), dealt.column(0).cast(pa.int64()), none, none, none, none, dealt.column(1), dealt.column(2)], names=names)
 
         for batch in batches:
             out: list[list] = [[], []]
@@ -195,18 +199,27 @@ def classes(docs: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
                     seen.add(c)
                     held.append(own[: int(EARLY * prefixes.prefix(len(own)))])
                     size += len(held[-1])
-            yield _table(names, [[0] * len(out[0]), batch.column(2), batch.column(3), batch.column(0), *out], kinds)
+            yield _table(names, [[0] * len(out[0]), batch.column(2), batch.column(3), batch.column(0), *out, [None] * len(out[0]), [None] * len(out[0])], kinds)
             if size > 2_000_000:
                 yield counts()
                 held, size = [], 0
         yield counts()
 
-    return keyed(docs).select("doc_id", "text", "key", "key2").mapInArrow(scan, "kind int, key long, key2 long, doc_id long, class long, n long")
+    return keyed(docs).select("doc_id", "text", "key", "key2").mapInArrow(scan, "kind int, key long, key2 long, doc_id long, class long, n long, tokens binary, counts binary")
 
 
 def frequent_tokens(early: DataFrame, least: int, most: int) -> np.ndarray:
     """Sorted tokens that ``least`` or more sets have among their early ones; ``least`` doubles until ``most`` hold them."""
-    counts = spool(early.groupBy(F.col("key").alias("token")).agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tokens, n in unpacked(batches, [np.uint64, np.uint32]):
+            found, at = np.unique(tokens, return_inverse=True)
+            total = np.bincount(at, n).astype(np.int64)
+            use = total >= least
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(found[use])), pa.array(total[use])], names=["token", "n"])
+
+    dealt = early.select("key", "tokens", "counts").repartition("key").sortWithinPartitions("key")
+    counts = spool(dealt.mapInArrow(add, "token long, n long"))
     while counts.where(F.col("n") >= least).count() > most:
         least *= 2
     found = counts.where(F.col("n") >= least).select("token").toArrow().column("token").to_numpy()
@@ -425,7 +438,7 @@ def cluster_links(long: DataFrame, labels: DataFrame, sizes: DataFrame, texts: D
 def join_components(docs: DataFrame, ngram: int = NGRAM, num: int = NUM, den: int = DEN) -> DataFrame:
     """key, key2, doc_id, n (set size), class, component_id (least doc_id reachable) of every row."""
     small_batches(docs.sparkSession)
-    scanned = spool(classes(docs, ngram, num, den))
+    scanned = spool(classes(docs, ngram, num, den, bits_for(docs)))
     rows = scanned.where("kind = 0").select("key", "key2", "doc_id", "class", "n")
     hot = frequent_tokens(scanned.where("kind = 1"), HOT_COUNT, HOT_TOKENS)
     pairs = spool(candidates(docs, hot, ngram, num, den))
@@ -446,7 +459,9 @@ def join_components(docs: DataFrame, ngram: int = NGRAM, num: int = NUM, den: in
     own = spool(own)
     # A component of one row needs no look-up, which keeps this table to those of several rows.
     least = own.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "key", "key2")).alias("first"), F.count("*").alias("rows"))
-    least = least.where("rows > 1").drop("rows")
+    least = spool(least.where("rows > 1").drop("rows"))
+    if least.count() <= BROADCAST_COMPONENTS:
+        least = F.broadcast(least)
     return own.join(least, "component", "left").select(
         "key", "key2", "doc_id", "n", "class", F.when(F.col("first").isNotNull(), F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
         ((F.coalesce(F.col("first.key"), F.col("key")) == F.col("key")) & (F.coalesce(F.col("first.key2"), F.col("key2")) == F.col("key2"))).alias("is_first"),

@@ -2,7 +2,7 @@
 
 Seeds are all word k-mers. One that occurs more than once links each later occurrence, by (doc_id, position), to its
 first and to its previous one: two links at most, whatever the number of occurrences. K-mers and links travel packed,
-in buckets by hash and by document. The links of a document are chained per reference: co-linear seeds with a linear gap
+in buckets by hash and by document, whose number follows the size of the texts. The links of a document are chained per reference: co-linear seeds with a linear gap
 cost, best predecessors from a Fenwick tree of prefix maxima. Chains of any length over all references are merged where
 they touch; those of stretches of ``LEAST_WORDS`` words or more are aligned on the texts of both documents: banded edit
 distance between seeds, and extension at both ends while words agree. So a run of words of which one earlier document
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sondage.llm.common import documents, small_batches, spool, text_or_empty
+from sondage.llm.packed import LEAST_BITS, bits_for, packed, unpacked
 
 K = 6
 WINDOW = 15
@@ -38,7 +39,6 @@ LEAST_WORDS = 50
 GAP_COST = 0.1
 MAX_GAP = 40
 BAND = 16
-BUCKET_BITS = 10
 CHUNK = 1 << 20
 _WORD = re.compile(r"\S+")
 _C = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -202,44 +202,6 @@ def ordered(docs: DataFrame) -> DataFrame:
     return found.join(numbers, "key").select("doc_id", "text", "key", "rank")
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Bytes of ``x``, all first bytes first: these columns compress where rows of them do not."""
-    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
-
-
-def _unplanes(parts: list[bytes], kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, -1).T).view(kind).reshape(-1) for x in parts])
-
-
-def _buckets(batches: Iterator[pa.RecordBatch], kinds: list[type]) -> Iterator[list[np.ndarray]]:
-    """Unpacked columns of each bucket; rows come sorted by bucket."""
-    held: list[list[bytes]] = [[] for _ in kinds]
-    last = None
-    for batch in batches:
-        own = batch.column(0).to_pylist()
-        columns = [batch.column(i + 1).to_pylist() for i in range(len(kinds))]
-        for i, bucket in enumerate(own):
-            if bucket != last and held[0]:
-                yield [_unplanes(h, kind) for h, kind in zip(held, kinds)]
-                held = [[] for _ in kinds]
-            last = bucket
-            for h, column in zip(held, columns):
-                h.append(column[i])
-    if held[0]:
-        yield [_unplanes(h, kind) for h, kind in zip(held, kinds)]
-
-
-def _dealt(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
-    """A row per bucket with what ``columns`` have of it, in their order."""
-    order = np.argsort(bucket, kind="stable")
-    own = bucket[order]
-    cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)] if len(own) else [0]
-    columns = [c[order] for c in columns]
-    data = [pa.array([int(own[a]) for a in cuts[:-1]], pa.int32()), *(pa.array([_planes(c[a:b]) for a, b in zip(cuts, cuts[1:])], pa.binary()) for c in columns)]
-    return pa.RecordBatch.from_arrays(data, names=["bucket", *(f"c{i}" for i in range(len(columns)))])
-
-
 def _starts(*columns: np.ndarray) -> np.ndarray:
     """Where a row differs from the one before in any column."""
     new = np.ones(len(columns[0]), bool)
@@ -248,14 +210,14 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def scan(batches: Iterator[pa.RecordBatch], bits: int = LEAST_BITS) -> Iterator[pa.RecordBatch]:
     """All k-mers of text, rank: bucket, hashes, ranks, positions."""
     words, hashes, ranks, size = Words(), [], [], 0
 
     def out() -> pa.RecordBatch:
         h = np.concatenate(hashes)
         at = np.concatenate([np.arange(len(x), dtype=np.uint32) for x in hashes])
-        return _dealt((h >> np.uint64(64 - BUCKET_BITS)).astype(np.uint16), [h, np.repeat(np.asarray(ranks, np.int64), [len(x) for x in hashes]), at])
+        return packed((h >> np.uint64(64 - bits)).astype(np.int32), [h, np.repeat(np.asarray(ranks, np.int64), [len(x) for x in hashes]), at])
 
     for batch in batches:
         for text, rank in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -292,17 +254,17 @@ def star(h: np.ndarray, rank: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [rank[own], at[own], rank[ref], at[ref]]
 
 
-def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def link(batches: Iterator[pa.RecordBatch], bits: int = LEAST_BITS) -> Iterator[pa.RecordBatch]:
     """``star`` of every bucket, packed by document."""
     held: list[list[np.ndarray]] = []
 
     def out() -> pa.RecordBatch:
         rank, at, ref, ref_at = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((at, rank))
-        mixed = (rank[order].astype(np.uint64) * _C[0]) >> np.uint64(64 - BUCKET_BITS)
-        return _dealt(mixed.astype(np.uint16), [rank[order], at[order], ref[order], ref_at[order]])
+        mixed = (rank[order].astype(np.uint64) * _C[0]) >> np.uint64(64 - bits)
+        return packed(mixed.astype(np.int32), [rank[order], at[order], ref[order], ref_at[order]])
 
-    for columns in _buckets(batches, [np.uint64, np.int64, np.uint32]):
+    for columns in unpacked(batches, [np.uint64, np.int64, np.uint32]):
         held.append(star(*columns))
         if sum(len(x[0]) for x in held) >= CHUNK:
             yield out()
@@ -313,8 +275,10 @@ def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def seed_links(docs: DataFrame) -> DataFrame:
     """bucket of a document, and packed links of its seeds: rank, at, ref_rank, ref_at."""
-    found = docs.select("text", "rank").mapInArrow(scan, "bucket int, c0 binary, c1 binary, c2 binary")
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(link, "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
+    bits = bits_for(docs)
+    found = docs.select("text", "rank").mapInArrow(lambda batches: scan(batches, bits), "bucket int, c0 binary, c1 binary, c2 binary")
+    dealt = found.repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(lambda batches: link(batches, bits), "bucket int, c0 binary, c1 binary, c2 binary, c3 binary")
 
 
 def covering(rank: np.ndarray, at: np.ndarray, ref: np.ndarray, ref_at: np.ndarray, least: int) -> list[tuple[int, int, list[list[int]]]]:
@@ -385,7 +349,7 @@ def passages(docs: DataFrame, least_chain: int = LEAST_CHAIN, least_words: int =
     docs = ordered(docs)
 
     def chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for links in _buckets(batches, [np.int64, np.uint32, np.int64, np.uint32]):
+        for links in unpacked(batches, [np.int64, np.uint32, np.int64, np.uint32]):
             rows = covering(*links, max(least_chain, least_words))
             columns = list(zip(*rows)) if rows else [[]] * 3
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int32())))
