@@ -48,6 +48,7 @@ EXPAND = 1 << 21
 CACHE_TOKENS = 1 << 21
 BROADCAST_COMPONENTS = 200_000
 BUCKET_BITS = 10
+SKETCH_BITS = 1024
 _C = np.asarray([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -95,6 +96,11 @@ def class_of(tokens: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(tokens.tobytes()) - (1 << 63)
 
 
+def sketch(tokens: np.ndarray) -> bytes:
+    """Parities of ``SKETCH_BITS`` groups of tokens: two sets differ in at least as many tokens as these bits differ."""
+    return np.packbits(np.bincount((tokens & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).tobytes()
+
+
 def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
@@ -176,7 +182,7 @@ def classes(docs: DataFrame, ngram: int, num: int, den: int, bits: int = BUCKET_
     prefixes = Prefixes(np.zeros(0, np.uint64), num, den)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ["kind", "key", "key2", "doc_id", "class", "n", "tokens", "counts"], [pa.int32(), *[pa.int64()] * 5, pa.binary(), pa.binary()]
+        names, kinds = ["kind", "key", "key2", "doc_id", "class", "n", "tokens", "counts", "sketch"], [pa.int32(), *[pa.int64()] * 5, *[pa.binary()] * 3]
         shingler, seen = Shingler(ngram), set()
         held, size = [], 0
 
@@ -184,28 +190,31 @@ def classes(docs: DataFrame, ngram: int, num: int, den: int, bits: int = BUCKET_
             tokens, n = np.unique(np.concatenate(held) if held else np.zeros(0, np.uint64), return_counts=True)
             dealt = packed((tokens >> np.uint64(64 - bits)).astype(np.int64), [tokens, n.astype(np.uint32)])
             none = pa.nulls(dealt.num_rows, pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array([1] * dealt.num_rows, pa.int32()), dealt.column(0).cast(pa.int64()), none, none, none, none, dealt.column(1), dealt.column(2)], names=names)
+            return pa.RecordBatch.from_arrays([pa.array([1] * dealt.num_rows, pa.int32()), dealt.column(0).cast(pa.int64()), none, none, none, none, dealt.column(1), dealt.column(2), pa.nulls(dealt.num_rows, pa.binary())], names=names)
 
         for batch in batches:
             out: list[list] = [[], []]
+            sketches: list[bytes | None] = []
             for text in batch.column(1).to_pylist():
                 own = shingler.tokens(text)
                 c = class_of(own)
                 out[0].append(c)
                 out[1].append(len(own))
+                sketches.append(None)
                 if len(own) and c not in seen:
                     if len(seen) > 200_000:
                         seen.clear()
                     seen.add(c)
+                    sketches[-1] = sketch(own)
                     held.append(own[: int(EARLY * prefixes.prefix(len(own)))])
                     size += len(held[-1])
-            yield _table(names, [[0] * len(out[0]), batch.column(2), batch.column(3), batch.column(0), *out, [None] * len(out[0]), [None] * len(out[0])], kinds)
+            yield _table(names, [[0] * len(out[0]), batch.column(2), batch.column(3), batch.column(0), *out, [None] * len(out[0]), [None] * len(out[0]), sketches], kinds)
             if size > 2_000_000:
                 yield counts()
                 held, size = [], 0
         yield counts()
 
-    return keyed(docs).select("doc_id", "text", "key", "key2").mapInArrow(scan, "kind int, key long, key2 long, doc_id long, class long, n long, tokens binary, counts binary")
+    return keyed(docs).select("doc_id", "text", "key", "key2").mapInArrow(scan, "kind int, key long, key2 long, doc_id long, class long, n long, tokens binary, counts binary, sketch binary")
 
 
 def frequent_tokens(early: DataFrame, least: int, most: int) -> np.ndarray:
@@ -320,8 +329,21 @@ def candidates(docs: DataFrame, hot: np.ndarray, ngram: int, num: int, den: int)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, ngram: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, on whole texts."""
-    both = pairs.select("a", "b").join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
+    """The pairs (a, b) that link, on whole texts. Pairs whose sketches differ in more bits than linked sets can in tokens go first."""
+    side = lambda x: texts.select(F.col("class").alias(x), F.col("n").alias("n" + x), F.col("sketch").alias("s" + x))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (4, 5))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            # Linked: den * same >= num * (n - same); the sets differ in n - 2 * same tokens.
+            yield batch.select([0, 1]).filter(pa.array((num + den) * apart <= (den - num) * n))
+
+    close = spool(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(near, "a long, b long"))
+    both = close.join(texts.select(F.col("class").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("class").alias("b"), F.col("text").alias("tb")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, cache, held = Shingler(ngram), {}, 0
@@ -439,12 +461,12 @@ def join_components(docs: DataFrame, ngram: int = NGRAM, num: int = NUM, den: in
     """key, key2, doc_id, n (set size), class, component_id (least doc_id reachable) of every row."""
     small_batches(docs.sparkSession)
     scanned = spool(classes(docs, ngram, num, den, bits_for(docs)))
-    rows = scanned.where("kind = 0").select("key", "key2", "doc_id", "class", "n")
+    rows = scanned.where("kind = 0").select("key", "key2", "doc_id", "class", "n", "sketch")
     hot = frequent_tokens(scanned.where("kind = 1"), HOT_COUNT, HOT_TOKENS)
     pairs = spool(candidates(docs, hot, ngram, num, den))
     needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    stands = rows.join(needed, "class").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"))
-    texts = spool(keyed(docs).select("key", "text").join(stands, "key").select("class", "n", "text").dropDuplicates(["class"]))
+    stands = rows.join(needed, "class").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch"))
+    texts = spool(keyed(docs).select("key", "text").join(stands, "key").select("class", "n", "sketch", "text").dropDuplicates(["class"]))
     fitting = pairs.where("fits = 1").select("a", "b")
     # First one partner for each class; then only the pairs that these links leave in different components.
     links = spool(verified(fitting.groupBy("b").agg(F.min("a").alias("a")), texts, ngram, num, den))
@@ -455,7 +477,7 @@ def join_components(docs: DataFrame, ngram: int = NGRAM, num: int = NUM, den: in
     more = cluster_links(pairs.where("long = 1"), labels.select(F.col("node").alias("class"), "component"), texts.select("class", "n"), texts.select("class", "text"), ngram, num, den)
     if more is not None:
         labels = components(links.unionByName(spool(more)))
-    own = rows.join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "class")))
+    own = rows.drop("sketch").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "class")))
     own = spool(own)
     # A component of one row needs no look-up, which keeps this table to those of several rows.
     least = own.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.isnull("doc_id"), "doc_id", "key", "key2")).alias("first"), F.count("*").alias("rows"))

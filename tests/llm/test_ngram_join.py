@@ -112,3 +112,18 @@ def test_hazards_and_keep_one(spark):
     assert kept.columns == df.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["0", "1", "2", "3", "3", "4", "None"]
     assert nj.keep_one(df.limit(0)).count() == 0
+
+
+def test_sketches_never_part_linked_sets():
+    rnd = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rnd.integers(1, 3000))
+        a = rnd.integers(0, 1 << 62, n, dtype=np.uint64)
+        b = np.concatenate([a[int(rnd.integers(0, n // 5 + 1)) :], rnd.integers(0, 1 << 62, int(rnd.integers(0, n // 8 + 2)), dtype=np.uint64)])
+        a, b = np.unique(a), np.unique(b)
+        x, y = (np.frombuffer(nj.sketch(s), np.uint8) for s in (a, b))
+        same = len(np.intersect1d(a, b))
+        assert np.bitwise_count(x ^ y).sum() <= len(a) + len(b) - 2 * same
+        for num, den in ((80, 100), (90, 100)):
+            if den * same >= num * (len(a) + len(b) - same):
+                assert (num + den) * int(np.bitwise_count(x ^ y).sum()) <= (den - num) * (len(a) + len(b))
