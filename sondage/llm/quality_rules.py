@@ -86,6 +86,22 @@ def quality_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOC
     )
 
 
+def without_common_lines(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS) -> DataFrame:
+    """``docs`` with the lines taken out of ``text`` that more than ``max_docs`` documents of a host have; null texts and
+    lines without a word stay, a document may end up empty."""
+    has_word = lambda x: x.rlike("[^\\x20\\x09-\\x0D]")
+    digest = lambda x: F.xxhash64(F.array_join(words_of(F.lower(x)), " "))
+    lines = F.split(F.col("text"), "\n")
+    own = spool(docs.withColumn("__row", F.monotonically_increasing_id()))
+    each = own.select("__row", F.col(host).alias("host"), F.explode(F.array_distinct(F.transform(F.filter(lines, has_word), digest))).alias("h"))
+    common = spool(each.groupBy(F.col("host").alias("common_host"), F.col("h").alias("common_h")).agg(F.count("*").alias("docs")).where(F.col("docs") > max_docs).drop("docs"))
+    found = each.join(common, F.col("host").eqNullSafe(F.col("common_host")) & (F.col("h") == F.col("common_h")))
+    bad = found.groupBy("__row").agg(F.collect_set("h").alias("__bad"))  # at most a document's lines
+    left = F.array_join(F.filter(lines, lambda x: ~(has_word(x) & F.array_contains("__bad", digest(x)))), "\n")
+    joined = own.join(bad, "__row", "left").withColumn("text", F.when(F.col("__bad").isNull(), F.col("text")).otherwise(left))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 

@@ -2,9 +2,10 @@ import random
 import re
 from collections import Counter
 
+from sondage.llm import quality_rules as rules
 from sondage.llm.quality_rules import quality_rules
 
-from .cases import EXTRA, frame, hazards
+from .cases import EXTRA, frame, hazards, rows
 
 SPACE = "[\\x20\\x09-\\x0d]+"
 
@@ -44,3 +45,12 @@ def test_against_brute_force(spark):
     got = sorted((tuple(r) for r in quality_rules(frame(spark, data=data), max_docs=10, min_left=0.5).collect()), key=str)
     assert got == brute(data, 10, 0.5)
     assert quality_rules(frame(spark, data=data).limit(0)).count() == 0
+
+
+def test_common_lines_are_taken_out(spark):
+    texts = [f"Buy  NOW\nown line {i}\n\nbuy now" if i < 5 else f"other {i}\nbuy now" if i == 5 else None if i == 6 else "" for i in range(8)]
+    df = frame(spark, data=[*rows(texts[:5], source="a"), *[(i, t, "en", "b", 0, *EXTRA) for i, t in enumerate(texts[5:], 5)], (9, "Buy now", "en", None, 0, *EXTRA)])
+    got = rules.without_common_lines(df, max_docs=3)
+    assert got.columns == df.columns
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == {**{i: f"own line {i}\n" for i in range(5)}, 5: "other 5\nbuy now", 6: None, 7: "", 9: "Buy now"}
+    assert rules.without_common_lines(df.limit(0)).count() == 0
