@@ -465,7 +465,8 @@ def join_components(docs: DataFrame, ngram: int = NGRAM, num: int = NUM, den: in
     hot = frequent_tokens(scanned.where("kind = 1"), HOT_COUNT, HOT_TOKENS)
     pairs = spool(candidates(docs, hot, ngram, num, den))
     needed = pairs.select(F.col("a").alias("class")).unionByName(pairs.select(F.col("b").alias("class"))).distinct()
-    stands = rows.join(needed, "class").groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch"))
+    # Combined before the join: a class of many copies is a row a task by then.
+    stands = rows.groupBy("class").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch")).join(needed, "class", "left_semi")
     texts = spool(keyed(docs).select("key", "text").join(stands, "key").select("class", "n", "sketch", "text").dropDuplicates(["class"]))
     fitting = pairs.where("fits = 1").select("a", "b")
     # First one partner for each class; then only the pairs that these links leave in different components.
