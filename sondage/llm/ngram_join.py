@@ -5,18 +5,19 @@ Classes link when ``DEN * intersection >= NUM * union``.
 
 Prefix filter: under one global token order, sets of n tokens that link share a token among their first
 ``p = n - ceil(t * n) + 1``. The order puts frequent tokens last: those that ``HOT_COUNT`` or more sets have among their
-first tokens by hash, counted over all sets. They are broadcast, ``HOT_TOKENS`` (8 MB) at most: where more are
-frequent, the count that makes a token frequent doubles. Rare tokens of a prefix are indexed alone. A prefix that reaches frequent
-tokens is extended by ``e`` of them, and its frequent tokens are indexed as pairs: they are dealt into e groups, two
+first tokens by hash, counted over all sets. They are broadcast as a table of bits by hash (32 MB at most), in which up to
+one rare token in four may look frequent: where it holds ``HOT_TOKENS``, the count that makes a token frequent doubles.
+Rare tokens of a prefix are indexed alone. A prefix that reaches frequent tokens is extended by ``e`` of them, and its frequent tokens are indexed as pairs: they are dealt into e groups, two
 linked sets that share no rare token share at least 1 + e frequent ones there, so two fall into one group and their
 combination is shared. ``e`` depends on a band of set sizes; a set is indexed for its own band and the next one, which
 covers every pair that can link. Which tokens count as frequent changes the cost only, never the result.
 
 Index lists are read once, sorted by (signature, class), in bounded memory. A list of up to ``LIST`` classes gives all
-its pairs; a longer one gives only a star to its first class. Pairs are verified on whole texts. Classes of long lists
-(joined into clusters by their stars) that verification hasn't put into their cluster's largest component are then
-searched, in blocks, against all classes of the cluster, so no link between components is lost and no group emits
-all its pairs. Components come from distributed label propagation.
+its pairs; a longer one gives only a star to its first class. Pairs are verified on whole texts. The long lists with
+one first class are a cluster, so lists that merely share some class stay apart. Classes that verification hasn't put into
+their cluster's largest component are then searched, in blocks, against all classes of the cluster: first by size and
+sketch, and those that have a near class in another component on whole texts. So no link between components is lost and
+no group emits all its pairs. Components come from distributed label propagation.
 
 Words: A-Z lower-cased, ``[^\\x20\\x09-\\x0D]+``. Fewer words than ``ngram``: the whole sequence is one token. Null and blank
 texts have an empty set and link with nothing, not even each other. Repeated rows and ids keep their rows; a null id
@@ -40,10 +41,13 @@ from sondage.llm.packed import bits_for, packed, unpacked
 
 NGRAM, NUM, DEN = 5, 80, 100
 LIST = 32
-HOT_TOKENS = 1 << 20
+HOT_BITS = 28
+HOT_TOKENS = 1 << (HOT_BITS - 2)
+HOT_SLICES = 10
 HOT_COUNT = 4
 EARLY = 1.5
 BLOCK_TOKENS = 200_000
+BLOCK_SKETCHES = 4096
 EXPAND = 1 << 21
 CACHE_TOKENS = 1 << 21
 BROADCAST_COMPONENTS = 200_000
@@ -105,14 +109,32 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def table_bits(tokens: int) -> int:
+    """Bits of the number of bits in a table for so many frequent tokens: 16 for each token, as far as ``HOT_BITS`` go."""
+    return min(HOT_BITS, max(16, (16 * tokens).bit_length()))
+
+
+def bit_table(tokens: np.ndarray, bits: int) -> np.ndarray:
+    """Bytes of 2 ** ``bits`` bits; those that the tokens' first ``bits`` bits name are set."""
+    table = np.zeros(1 << bits, bool)
+    table[(tokens >> np.uint64(64 - bits)).astype(np.int64)] = True
+    return np.packbits(table, bitorder="little")
+
+
 class Prefixes:
-    """Signatures of a set under the order (rare tokens, frequent tokens), each by hash."""
+    """Signatures of a set under the order (rare tokens, frequent tokens), each by hash.
+
+    ``hot``: a bit table of the frequent tokens, or the tokens themselves.
+    """
 
     def __init__(self, hot: np.ndarray, num: int, den: int):
-        self.hot, self.num, self.den = hot, num, den
+        self.hot, self.num, self.den = hot if hot.dtype == np.uint8 else bit_table(hot, table_bits(len(hot))), num, den
+        self.shift = np.uint64(64 - (8 * len(self.hot)).bit_length() + 1)
         self.base = math.log(den / num * 1.0001)
-        self.bits = np.zeros(1 << 16, bool)
-        self.bits[(hot >> np.uint64(48)).astype(np.int64)] = True
+
+    def frequent(self, tokens: np.ndarray) -> np.ndarray:
+        at = (tokens >> self.shift).astype(np.int64)
+        return (self.hot[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
     def prefix(self, n: int) -> int:
         return n - -(-self.num * n // self.den) + 1
@@ -128,12 +150,7 @@ class Prefixes:
     def signatures(self, tokens: np.ndarray) -> np.ndarray:
         n = len(tokens)
         p = self.prefix(n)
-        hot = np.zeros(n, bool)
-        if len(self.hot):
-            maybe = np.flatnonzero(self.bits[(tokens >> np.uint64(48)).astype(np.int64)])
-            at = np.searchsorted(self.hot, tokens[maybe])
-            at[at == len(self.hot)] = 0
-            hot[maybe] = self.hot[at] == tokens[maybe]
+        hot = self.frequent(tokens)
         rare = tokens[~hot]
         if len(rare) >= p:
             return rare[:p]
@@ -218,7 +235,10 @@ def classes(docs: DataFrame, ngram: int, num: int, den: int, bits: int = BUCKET_
 
 
 def frequent_tokens(early: DataFrame, least: int, most: int) -> np.ndarray:
-    """Sorted tokens that ``least`` or more sets have among their early ones; ``least`` doubles until ``most`` hold them."""
+    """Bit table of the tokens that ``least`` or more sets have among their early ones; ``least`` doubles until ``most`` hold them.
+
+    Tasks make slices of the table, so the driver gets no more than its bytes.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, n in unpacked(batches, [np.uint64, np.uint32]):
@@ -229,10 +249,26 @@ def frequent_tokens(early: DataFrame, least: int, most: int) -> np.ndarray:
 
     dealt = early.select("key", "tokens", "counts").repartition("key").sortWithinPartitions("key")
     counts = spool(dealt.mapInArrow(add, "token long, n long"))
-    while counts.where(F.col("n") >= least).count() > most:
+    while (size := counts.where(F.col("n") >= least).count()) > most:
         least *= 2
-    found = counts.where(F.col("n") >= least).select("token").toArrow().column("token").to_numpy()
-    return np.sort(found.astype(np.int64).view(np.uint64))
+    bits = table_bits(size)
+    piece = 1 << (bits - HOT_SLICES - 3)
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+            where = at >> (bits - HOT_SLICES)
+            for k in np.unique(where).tolist():
+                own = at[where == k] & (8 * piece - 1)
+                np.bitwise_or.at(made.setdefault(k, np.zeros(piece, np.uint8)), own >> 3, np.uint8(1) << (own & 7).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array(list(made), pa.int32()), pa.array([x.tobytes() for x in made.values()], pa.binary())], names=["slice", "bytes"])
+
+    frequent = counts.where(F.col("n") >= least).select("token", F.shiftrightunsigned("token", 64 - HOT_SLICES).alias("slice"))
+    table = np.zeros(1 << (bits - 3), np.uint8)
+    for row in frequent.repartition("slice").select("token").mapInArrow(slices, "slice int, bytes binary").collect():
+        table[row["slice"] * piece : (row["slice"] + 1) * piece] = np.frombuffer(row["bytes"], np.uint8)
+    return table
 
 
 def candidates(docs: DataFrame, hot: np.ndarray, ngram: int, num: int, den: int) -> DataFrame:
@@ -406,9 +442,54 @@ def shared_pairs(queries: list[np.ndarray], rest: list[np.ndarray], num: int, de
         a = b
 
 
+def sketch_pairs(n: np.ndarray, sketches: np.ndarray, queries: np.ndarray, group: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets may link with one of another ``group``, of pairs with one of ``queries`` (places) at least: by size and sketch.
+
+    Linked: den * same >= num * (n - same), n the sum of both sizes; the sets differ in n - 2 * same tokens.
+    """
+    order = np.argsort(n, kind="stable")
+    size, rows, own = n[order], np.ascontiguousarray(sketches[order]).view(np.uint64), group[order]
+    out = np.zeros(len(n), bool)
+    for q in queries.tolist():
+        a, b = np.searchsorted(size, -(-num * n[q] // den)), np.searchsorted(size, den * n[q] // num, "right")
+        apart = np.bitwise_count(rows[a:b] ^ sketches[q].view(np.uint64)).sum(axis=1, dtype=np.int64)
+        near = ((num + den) * apart <= (den - num) * (size[a:b] + n[q])) & (own[a:b] != group[q])
+        if near.any():
+            out[order[a:b][near]] = True
+            out[q] = True
+    return out
+
+
+def _blocks(member: DataFrame, q: Column, m: Column, most: int) -> DataFrame:
+    """at (is_query, q, m) of each member's copies, for all pairs of a block of queries and a block of members of a cluster; q and m: sums that ``most`` bounds in a block."""
+    blocks = member.groupBy("cluster").agg(q.alias("q"), m.alias("all")).where(F.col("q") > 0)
+    blocks = blocks.select("cluster", F.ceil(F.col("q") / most).cast("int").alias("q_blocks"), F.ceil(F.col("all") / most).cast("int").alias("m_blocks"))
+    h = F.xxhash64("class", F.lit(1))
+    own_q, own_m = F.pmod(h, F.col("q_blocks")).cast("int"), F.pmod(h, F.col("m_blocks")).cast("int")
+    as_query = F.transform(F.sequence(F.lit(0), F.col("m_blocks") - 1), lambda m: F.struct(F.lit(True).alias("is_query"), own_q.alias("q"), m.alias("m")))
+    as_member = F.transform(F.sequence(F.lit(0), F.col("q_blocks") - 1), lambda q: F.struct(F.lit(False).alias("is_query"), q.alias("q"), own_m.alias("m")))
+    return member.join(blocks, "cluster").withColumn("at", F.explode(F.when(F.col("query"), F.concat(as_query, as_member)).otherwise(as_member)))
+
+
+def near_members(member: DataFrame, num: int, den: int) -> DataFrame:
+    """Rows of ``member`` (cluster, class, component, n, sketch, query) that may link with one of another component of their cluster."""
+
+    def near(group: pa.Table) -> pa.Table:
+        sketches = np.frombuffer(b"".join(group.column("sketch").to_pylist()), np.uint8).reshape(group.num_rows, -1)
+        found = sketch_pairs(group.column("n").to_numpy(), sketches, np.flatnonzero(group.column("is_query").to_numpy()), group.column("component").to_numpy(), num, den)
+        return group.select(["cluster", "class"]).filter(pa.array(found))
+
+    rows = _blocks(member, F.sum(F.col("query").cast("long")), F.count("*"), BLOCK_SKETCHES)
+    found = rows.select("cluster", "class", "component", "n", "sketch", "at.is_query", "at.q", "at.m").groupBy("cluster", "q", "m").applyInArrow(near, "cluster long, class long")
+    return member.join(found.distinct(), ["cluster", "class"], "left_semi")
+
+
 def cluster_links(long: DataFrame, labels: DataFrame, sizes: DataFrame, texts: DataFrame, ngram: int, num: int, den: int) -> DataFrame | None:
-    """Links between components inside clusters of long lists; None if each cluster is one component."""
-    cluster = components(long).select(F.col("node").alias("class"), F.col("component").alias("cluster"))
+    """Links between components inside clusters, the long lists of one first class; None if no classes of different components are near.
+
+    ``sizes``: class, n, sketch.
+    """
+    cluster = long.select(F.col("a").alias("cluster"), F.col("b").alias("class")).unionByName(long.select(F.col("a").alias("cluster"), F.col("a").alias("class"))).distinct()
     member = spool(
         cluster.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class")).join(sizes, "class")
     )
@@ -416,20 +497,11 @@ def cluster_links(long: DataFrame, labels: DataFrame, sizes: DataFrame, texts: D
         member.groupBy("cluster", "component").agg(F.count("*").alias("m")).groupBy("cluster").agg(F.max_by("component", F.struct("m", "component")).alias("main"))
     )
     member = spool(member.join(main, "cluster").withColumn("query", F.col("component") != F.col("main")).drop("main"))
-    blocks = member.groupBy("cluster").agg(
-        F.sum(F.when(F.col("query"), F.col("n"))).alias("q"), F.sum("n").alias("all"),
-    ).where(F.col("q").isNotNull()).select("cluster", F.ceil(F.col("q") / BLOCK_TOKENS).cast("int").alias("q_blocks"), F.ceil(F.col("all") / BLOCK_TOKENS).cast("int").alias("m_blocks"))
-    if not blocks.limit(1).count():
+    member = spool(near_members(member, num, den).drop("sketch"))
+    if not member.limit(1).count():
         return None
-    h = F.xxhash64("class", F.lit(1))
-    own_q, own_m = F.pmod(h, F.col("q_blocks")).cast("int"), F.pmod(h, F.col("m_blocks")).cast("int")
-    as_query = F.transform(F.sequence(F.lit(0), F.col("m_blocks") - 1), lambda m: F.struct(F.lit(True).alias("is_query"), own_q.alias("q"), m.alias("m")))
-    as_member = F.transform(F.sequence(F.lit(0), F.col("q_blocks") - 1), lambda q: F.struct(F.lit(False).alias("is_query"), q.alias("q"), own_m.alias("m")))
-    rows = (
-        member.join(blocks, "cluster").withColumn("at", F.when(F.col("query"), F.concat(as_query, as_member)).otherwise(as_member))
-        .join(texts, "class").select("cluster", "class", "component", "text", F.explode("at").alias("at"))
-        .select("cluster", "class", "component", "text", "at.is_query", "at.q", "at.m")
-    )
+    rows = _blocks(member, F.sum(F.when(F.col("query"), F.col("n"))), F.sum("n"), BLOCK_TOKENS)
+    rows = rows.join(texts, "class").select("cluster", "class", "component", "text", "at.is_query", "at.q", "at.m")
 
     def search(group: pa.Table) -> pa.Table:
         shingler = Shingler(ngram)
@@ -475,7 +547,7 @@ def join_components(docs: DataFrame, ngram: int = NGRAM, num: int = NUM, den: in
     if apart.limit(1).count():
         links = links.unionByName(spool(verified(apart, texts, ngram, num, den)))
     labels = components(links)
-    more = cluster_links(pairs.where("long = 1"), labels.select(F.col("node").alias("class"), "component"), texts.select("class", "n"), texts.select("class", "text"), ngram, num, den)
+    more = cluster_links(pairs.where("long = 1"), labels.select(F.col("node").alias("class"), "component"), texts.select("class", "n", "sketch"), texts.select("class", "text"), ngram, num, den)
     if more is not None:
         labels = components(links.unionByName(spool(more)))
     own = rows.drop("sketch").join(labels.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.when(F.col("n") > 0, F.coalesce("component", "class")))

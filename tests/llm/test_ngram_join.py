@@ -127,3 +127,42 @@ def test_sketches_never_part_linked_sets():
         for num, den in ((80, 100), (90, 100)):
             if den * same >= num * (len(a) + len(b) - same):
                 assert (num + den) * int(np.bitwise_count(x ^ y).sum()) <= (den - num) * (len(a) + len(b))
+
+
+def test_chained_lists_are_not_searched_as_one(spark):
+    """Unlike texts of 40 long lists, each of which shares a class with the next: no two are near, so no text is read."""
+    rnd = random.Random(6)
+    data, stars = [], []
+    for i in range(40):
+        ids = range(30 * i, 30 * i + 31)
+        stars += [(ids[0], x, 1, 0) for x in ids[1:]]
+    data = [(i, " ".join(f"v{rnd.randrange(10**6)}" for _ in range(60)), "en", "s", 0, *EXTRA) for i in range(40 * 30 + 1)]
+    shingler = nj.Shingler(3)
+    sets = [shingler.tokens(d[1]) for d in data]
+    long = spark.createDataFrame(stars, "a long, b long, long long, fits long")
+    sizes = spark.createDataFrame([(i, len(x), bytearray(nj.sketch(x))) for i, x in enumerate(sets)], "class long, n long, sketch binary")
+    texts = spark.createDataFrame([(d[0], d[1]) for d in data], "class long, text string")
+    labels = spark.createDataFrame([], "class long, component long")
+    assert nj.cluster_links(long, labels, sizes, texts, 3, 90, 100) is None
+    # A near copy in the same list is found, one in another list is left to its own lists.
+    texts = texts.replace({data[35][1]: data[40][1] + " more", data[95][1]: data[40][1] + " again"}, subset="text")
+    sets[35], sets[95] = shingler.tokens(data[40][1] + " more"), shingler.tokens(data[40][1] + " again")
+    sizes = spark.createDataFrame([(i, len(x), bytearray(nj.sketch(x))) for i, x in enumerate(sets)], "class long, n long, sketch binary")
+    got = nj.cluster_links(long, labels, sizes, texts, 3, 90, 100).collect()
+    assert {tuple(sorted(r)) for r in got} == {(35, 40)}
+
+
+def test_frequent_tokens_stay_frequent_in_large_corpora(spark):
+    """1.2 million tokens that 4 sets have, more than the table of tokens held before: all of them count as frequent."""
+    from sondage.llm.packed import packed
+
+    tokens = np.unique(np.random.default_rng(8).integers(0, 1 << 63, 1_200_000, dtype=np.uint64) * np.uint64(2))
+    rows = packed((tokens >> np.uint64(54)).astype(np.int64), [tokens, np.full(len(tokens), nj.HOT_COUNT, np.uint32)])
+    early = spark.createDataFrame(list(zip(*(c.to_pylist() for c in rows.columns))), "key long, tokens binary, counts binary")
+    hot = nj.frequent_tokens(early, nj.HOT_COUNT, nj.HOT_TOKENS)
+    prefixes = nj.Prefixes(hot, 90, 100)
+    for at in range(0, len(tokens), 100_000):
+        own = tokens[at : at + 200]
+        assert not len(np.intersect1d(prefixes.signatures(own), own))
+    other = np.random.default_rng(9).integers(0, 1 << 63, 100_000, dtype=np.uint64)
+    assert len(np.setdiff1d(prefixes.signatures(other), other)) == 0
