@@ -48,6 +48,12 @@ def mean(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: ((x + y) / 2).cast("float"))
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero; what becomes zero keeps its sign, as IEEE and DuckDB have it (``round`` goes by a decimal, which has none)."""
+    near = F.round(x, digits)
+    return F.when(near == 0, x * F.lit(0).cast("float")).otherwise(near)
+
+
 def literal(vector: list[float]) -> Column:
     return F.array(*[F.lit(float(x)) for x in vector]).cast("array<float>")
 

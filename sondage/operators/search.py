@@ -149,7 +149,7 @@ def vector_topk(vectors: DataFrame, query: list[float], limit: int, prefix: str
     if prefix:
         vectors = vectors.where(T.path_prefix(F.col("path"), prefix))
     size = F.col("norm") if "norm" in vectors.columns else None
-    scored = vectors.select("uuid", F.round(V.cosine(V.literal(query), F.col("embedding"), size), 6).alias("cosine_score"))
+    scored = vectors.select("uuid", V.rounded(V.cosine(V.literal(query), F.col("embedding"), size), 6).alias("cosine_score"))
     return ranked(scored.orderBy(F.desc("cosine_score"), "uuid").limit(limit), "vector_rank", "cosine_score")
 
 

@@ -125,7 +125,7 @@ def e02_stop_words(s, d):
 
 @query(f"SELECT e.vec_id, round({_COSINE}, 6) AS score FROM (SELECT x.vec_id, x.embedding AS a, q.embedding AS b FROM embeddings x, embeddings q WHERE q.vec_id = 25) e")
 def v01_cosine(s, d):
-    return vectors(s, d).select("vec_id", F.round(V.cosine(V.literal(probe(s, d)), F.col("embedding")), 6).alias("score"))
+    return vectors(s, d).select("vec_id", V.rounded(V.cosine(V.literal(probe(s, d)), F.col("embedding")), 6).alias("score"))
 
 
 @query(f"SELECT vec_id, round({_NORM.format('embedding')}, 6) AS norm FROM embeddings")
@@ -196,7 +196,7 @@ def v06_full_scan(s, d):
 @query("SELECT x.vec_id, list_transform(range(1, 65), lambda i: round(CAST((x.embedding[i] + q.embedding[i]) / 2 AS FLOAT), 5)) AS v FROM embeddings x, embeddings q WHERE q.vec_id = 25")
 def v21_average(s, d):
     m = V.mean(F.col("embedding"), V.literal(probe(s, d)))
-    return vectors(s, d).select("vec_id", F.transform(m, lambda x: F.round(x, 5)).alias("v"))
+    return vectors(s, d).select("vec_id", F.transform(m, lambda x: V.rounded(x, 5)).alias("v"))
 
 
 def _bm25_sql(limit: int, where: str = "true", query: str = QUERY) -> str:
@@ -404,7 +404,7 @@ def s09_extractions_by_class(s, d):
 @query(f"SELECT e.vec_id, round({_COS} / ({_NORM.format('b')} * CAST({_NORM.format('a')} AS FLOAT)), 5) AS score FROM (SELECT x.vec_id, x.embedding AS a, q.embedding AS b FROM embeddings x, embeddings q WHERE q.vec_id = 25) e")
 def v02_cosine_stored_norm(s, d):
     own = vectors(s, d).withColumn("norm", V.norm(F.col("embedding")).cast("float"))
-    return own.select("vec_id", F.round(V.cosine(V.literal(probe(s, d)), F.col("embedding"), F.col("norm")), 5).alias("score"))
+    return own.select("vec_id", V.rounded(V.cosine(V.literal(probe(s, d)), F.col("embedding"), F.col("norm")), 5).alias("score"))
 
 
 _IVF_SEEDS = "SELECT vec_id AS c, embedding AS b FROM embeddings WHERE vec_id < 8"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sondage.functions import text as T
+from sondage.functions import vectors as V
 from sondage.operators import chunking, embedding, ivf, search, store
 from sondage.plans import registry
 from sondage.sources import files
@@ -42,6 +43,15 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=str) == sorted((tuple(plain(r[i]) for i in own) for r in want.fetchall()), key=str)
 
 
+def test_rounded_zeros_keep_their_sign(spark, duck):
+    """Equal by ==, so compared as written: a mean just below zero is -0.0 in DuckDB."""
+    xs = [-0.000001, 0.000001, -0.0, 0.0, -0.000005, 0.015625, -0.015625, -0.12345678, 3e8, float("inf")]
+    own = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i int, x float")
+    both = own.select(V.rounded(F.col("x"), 5), V.rounded(F.col("x").cast("double"), 5)).collect()
+    want = [duck.execute("select round(cast($1 as float), 5), round(cast(cast($1 as float) as double), 5)", [x]).fetchone() for x in xs]
+    assert [tuple(map(repr, r)) for r in both] == [tuple(map(repr, r)) for r in want]
+
+
 @pytest.mark.parametrize("size, overlap", [(25, 5), (15, 0), (15, 3), (20, 30), (0, 0), (1000, 200)])
 @pytest.mark.parametrize("text", ["", "a" * 50, "word " * 200, "line1\nline2\nline3\nline4", "One. Two three.\n\nFour five six seven eight nine.\n\nñandú " * 4])
 def test_spans_stand_for_their_bytes(text, size, overlap):
