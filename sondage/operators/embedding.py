@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from sondage.functions.text import PUNCTUATION, STOP_WORDS
+from sondage.session import small_batches
 
 LOCAL_MODEL = "local-hash"
 DEFAULT_DIMS = 768
 CACHE_TEXTS = 10_000
+CACHE_WORDS = 1 << 16
 _STOP = frozenset(STOP_WORDS)
 _TABLE = str.maketrans(dict.fromkeys(PUNCTUATION, " "))
 
@@ -47,7 +49,7 @@ def fnv1a32(data: bytes) -> int:
     return h
 
 
-@lru_cache(1 << 18)
+@lru_cache(CACHE_WORDS)
 def _word_hash(word: str) -> int:
     return fnv1a32(word.encode())
 
@@ -98,8 +100,9 @@ def _cache() -> VectorCache:
 
 def embed(df: DataFrame, text: str = "content", config: EmbedderConfig = EmbedderConfig()) -> DataFrame:
     """Adds embedding, embedding_model and embedding_dim. Equal texts of a batch, and those a worker asked for lately, are
-    embedded once; a vector that is missing or of another length is replaced by the local hash and labelled so."""
+    embedded once; a vector that is missing or of another length is replaced by the local hash and labelled so. Batches are small."""
     config = config.resolved()
+    small_batches(df.sparkSession)
     names = df.columns
     at = names.index(text)
 

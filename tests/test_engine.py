@@ -80,6 +80,19 @@ def test_chunks_and_embedding(spark):
     assert {(r["content"] == "", r["embedding_model"]) for r in embedding.embed(chunks, config=bad).collect()} == {(True, "local-hash"), (False, "m")}
 
 
+def test_embedding_gets_small_batches(spark):
+    """However many or long the texts of a task are: a service is asked for a batch's texts at once, so its vector has their number."""
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    config = embedding.EmbedderConfig(dims=1, model="n", embed=lambda ts: [[float(len(ts))] for _ in ts])
+    made = spark.range(3000).coalesce(1).select(F.concat(F.lit("many "), F.col("id").cast("string")).alias("content"))
+    rows = embedding.embed(made, config=config).collect()
+    assert len(rows) == 3000 and max(r["embedding"][0] for r in rows) <= 512
+    wide = spark.range(48).coalesce(1).select(F.concat(F.lit("wide "), F.col("id").cast("string"), F.repeat(F.lit("x"), 1 << 20)).alias("content"))
+    rows = embedding.embed(wide, config=config).collect()
+    assert len(rows) == 48 and max(r["embedding"][0] for r in rows) <= 17
+
+
 def test_approximate_search_recall(spark):
     own = registry.vectors(spark, DATA)
     centroids = ivf.build(own)
