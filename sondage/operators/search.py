@@ -56,10 +56,27 @@ def ranked(top: DataFrame, name: str, by: str) -> DataFrame:
 
 
 def postings(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(term, uuid, tf) and (uuid, len): an index for many single-term queries."""
-    tokens = chunks.select("uuid", F.split(F.trim(T.word_string(F.col("content"))), " +").alias("t"))
-    tokens = tokens.withColumn("t", F.filter("t", lambda x: x != ""))
-    return tokens.select("uuid", F.explode("t").alias("term")).groupBy("term", "uuid").agg(F.count("*").cast("int").alias("tf")), tokens.select("uuid", F.size("t").alias("len"))
+    """(term, uuid, tf) and (uuid, len). Texts are dealt by uuid once and counted row by row, so that no postings are shuffled;
+    only rows that share a uuid are added up."""
+    shared = F.count("*").over(Window.partitionBy("uuid")) > 1
+    parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, else small shuffles of costly texts are merged
+    dealt = chunks.select("uuid", "content").repartition(parts, "uuid").withColumn("shared", shared)
+    several = _counted(dealt.where("shared")).groupBy("term", "uuid").agg(F.sum("tf").cast("int").alias("tf"))
+    return _counted(dealt.where("NOT shared")).unionByName(several), chunks.select("uuid", F.size(_terms()).alias("len"))
+
+
+def _terms() -> Column:
+    """The words of ``word_string``, in one pass."""
+    return F.array_remove(F.split(F.lower("content"), r"[^\p{L}\p{N}]+"), "")
+
+
+def _counted(chunks: DataFrame) -> DataFrame:
+    """(term, uuid, tf) of each row: runs of equal words in its sorted words."""
+    words = chunks.select("uuid", F.sort_array(_terms()).alias("t"))
+    first = F.filter(F.transform("t", lambda x, i: F.when((i == 0) | (x != F.get("t", i - 1)), i)), lambda i: i.isNotNull())
+    runs = words.withColumn("first", first)
+    each = F.transform("first", lambda i, k: F.struct(F.get("t", i).alias("term"), (F.coalesce(F.get("first", k + 1), F.size("t")) - i).alias("tf")))
+    return runs.select("uuid", F.explode(each).alias("x")).select("x.term", "uuid", "x.tf")
 
 
 def positions(chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,8 +143,9 @@ def _score(phrases: int) -> Column:
 
 
 def update_postings(index: DataFrame, changed: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Postings without the changed uuids, plus their new ones."""
-    return index.join(changed.select("uuid").distinct(), "uuid", "left_anti").select(index.columns).unionByName(fresh)
+    """Postings without the changed uuids, plus their new ones. The changed uuids are hashed, so postings dealt by uuid are neither
+    shuffled nor sorted for them."""
+    return index.join(changed.select("uuid").distinct().hint("shuffle_hash"), "uuid", "left_anti").select(index.columns).unionByName(fresh)
 
 
 def search_postings(index: DataFrame, lengths: DataFrame, terms: DataFrame, limit: int) -> DataFrame:

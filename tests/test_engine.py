@@ -114,6 +114,21 @@ def test_postings_agree_with_scan(spark):
     assert gone.join(own.where("doc_id < 100"), "uuid", "left_semi").count() == 0
 
 
+def test_postings_are_counted_where_their_texts_are(spark):
+    """Rows of one uuid add up; only texts are shuffled, by uuid, and an update neither shuffles nor sorts postings."""
+    rows = [("a", "x y x"), ("a", "X, z"), ("b", "y"), ("c", ""), ("d", None), ("e", "--"), (None, "y \u00c4\u00e4 1"), ("f", "old")]
+    chunks = spark.createDataFrame(rows, "uuid string, content string")
+    index, lengths = search.postings(chunks)
+    want = {("x", "a", 3), ("y", "a", 1), ("z", "a", 1), ("y", "b", 1), ("y", None, 1), ("\u00e4\u00e4", None, 1), ("1", None, 1), ("old", "f", 1)}
+    assert index.columns == ["term", "uuid", "tf"] and sorted(map(tuple, index.collect()), key=str) == sorted(want, key=str)
+    assert sorted(r["len"] for r in lengths.where("uuid IS NOT NULL AND uuid <> 'd'").collect()) == [0, 0, 1, 1, 2, 3]
+    changed = spark.createDataFrame([("f", "new new")], "uuid string, content string")
+    now = search.update_postings(index, changed, search.postings(changed)[0])
+    assert {tuple(r) for r in now.collect()} == want - {("old", "f", 1)} | {("new", "f", 2)}
+    for plan in (x._jdf.queryExecution().executedPlan().toString() for x in (index, now)):
+        assert "hashpartitioning(uuid" in plan and "hashpartitioning(term" not in plan and "SortMergeJoin" not in plan and "BroadcastExchange" not in plan
+
+
 def test_rerank_and_guard(spark):
     hits = spark.createDataFrame([(str(i), f"t{i}", 0, 0.1, 1 - i / 100) for i in range(25)], "uuid string, content string, bm25_rank int, cosine_score double, rrf_score double")
     out = search.blend(hits, lambda h: h.withColumn("score", F.col("position") * 5.0)).collect()
