@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
@@ -68,11 +69,14 @@ def hash_vector(text: str, dims: int = 768) -> np.ndarray:
 
 
 class VectorCache:
-    """The vectors of a service that were used last, by model, dimension and text digest; a worker process keeps one."""
+    """The vectors of a service that were used last, by model, dimension and text digest; a worker process keeps one.
+
+    Kept as single floats, an eighth of a list: a column of vectors has no more digits.
+    """
 
     def __init__(self, most: int = CACHE_TEXTS):
         self.most = most
-        self.kept: OrderedDict[tuple, list[float]] = OrderedDict()
+        self.kept: OrderedDict[tuple, array] = OrderedDict()
 
     def ask(self, texts: list[str], config: EmbedderConfig) -> list[list[float] | None]:
         """Vectors of distinct ``texts``; only those that aren't kept are asked for, and only fitting answers are kept."""
@@ -83,11 +87,11 @@ class VectorCache:
         for text, key in zip(texts, keys):
             if key in self.kept:
                 self.kept.move_to_end(key)
-                out.append(self.kept[key])
+                out.append(self.kept[key].tolist())
                 continue
             out.append(fresh[text])
             if fresh[text] is not None and len(fresh[text]) == config.dims:
-                self.kept[key] = fresh[text]
+                self.kept[key] = array("f", fresh[text])
         while len(self.kept) > self.most:
             self.kept.popitem(last=False)
         return out

@@ -1,9 +1,11 @@
 import json
 import os
 import threading
+import tracemalloc
 import urllib.error
 import urllib.request
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,17 @@ def test_vectors_are_asked_for_once(spark):
     assert EmbedderConfig(dims=0, embed=service).resolved().dims == 2 and EmbedderConfig(dims=0).resolved().dims == 768 and EmbedderConfig(dims=5).resolved().dims == 5
 
 
+def test_kept_vectors_are_small(spark):
+    cache = embedding.VectorCache()
+    config = EmbedderConfig(dims=768, model="m", embed=lambda ts: [[i / 768 for i in range(768)] for _ in ts])
+    tracemalloc.start()
+    cache.ask([str(i) for i in range(500)], config)
+    held = tracemalloc.get_traced_memory()[0] / 500
+    tracemalloc.stop()
+    assert len(cache.kept) == 500 and held < 4096
+    assert cache.ask(["7"], config) == [np.asarray([i / 768 for i in range(768)], np.float32).tolist()]
+
+
 def test_single_file_and_home(spark, tmp_path):
     home = tmp_path / "home"
     home.mkdir()
